@@ -133,6 +133,14 @@ class Finder:
         self.alpha = {s[k : k + SEED_ALPHA] for s in self.norm for k in range(len(s) - SEED_ALPHA + 1)}
         self._grams: dict[int, dict[str, list[int]]] = {}
         self._piece = [PIECE_ALPHA if 2 * sum(c.isascii() for c in s) > len(s) else PIECE_WIDE for s in self.norm]
+        self.grams = self._seed_grams()
+
+    def _seed_grams(self) -> dict[int, set[str]]:
+        out: dict[int, set[str]] = defaultdict(set)
+        for n, s in enumerate(self.norm):
+            k = self.seed(n)
+            out[k].update(s[p : p + k] for p in range(len(s) - k + 1))
+        return out
 
     def piece(self, item: int) -> int:
         return self._piece[item]
@@ -153,11 +161,11 @@ class Finder:
                     out.append([i, i + SEED_ALPHA + SEED_WIDE])
         return [(a, min(b, len(t))) for a, b in out]
 
-    def named(self, t: str) -> dict[int, list[int]]:
+    def named(self, t: str, parts: list[tuple[int, int]]) -> dict[int, list[int]]:
         """Item -> positions in t at which a long enough match with it ends."""
         nxt, link, length = self.sam.next, self.sam.link, self.sam.len
         found: dict[int, list[int]] = defaultdict(list)
-        for a, b in self.windows(t):
+        for a, b in parts:
             v = n = 0
             mark = 0
             for i in range(a, b):
@@ -264,12 +272,17 @@ class Finder:
             return []
         out = []
         seeds: dict[int, dict[str, list[int]]] = {}
-        for item in self.named(t):
+        grams = self.grams
+        parts = _merge([(a - SEED_ALPHA, b) for a, b in self.windows(t)], len(t))
+        for item in self.named(t, parts):
             k = self.seed(item)
             if k not in seeds:
                 seeds[k] = defaultdict(list)
-                for i in range(len(t) - k + 1):
-                    seeds[k][t[i : i + k]].append(i)
+                for a, b in parts:
+                    for i in range(a, min(b, len(t) - k + 1)):
+                        g = t[i : i + k]
+                        if g in grams[k]:
+                            seeds[k][g].append(i)
             c, a, b = self.coverage(t, item, seeds[k], share)
             if c >= share:
                 out.append((self.ids[item], c, a, b))
