@@ -1,7 +1,7 @@
 """Queries and SQL of the text operators."""
 
 from ..session import table
-from . import contamination, packing, splitting, termcounts
+from . import contamination, lookalike, packing, splitting, termcounts
 
 _ONCE = """
 with once as (select line_uid, any_value(phase) as phase, any_value(situation_type) as situation_type, any_value(speech_acts) as speech_acts
@@ -18,6 +18,8 @@ QUERIES = {
     "p3_found": lambda s, d: termcounts.term_counts(table(s, d, "annotated_lines")).filter("mark is not null").select("field_name", "term", "mark"),
     "p3_term_counts": lambda s, d: termcounts.term_counts(table(s, d, "annotated_lines")),
     "p3_act_ngrams": lambda s, d: termcounts.act_ngrams(table(s, d, "annotated_lines")),
+    "p5_found": lambda s, d: lookalike.lookalike_pairs(lookalike.canonical_records(table(s, d, "annotated_lines"), table(s, d, "operator_data"))),
+    "p5_canonical": lambda s, d: lookalike.canonical_records(table(s, d, "annotated_lines"), table(s, d, "operator_data")),
     "p6_containers": lambda s, d: packing.pack_documents(table(s, d, "documents")),
     "p6_fill_report": lambda s, d: packing.fill_report(packing.pack_documents(table(s, d, "documents"))),
     "p7_found": lambda s, d: contamination.leaked_passages(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
