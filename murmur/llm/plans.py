@@ -1,7 +1,7 @@
 """Queries and SQL of the text operators."""
 
 from ..session import table
-from . import contamination, lookalike, packing, splitting, termcounts
+from . import contamination, lookalike, markup, packing, splitting, termcounts
 
 _ONCE = """
 with once as (select line_uid, any_value(phase) as phase, any_value(situation_type) as situation_type, any_value(speech_acts) as speech_acts
@@ -14,10 +14,18 @@ counts as (select field_name, term, count(*) as occurrences, count(distinct line
 marked as (select *, case when lines <= 3 then 'rare' when lines > 0.4 * (select count(*) from once) then 'common' end as mark from counts)
 """
 
+
+def _texts(s, d):  # noqa: ANN001, ANN202
+    return table(s, d, "operator_data"), table(s, d, "story_lines"), table(s, d, "documents")
+
+
 QUERIES = {
     "p3_found": lambda s, d: termcounts.term_counts(table(s, d, "annotated_lines")).filter("mark is not null").select("field_name", "term", "mark"),
     "p3_term_counts": lambda s, d: termcounts.term_counts(table(s, d, "annotated_lines")),
     "p3_act_ngrams": lambda s, d: termcounts.act_ngrams(table(s, d, "annotated_lines")),
+    "p4_found": lambda s, d: markup.residue(*_texts(s, d)),
+    "p4_wrappers": lambda s, d: markup.infer_wrappers(markup.mark_streams(markup.texts_of(*_texts(s, d)))),
+    "p4_clean": lambda s, d: markup.clean_texts(*_texts(s, d)),
     "p5_found": lambda s, d: lookalike.lookalike_pairs(lookalike.canonical_records(table(s, d, "annotated_lines"), table(s, d, "operator_data"))),
     "p5_canonical": lambda s, d: lookalike.canonical_records(table(s, d, "annotated_lines"), table(s, d, "operator_data")),
     "p6_containers": lambda s, d: packing.pack_documents(table(s, d, "documents")),
