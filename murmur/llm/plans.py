@@ -1,7 +1,7 @@
 """Queries and SQL of the text operators."""
 
 from ..session import table
-from . import contamination, lookalike, markup, packing, splitting, termcounts
+from . import contamination, lookalike, markup, names, packing, splitting, termcounts
 
 _ONCE = """
 with once as (select line_uid, any_value(phase) as phase, any_value(situation_type) as situation_type, any_value(speech_acts) as speech_acts
@@ -19,7 +19,13 @@ def _texts(s, d):  # noqa: ANN001, ANN202
     return table(s, d, "operator_data"), table(s, d, "story_lines"), table(s, d, "documents")
 
 
+def _groups(s, d):  # noqa: ANN001, ANN202
+    return names.name_groups(table(s, d, "story_lines"), table(s, d, "annotated_lines"), table(s, d, "operators"), table(s, d, "name_aliases"))
+
+
 QUERIES = {
+    "p2_found": lambda s, d: names.name_pairs(_groups(s, d)),
+    "p2_groups": lambda s, d: _groups(s, d),
     "p3_found": lambda s, d: termcounts.term_counts(table(s, d, "annotated_lines")).filter("mark is not null").select("field_name", "term", "mark"),
     "p3_term_counts": lambda s, d: termcounts.term_counts(table(s, d, "annotated_lines")),
     "p3_act_ngrams": lambda s, d: termcounts.act_ngrams(table(s, d, "annotated_lines")),
