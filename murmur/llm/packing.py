@@ -24,7 +24,7 @@ from .tokens import TOKENIZER, tokenizer
 CAPACITY = 2048
 BLOCK_ITEMS = 4096
 #: Search steps of one block after which the best solution so far is kept (it is never worse than best fit).
-NODES = 4_000
+NODES = 3_000
 
 
 def best_fit_decreasing(sizes: list[int], cap: int) -> list[list[int]]:
@@ -47,49 +47,54 @@ def completions(avail: list[int], room: int, budget: int = 400) -> list[tuple[in
     """Undominated fillings of `room` from the descending sizes `avail`, fullest first.
 
     A filling is dominated if an unused item still fits, or if one of its items could be replaced by a
-    larger unused one. Fillings of the same sizes come once. At most `budget` steps are taken.
+    larger unused one. Fillings of the same sizes come once. A filling without waste ends the
+    search, since none wastes less; else it ends after `budget` steps.
     """
+    have: dict[int, int] = {}
+    for s in avail:
+        have[s] = have.get(s, 0) + 1
+    sizes = sorted(have, reverse=True)
+    minus = [-s for s in sizes]
     found: dict[tuple[int, ...], int] = {}
+    perfect: list[tuple[int, ...]] = []
     steps = 0
 
-    def grow(start: int, left: int, picked: list[int]) -> None:
+    def grow(k: int, left: int, picked: list[int]) -> None:
         nonlocal steps
         steps += 1
-        if steps > budget:
+        if have.get(left, 0) - picked.count(left) > 0:
+            perfect.append((*picked, left))
             return
-        k = start
+        k = max(k, bisect.bisect_left(minus, -left))
         fits = False
-        last = None
-        while k < len(avail):
-            # the first item that fits, by halving, since sizes descend
-            if avail[k] > left:
-                k = bisect.bisect_left(avail, -left, k, key=lambda x: -x)
-                continue
-            if avail[k] != last:
+        while k < len(sizes) and not perfect and steps <= budget:
+            s = sizes[k]
+            if have[s] - picked.count(s) > 0:
                 fits = True
-                last = avail[k]
-                picked.append(k)
-                grow(k + 1, left - avail[k], picked)
+                picked.append(s)
+                grow(k, left - s, picked)
                 picked.pop()
-                if steps > budget:
-                    return
-                if left == avail[k]:
-                    break
             k += 1
-        if not fits:
-            key = tuple(avail[j] for j in picked)
-            if key not in found:
-                used = set(picked)
-                nxt = {}
-                for j in picked:  # larger unused item in its place?
-                    b = j - 1
-                    while b >= 0 and b in used:
-                        b -= 1
-                    nxt[j] = b
-                if not any(b >= 0 and avail[b] > avail[j] and avail[b] - avail[j] <= left for j, b in nxt.items()):
-                    found[key] = left
+        if not fits and not perfect and steps <= budget:
+            # the next larger unused size in the place of one that was picked?
+            for s in set(picked):
+                j = bisect.bisect_left(minus, -s) - 1
+                while j >= 0 and have[sizes[j]] - picked.count(sizes[j]) <= 0:
+                    j -= 1
+                if j >= 0 and sizes[j] - s <= left:
+                    return
+            found[tuple(sorted(picked, reverse=True))] = left
 
     grow(0, room, [])
+    if perfect:
+        return [perfect[0]]
+    if not found:  # the budget ran out before any filling was whole: the greedy one
+        picked: list[int] = []
+        for s in avail:
+            if s <= room:
+                picked.append(s)
+                room -= s
+        return [tuple(picked)]
     return sorted(found, key=lambda key: (found[key], [-x for x in key]))
 
 
@@ -204,6 +209,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_IT
         last = blocks == 1 or r == rounds - 1
 
         blocked = todo.withColumn("__block", F.pmod(F.xxhash64("__row", "piece", F.lit(r)), F.lit(blocks)))
+        # as many partitions as keep some blocks each; a stated number isn't merged into few large tasks
+        blocked = blocked.repartition(max(min(blocks, 2000), blocks // 64), "__block")
         packed = blocked.groupBy("__block").applyInPandas(_filler(r, cap, nodes), "container_id string, doc_id bigint, piece int, n_pieces int, __row bigint, size int, used bigint")
         shape = lambda d: d.select("container_id", "doc_id", "piece", F.col("size").alias("n_tokens"), "used", "n_pieces")
         if last:
