@@ -22,6 +22,8 @@ LIMIT = 2048
 OVERLAP = 64
 #: Cost of a cut by the kind of boundary it lies at.
 PENALTY = {"section": 0.0, "paragraph": 1.0, "line": 2.0, "sentence": 4.0, "clause": 12.0, "space": 24.0, "none": 60.0}
+#: Pieces tried beyond the fewest that can hold a text; more only if borders leave no other way.
+SLACK = 2
 #: Weight of the squared relative distance of a piece from the even share.
 BALANCE = 6.0
 
@@ -33,95 +35,121 @@ _CLAUSE = re.compile(r"[，、,;:：—]+")
 _SPACE = re.compile(r"\s+")
 
 
-def boundaries(text: str) -> dict[int, str]:
-    """Offset -> best kind of boundary there (offsets inside the text, a cut puts what is before it into the earlier piece)."""
-    out: dict[int, str] = {}
-    for kind, pattern, start in (("space", _SPACE, False), ("clause", _CLAUSE, False), ("sentence", _SENTENCE, False), ("line", _LINE, False), ("paragraph", _PARAGRAPH, False), ("section", _HEADING, True)):
-        for m in pattern.finditer(text):
-            at = m.start() if start else m.end()
-            if 0 < at < len(text):
-                out[at] = kind
-    return out
+#: Kinds in tiers; a weaker tier is looked at only where the stronger ones leave wide gaps.
+_TIERS = [[("section", _HEADING), ("paragraph", _PARAGRAPH), ("line", _LINE), ("sentence", _SENTENCE)], [("clause", _CLAUSE)], [("space", _SPACE)]]
+
+
+def boundaries(text: str, kind: str, pattern: re.Pattern) -> np.ndarray:
+    """Offsets of one kind of boundary inside the text; what is before a cut goes into the earlier piece."""
+    at = np.fromiter((m.start() if kind == "section" else m.end() for m in pattern.finditer(text)), dtype=np.int64)
+    return at[(at > 0) & (at < len(text))]
 
 
-def split_offsets(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
-    """Pieces (start, end, shared with the piece before in characters, kind of boundary at the end), in order.
+def split_offsets(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str, int]]:
+    """Pieces (start, end, shared with the piece before in characters, kind of boundary at the end, tokens), in order.
 
-    A text of at most `limit` tokens is one piece. Each later piece begins at the last token border
+    A text of at most `limit` tokens is one piece. Each later piece begins at the last border
     that lies at least `overlap` tokens before the end of the piece before.
     """
-    ends = tok.offsets(text)
-    n = len(ends)
-    if n <= limit:
-        return [(0, len(text), 0, "end")]
+    offs, toks, pure = tok.borders(text)
+    if not toks or toks[-1] <= limit:
+        return [(0, len(text), 0, "end", toks[-1] if toks else 0)]
+    e, n = np.asarray(offs), np.asarray(toks)
     room = limit
     while True:
-        pieces = _split(text, ends, n, room, overlap)
-        # a piece by itself may take a few tokens more than as a part of the whole text
-        if all(tok.count(text[a:b]) <= limit for a, b, _, _ in pieces):
-            return pieces
+        out = []
+        for a, b, shared, kind in _split(text, e, n, room, overlap):
+            if pure:  # counts add up, but for white space at the end, which is read as one there
+                z = b - (len(text[a:b]) - len(text[a:b].rstrip()))
+                k = int(np.searchsorted(e, z))
+                size = int(n[k] - (n[np.searchsorted(e, a)] if a else 0)) + tok.count(text[z:b]) if z == e[k] and z > a else tok.count(text[a:b])
+            else:
+                size = tok.count(text[a:b])
+            out.append((a, b, shared, kind, size))
+        if all(x[4] <= limit for x in out):
+            return out
         room -= max(8, limit // 128)
-        if room <= overlap + 1:
+        if room <= 2 * overlap + 16:
             raise ValueError("limit too small for the overlap")
 
 
-def _split(text: str, ends: list[int], n: int, room: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    e = np.asarray(ends)
-    # tokens that end on a whole character: the last token of each run of equal offsets
-    whole = np.append(e[1:] != e[:-1], True) & (e > 0)
-    first_tokens = np.flatnonzero(whole)
-    kinds = boundaries(text)
-    at = {int(e[t]): int(t) + 1 for t in first_tokens}  # offset -> tokens up to it
-    cand: dict[int, tuple[float, str]] = {}
-    offsets = e[first_tokens]
-    for off, kind in kinds.items():
-        t = at.get(off)
-        if t is None:  # inside a token: the next border
-            k = int(np.searchsorted(offsets, off))
-            if k >= len(offsets):
-                continue
-            t = int(first_tokens[k]) + 1
-        cost = PENALTY[kind] + (0.5 if at.get(off) is None else 0.0)
-        if t < n and (t not in cand or cost < cand[t][0]):
-            cand[t] = (cost, kind)
-    own = room - overlap - 8  # tokens a piece may add; 8 for an overlap that begins inside a character
-    # where natural borders lie too far apart any border serves
-    marks = sorted([0, *cand, n])
-    for a, b in zip(marks, marks[1:], strict=False):
-        if b - a > own // 2:
-            lo, hi = np.searchsorted(first_tokens, [a, b - 1])
-            for t in first_tokens[lo:hi]:
-                if int(t) + 1 not in cand and int(t) + 1 < n:
-                    cand[int(t) + 1] = (PENALTY["none"], "none")
-    pos = np.array([0, *sorted(cand), n])
-    pen = np.array([0.0, *[cand[int(t)][0] for t in pos[1:-1]], 0.0])
-    share = n / max(1, -(-n // own))
-    best = np.full(len(pos), np.inf)
-    back = np.zeros(len(pos), dtype=int)
-    best[0] = 0.0
-    for j in range(1, len(pos)):
-        i = int(np.searchsorted(pos, pos[j] - own))
-        if i >= j:
-            continue
-        size = pos[j] - pos[i:j]
-        cost = best[i:j] + BALANCE * ((size - share) / share) ** 2
-        # the first piece has no overlap before it, but the same bound keeps the chain uniform
-        k = int(np.argmin(cost))
-        best[j], back[j] = cost[k] + pen[j] + 1.0, i + k
+def _split(text: str, e: np.ndarray, n: np.ndarray, room: int, overlap: int) -> list[tuple[int, int, int, str]]:
+    total = int(n[-1])
+    own = room - 2 * overlap - 10  # tokens a piece may add; its overlap may reach back to the border before
+    grain = max(1, own // 64)
+    names = ["none", "end"]
+    cost: dict[int, tuple[float, int]] = {}  # border -> penalty, kind
+    for tier in _TIERS:
+        marks = np.unique(np.concatenate([[0, total], n[list(cost)]])) if cost else np.array([0, total])
+        gaps = np.flatnonzero(np.diff(marks) > own // 4)
+        if not len(gaps):
+            break
+        for kind, pattern in reversed(tier):
+            names.append(kind)
+            found = boundaries(text, kind, pattern)
+            k = np.searchsorted(e, found)
+            k = k[k < len(e) - 1]
+            if cost:
+                inside = np.searchsorted(marks, n[k], side="left") - 1
+                if tier is not _TIERS[0]:  # weak borders of one kind lie close: one in each small stretch is as good as any
+                    k = k[np.isin(inside, gaps)]
+                    k = k[np.unique(n[k] // grain, return_index=True)[1]]
+            for x in k.tolist():
+                if x not in cost or PENALTY[kind] < cost[x][0]:
+                    cost[x] = (PENALTY[kind], len(names) - 1)
+    marks = np.unique(np.concatenate([[0, total], n[list(cost)]])) if cost else np.array([0, total])
+    for g in np.flatnonzero(np.diff(marks) > own // 2):  # any border where natural ones lie too far apart
+        lo, hi = np.searchsorted(n, [marks[g], marks[g + 1]])
+        some = np.arange(lo, min(hi, len(e) - 1))
+        for x in some[np.unique(n[some] // grain, return_index=True)[1]].tolist():
+            cost.setdefault(x, (PENALTY["none"], 0))
+    at = np.array([*sorted(cost), len(e) - 1])
+    pos = np.concatenate([[0], n[at]]).astype(float)
+    pen = np.array([0.0, *[cost[x][0] for x in at[:-1].tolist()], 0.0])
+    share = total / max(1, -(-total // own))
+    # a layer a piece: best[j] is the cheapest way to end that many pieces at candidate j
+    lo = np.searchsorted(pos, pos - own)
+    width = int((np.arange(len(pos)) - lo).max())
+    idx = np.arange(len(pos))[:, None] - 1 - np.arange(width)[None, :]
+    ok = idx >= np.maximum(lo, 0)[:, None]
+    idx = np.maximum(idx, 0)
+    step = np.where(ok, BALANCE * ((pos[:, None] - pos[idx]) / share - 1) ** 2 + pen[:, None] + 1.0, np.inf)
+    # only candidates from which the end can still be reached in the pieces left belong to a layer
+    fewest = max(1, -(-total // own))
+    most = fewest + SLACK
+    while True:
+        best = np.full(len(pos), np.inf)
+        best[0] = 0.0
+        backs, ends = [], []
+        for layer in range(1, most + 1):
+            first = int(np.searchsorted(pos, total - (most - layer) * own))
+            stop = int(np.searchsorted(pos, layer * own, side="right"))
+            nxt, back = np.full(len(pos), np.inf), np.zeros(len(pos), dtype=np.int64)
+            if first < stop:
+                way = best[idx[first:stop]] + step[first:stop]
+                w = way.argmin(axis=1)
+                r = np.arange(stop - first)
+                nxt[first:stop], back[first:stop] = way[r, w], idx[first:stop][r, w]
+            best = nxt
+            backs.append(back)
+            ends.append(best[-1])
+        if np.isfinite(min(ends)):
+            break
+        most *= 2
+    k = int(np.argmin(ends))
     cuts = [len(pos) - 1]
-    while cuts[-1]:
-        cuts.append(int(back[cuts[-1]]))
+    for layer in range(k, -1, -1):
+        cuts.append(int(backs[layer][cuts[-1]]))
     cuts.reverse()
     out = []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        ta, tb = int(pos[a]), int(pos[b])
-        start = 0
-        if ta:
-            k = int(np.searchsorted(first_tokens, ta - overlap - 1, side="right")) - 1
-            start = int(e[first_tokens[k]]) if k >= 0 and ta > overlap else 0
-        cut = int(e[ta - 1]) if ta else 0
-        stop = len(text) if tb == n else int(e[tb - 1])
-        out.append((start, stop, cut - start, "end" if tb == n else cand[tb][1]))
+        start = cut = 0
+        if a:
+            cut = int(e[at[a - 1]])
+            back = int(np.searchsorted(n, n[at[a - 1]] - overlap - 2, side="right")) - 1
+            start = int(e[back]) if back >= 0 else 0
+        last = b == len(pos) - 1
+        out.append((start, len(text) if last else int(e[at[b - 1]]), cut - start, "end" if last else names[cost[int(at[b - 1])][1]]))
     return out
 
 
@@ -142,11 +170,13 @@ def split_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                if oversized_only and tok.count(text) <= limit:
+                # a text of few bytes more than the limit is counted first, which is cheaper than to list its borders
+                if oversized_only and len(text) < 2 * limit and tok.count(text) <= limit:
                     continue
                 pieces = split_offsets(text, tok, limit, overlap)
-                for k, (a, z, shared, kind) in enumerate(pieces):
-                    out.append((doc, k, len(pieces), a, z, tok.count(text[a:z]), shared, kind, text[a:z]))
+                if oversized_only and len(pieces) == 1:
+                    continue
+                out += [(doc, k, len(pieces), a, z, size, shared, kind, text[a:z]) for k, (a, z, shared, kind, size) in enumerate(pieces)]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "n_pieces", "start", "stop", "n_tokens", "shared", "boundary", "text"])
 
     return rows.mapInPandas(cut, "doc_id bigint, piece int, n_pieces int, start int, stop int, n_tokens int, shared int, boundary string, text string")

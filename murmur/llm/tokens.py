@@ -26,7 +26,6 @@ class Tokenizer:
         self.enc = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = regex.compile(PATTERN)
         self.counts: dict[str, int] = {}
-        self.ends: dict[str, list[int]] = {}
 
     def count(self, text: str) -> int:
         get, total, missed = self.counts.get, 0, []
@@ -48,21 +47,31 @@ class Tokenizer:
                 total += n
         return total
 
-    def offsets(self, text: str) -> list[int]:
-        """Ascending code-point offsets, one a token: where the token's last whole character ends."""
-        out: list[int] = []
-        at = 0
-        for p in self.pieces.findall(text):
-            e = self.ends.get(p)
-            if e is None:
-                e = self._ends(p)
-                if len(p) <= 64:
-                    if len(self.ends) > MEMO:
-                        self.ends.clear()
-                    self.ends[p] = e
-            out.extend(at + x for x in e)
+    def borders(self, text: str, longest: int = 64) -> tuple[list[int], list[int], bool]:
+        """Offsets at which the text may be cut, tokens up to each, and whether all of them lie between pre-tokens.
+
+        A text is encoded pre-token by pre-token, so counts between such borders add up. A pre-token of
+        more than `longest` tokens is opened at the ends of its tokens that end on a whole character.
+        """
+        pieces = self.pieces.findall(text)
+        get = self.counts.get
+        sizes = [get(p) or self.count(p) for p in pieces]
+        at, n, pure = 0, 0, True
+        offs, toks = [], []
+        for p, k in zip(pieces, sizes, strict=True):
+            if k > longest:
+                pure = False
+                last = 0
+                for i, e in enumerate(self._ends(p)[:-1]):
+                    if e > last:
+                        offs.append(at + e)
+                        toks.append(n + i + 1)
+                        last = e
             at += len(p)
-        return out
+            n += k
+            offs.append(at)
+            toks.append(n)
+        return offs, toks, pure
 
     def _ends(self, piece: str) -> list[int]:
         starts = []  # byte offset at which each character ends
