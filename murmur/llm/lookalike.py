@@ -158,7 +158,7 @@ def string_counts(texts: DataFrame, col: str = "text") -> dict[str, int]:
             total.update(joined)
             if regex.search(r"\p{M}", joined):
                 total.update(marked.findall(joined.translate(gone)))
-        yield pd.DataFrame({"s": list(total.keys()), "n": list(total.values())})
+        yield pd.DataFrame({"s": pd.Series(list(total.keys()), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
     counted = texts.select(F.col(col)).filter(f"{col} <> ''").mapInPandas(count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
     # bounded: code points and base-and-mark strings, not texts
