@@ -84,7 +84,7 @@ def per_key_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
         if open_.isEmpty():
             break
         ranges = open_.groupBy(*keys).agg(F.collect_set(F.struct("__lo", "__hi")).alias("__ranges"))
-        near = _with_ranges(rows.filter("__v is not null"), ranges, keys).withColumn("__r", F.expr("filter(__ranges, r -> __v >= r.__lo and __v <= r.__hi)[0]")).filter("__r is not null")
+        near = _with_ranges(rows.filter("__v is not null"), ranges, keys).withColumn("__r", F.expr("get(filter(__ranges, r -> __v >= r.__lo and __v <= r.__hi), 0)")).filter("__r is not null")
         # halves keep the difference of two large doubles finite; the bin number never decreases with the value
         pos = F.expr(f"cast(floor((__v / 2 - __r.__lo / 2) / (__r.__hi / 2 - __r.__lo / 2) * {bins}) as int)")
         hist = (
