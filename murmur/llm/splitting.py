@@ -1,9 +1,11 @@
 """Cutting oversized texts into pieces by dynamic programming over boundary positions.
 
-A text's tokens are counted once; every possible cut lies at a token that ends on a whole character.
-Cuts cost less at section ends than at paragraph, sentence, clause or word ends; a piece costs more
-the further its size is from an even share. The cheapest chain of cuts whose pieces (the overlap with
-the piece before included) stay under the limit is found exactly by dynamic programming.
+A text's tokens are counted once; a cut lies between two pre-tokens, or inside one of more than 64 tokens
+where a token ends on a whole character. Cuts cost less at section ends than at paragraph, sentence,
+clause or word ends; a piece costs more the further its size is from an even share. The cheapest chain of
+cuts, of any number of pieces whose size (the overlap with the piece before included) stays under the
+limit, is found exactly by dynamic programming. A border is left out only where a bound shows that no
+chain through it can be cheaper than one already found.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ LIMIT = 2048
 OVERLAP = 64
 #: Cost of a cut by the kind of boundary it lies at.
 PENALTY = {"section": 0.0, "paragraph": 1.0, "line": 2.0, "sentence": 4.0, "clause": 12.0, "space": 24.0, "none": 60.0}
-#: Pieces tried beyond the fewest that can hold a text; more only if borders leave no other way.
-SLACK = 2
 #: Weight of the squared relative distance of a piece from the even share.
 BALANCE = 6.0
 
@@ -35,8 +35,8 @@ _CLAUSE = re.compile(r"[，、,;:：—]+")
 _SPACE = re.compile(r"\s+")
 
 
-#: Kinds in tiers; a weaker tier is looked at only where the stronger ones leave wide gaps.
-_TIERS = [[("section", _HEADING), ("paragraph", _PARAGRAPH), ("line", _LINE), ("sentence", _SENTENCE)], [("clause", _CLAUSE)], [("space", _SPACE)]]
+#: Kinds of borders, the strongest first.
+_KINDS = [("section", _HEADING), ("paragraph", _PARAGRAPH), ("line", _LINE), ("sentence", _SENTENCE), ("clause", _CLAUSE), ("space", _SPACE)]
 
 
 def boundaries(text: str, kind: str, pattern: re.Pattern) -> np.ndarray:
@@ -73,74 +73,59 @@ def split_offsets(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int =
             raise ValueError("limit too small for the overlap")
 
 
+def _cheapest(pos: np.ndarray, pen: np.ndarray, share: float, own: int) -> tuple[float, list[int]]:
+    """Cost and indexes of the cheapest chain from the first to the last position; inf if none has steps of at most `own`."""
+    lo = np.searchsorted(pos, pos - own)
+    best, back = np.full(len(pos), np.inf), np.zeros(len(pos), dtype=np.int64)
+    best[0] = 0.0
+    for j in range(1, len(pos)):
+        i = int(lo[j])
+        if i < j:
+            way = best[i:j] + BALANCE * ((pos[j] - pos[i:j]) / share - 1) ** 2
+            k = int(way.argmin())
+            best[j], back[j] = way[k] + pen[j] + 1.0, i + k
+    cuts = [len(pos) - 1]
+    while np.isfinite(best[-1]) and cuts[-1]:
+        cuts.append(int(back[cuts[-1]]))
+    return float(best[-1]), cuts[::-1]
+
+
 def _split(text: str, e: np.ndarray, n: np.ndarray, room: int, overlap: int) -> list[tuple[int, int, int, str]]:
     total = int(n[-1])
     own = room - 2 * overlap - 10  # tokens a piece may add; its overlap may reach back to the border before
-    grain = max(1, own // 64)
-    names = ["none", "end"]
-    cost: dict[int, tuple[float, int]] = {}  # border -> penalty, kind
-    for tier in _TIERS:
-        marks = np.unique(np.concatenate([[0, total], n[list(cost)]])) if cost else np.array([0, total])
-        gaps = np.flatnonzero(np.diff(marks) > own // 4)
-        if not len(gaps):
-            break
-        for kind, pattern in reversed(tier):
-            names.append(kind)
-            found = boundaries(text, kind, pattern)
-            k = np.searchsorted(e, found)
-            k = k[k < len(e) - 1]
-            if cost:
-                inside = np.searchsorted(marks, n[k], side="left") - 1
-                if tier is not _TIERS[0]:  # weak borders of one kind lie close: one in each small stretch is as good as any
-                    k = k[np.isin(inside, gaps)]
-                    k = k[np.unique(n[k] // grain, return_index=True)[1]]
-            for x in k.tolist():
-                if x not in cost or PENALTY[kind] < cost[x][0]:
-                    cost[x] = (PENALTY[kind], len(names) - 1)
-    marks = np.unique(np.concatenate([[0, total], n[list(cost)]])) if cost else np.array([0, total])
-    for g in np.flatnonzero(np.diff(marks) > own // 2):  # any border where natural ones lie too far apart
-        lo, hi = np.searchsorted(n, [marks[g], marks[g + 1]])
-        some = np.arange(lo, min(hi, len(e) - 1))
-        for x in some[np.unique(n[some] // grain, return_index=True)[1]].tolist():
-            cost.setdefault(x, (PENALTY["none"], 0))
-    at = np.array([*sorted(cost), len(e) - 1])
-    pos = np.concatenate([[0], n[at]]).astype(float)
-    pen = np.array([0.0, *[cost[x][0] for x in at[:-1].tolist()], 0.0])
     share = total / max(1, -(-total // own))
-    # a layer a piece: best[j] is the cheapest way to end that many pieces at candidate j
-    lo = np.searchsorted(pos, pos - own)
-    width = int((np.arange(len(pos)) - lo).max())
-    idx = np.arange(len(pos))[:, None] - 1 - np.arange(width)[None, :]
-    ok = idx >= np.maximum(lo, 0)[:, None]
-    idx = np.maximum(idx, 0)
-    step = np.where(ok, BALANCE * ((pos[:, None] - pos[idx]) / share - 1) ** 2 + pen[:, None] + 1.0, np.inf)
-    # only candidates from which the end can still be reached in the pieces left belong to a layer
-    fewest = max(1, -(-total // own))
-    most = fewest + SLACK
-    while True:
-        best = np.full(len(pos), np.inf)
-        best[0] = 0.0
-        backs, ends = [], []
-        for layer in range(1, most + 1):
-            first = int(np.searchsorted(pos, total - (most - layer) * own))
-            stop = int(np.searchsorted(pos, layer * own, side="right"))
-            nxt, back = np.full(len(pos), np.inf), np.zeros(len(pos), dtype=np.int64)
-            if first < stop:
-                way = best[idx[first:stop]] + step[first:stop]
-                w = way.argmin(axis=1)
-                r = np.arange(stop - first)
-                nxt[first:stop], back[first:stop] = way[r, w], idx[first:stop][r, w]
-            best = nxt
-            backs.append(back)
-            ends.append(best[-1])
-        if np.isfinite(min(ends)):
+    names = list(PENALTY)
+    penalty = np.array(list(PENALTY.values()))
+    kind = np.full(len(e), names.index("none"))  # of the cut at each border
+    for name, pattern in reversed(_KINDS):
+        k = np.searchsorted(e, boundaries(text, name, pattern))
+        kind[k[k < len(e)]] = names.index(name)
+    inner = np.arange(len(e) - 1)
+    pen = penalty[kind[inner]]
+    # every stretch of `own` tokens holds a cut: the cheapest border of each bounds what any chain costs
+    stretch = (n[inner] - 1) // own
+    floor = np.full(int((total - 1) // own) + 1, np.inf)
+    np.minimum.at(floor, stretch, pen)
+    floor = np.where(np.isfinite(floor), floor, 0.0)
+    floor[-1] = 0.0  # the last stretch reaches to the end and need not hold one
+    count = np.arange(max(1, -(-total // own)), len(e) + 1)
+    least = float((count + BALANCE * count * (total / count / share - 1) ** 2).min())
+    bound = pen + floor.sum() - floor[stretch] + least
+    # a chain over strong borders bounds the cost from above; a border with which no chain can be cheaper is left out
+    at, cuts = inner[:0], [0]
+    top = np.inf
+    for weakest in np.unique(pen) if len(pen) else [0.0]:
+        some = inner[(pen <= weakest) & (bound <= top)]
+        if np.any(pen[some] == weakest) or not np.isfinite(top):
+            found, way = _cheapest(np.concatenate([[0], n[some], [total]]).astype(float), np.concatenate([[0.0], pen[some], [0.0]]), share, own)
+            if np.isfinite(found):
+                top, at, cuts = found, some, way
+        if not np.any(bound[pen > weakest] <= top):
             break
-        most *= 2
-    k = int(np.argmin(ends))
-    cuts = [len(pos) - 1]
-    for layer in range(k, -1, -1):
-        cuts.append(int(backs[layer][cuts[-1]]))
-    cuts.reverse()
+    if not np.isfinite(top):
+        raise ValueError("limit too small for the borders of the text")
+    at = np.append(at, len(e) - 1)
+    pos = np.concatenate([[0], n[at]])
     out = []
     for a, b in zip(cuts, cuts[1:], strict=False):
         start = cut = 0
@@ -149,7 +134,7 @@ def _split(text: str, e: np.ndarray, n: np.ndarray, room: int, overlap: int) ->
             back = int(np.searchsorted(n, n[at[a - 1]] - overlap - 2, side="right")) - 1
             start = int(e[back]) if back >= 0 else 0
         last = b == len(pos) - 1
-        out.append((start, len(text) if last else int(e[at[b - 1]]), cut - start, "end" if last else names[cost[int(at[b - 1])][1]]))
+        out.append((start, len(text) if last else int(e[at[b - 1]]), cut - start, "end" if last else names[kind[at[b - 1]]]))
     return out
 
 

@@ -96,6 +96,42 @@ def test_pieces_tile_the_text(text):
     assert t.count(text) == len(t.enc.encode_ordinary(text))
 
 
+def chain_cost(text, pieces, tok, own):
+    """Cost of a list of pieces as the splitter states it, and the tokens each adds."""
+    offs, toks, _ = tok.borders(text)
+    ends = [dict(zip(offs, toks, strict=True))[p[1]] for p in pieces]
+    added = [b - a for a, b in zip([0, *ends], ends, strict=False)]
+    share = ends[-1] / max(1, -(-ends[-1] // own))
+    return sum(1 + splitting.BALANCE * (k / share - 1) ** 2 + splitting.PENALTY.get(p[3], 0.0) for k, p in zip(added, pieces, strict=True)), added
+
+
+def test_pieces_end_at_sections():
+    t = tokenizer()
+    section = "# head\n" + "the sea is calm and the ship goes on. " * 110 + "\n"
+    pieces = splitting.split_offsets(section * 10, t)
+    assert [p[3] for p in pieces] == ["section"] * 9 + ["end"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_split_is_cheapest(seed):
+    rnd, t = random.Random(seed), tokenizer()
+    text = "".join(rnd.choice(["word "] * rnd.choice([4, 20]) + ["stop. ", "half, ", "\n", "\n\n", "\n# top\n"]) for _ in range(900)) + "end"
+    limit, overlap = 200, 8
+    own = limit - 2 * overlap - 10
+    offs, toks, _ = t.borders(text)
+    kind = ["none"] * len(offs)
+    for name, pattern in (("space", splitting._SPACE), ("clause", splitting._CLAUSE), ("sentence", splitting._SENTENCE), ("line", splitting._LINE), ("paragraph", splitting._PARAGRAPH), ("section", splitting._HEADING)):
+        for x in splitting.boundaries(text, name, pattern).tolist():
+            kind[next(k for k, o in enumerate(offs) if o >= x)] = name
+    pos, pen = [0, *toks], [0.0, *[splitting.PENALTY[k] for k in kind[:-1]], 0.0]
+    share = toks[-1] / -(-toks[-1] // own)
+    best = [0.0]
+    for j in range(1, len(pos)):
+        best.append(min((best[i] + 1 + splitting.BALANCE * ((pos[j] - pos[i]) / share - 1) ** 2 + pen[j] for i in range(j) if pos[j] - pos[i] <= own), default=float("inf")))
+    cost, added = chain_cost(text, splitting.split_offsets(text, t, limit, overlap), t, own)
+    assert max(added) <= own and cost == pytest.approx(best[-1])
+
+
 def test_split_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "好" * 4000), (4, "小")], "doc_id bigint, text string").withColumn("piece", F.lit("clash"))
     assert [r["doc_id"] for r in splitting.oversized(df).collect()] == [3]
