@@ -203,6 +203,23 @@ def test_names(spark):
     assert names.name_groups(story.limit(0), lines.limit(0), ops.limit(0), al.limit(0)).count() == 0
 
 
+def test_names_with_a_slip_link_among_many(spark):
+    abc = "hijklmnopqrstuvwyzd"
+    crowd = ["abc" + abc[i] + abc[j] + abc[(i + 2 * j) % 19] + "efg" for i in range(19) for j in range(19) if i != j and j != (i + 2 * j) % 19]
+    story = spark.createDataFrame([(x,) for x in [*crowd, "abcdefg", "abcxefg", "abcefxy", "abcfexy"]], "speaker string")
+    none = spark.createDataFrame([], "interlocutor string, name_zh string, name_en string, alias string, canonical string")
+    got = {tuple(r) for r in names.name_pairs(names.name_groups(story, none, none, none)).collect()}
+    assert got == {("abcdefg", "abcxefg"), ("abcefxy", "abcfexy")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slip_keys_lose_no_edit(seed):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(7, 9))) for _ in range(120)]
+    keys = {w: set(names.slip_keys(w, {})) for w in words}
+    assert all(keys[a] & keys[b] for a in words for b in words if names.edits(a, b, 1) <= 1)
+
+
 def test_average_linkage_keeps_known_names_apart():
     g = names.average_linkage(["a", "b", "c"], {("a", "b"): 0.9, ("b", "c"): 0.8}, {"a": "A", "c": "C"})
     assert g["a"] == g["b"] != g["c"]
