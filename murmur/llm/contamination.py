@@ -1,9 +1,9 @@
 """Evaluation items inside training texts, found with a generalised suffix automaton.
 
-The normalised test items form one automaton. A document's letters and digits are streamed through it
-while the length of the longest match is tracked; matches of at least `seed` letters name the items they
-come from. Reading starts only where a block of letters stands in some item: any match
-twice as long as a block holds one, so nothing longer is passed over. For each item named, the
+The normalised test items form one automaton, which tells where each piece of 4 letters (7 in alphabetic
+scripts) stands in them. Every letter of a document is read: all its pieces that stand in some item are
+looked up. An item is left out only where those pieces, with gaps of up to 3 letters between them filled, hold
+less of it than a leak needs. For each other item the
 matching pieces are chained in order; the item has leaked if one passage covers `share` of its
 letters and digits. Test sets too large for one automaton are worked through in parts.
 """
@@ -15,16 +15,13 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Share of an item's letters and digits that one passage must reproduce.
 SHARE = 0.5
-#: Letters of a match that names an item, for scripts without and with alphabets.
-SEED_WIDE, SEED_ALPHA = 8, 20
-#: Part of a leak's letters that stand in matches of seed length; the rest may be broken up by slips.
-SEED_PART = 0.5
 #: Letters between two matching pieces of one passage, in the text or in the item.
 GAP = 24
 #: Shortest matching piece that counts towards a passage, for wide and alphabetic scripts.
@@ -123,88 +120,90 @@ class SuffixAutomaton:
             todo.extend(self.kids.get(u, ()))
 
 
+def _codes(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A number for each k letters in a row; equal letters have equal numbers."""
+    h = np.zeros(max(0, len(codes) - k + 1), dtype=np.uint64)
+    for j in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(h)]
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 class Finder:
     def __init__(self, items: list[tuple[int, str]]):
         pairs = [(i, letters(t or "")) for i, t in items]
         pairs = [(i, s) for i, s in pairs if s]
         self.ids, self.norm = [i for i, _ in pairs], [s for _, s in pairs]
+        self.sizes = np.array([len(s) for s in self.norm], dtype=np.int64)
         self.sam = SuffixAutomaton(self.norm)
-        self.wide = {s[k : k + SEED_WIDE] for s in self.norm for k in range(len(s) - SEED_WIDE + 1)}
-        self.alpha = {s[k : k + SEED_ALPHA] for s in self.norm for k in range(len(s) - SEED_ALPHA + 1)}
         self._grams: dict[int, dict[str, list[int]]] = {}
         self._piece = [PIECE_ALPHA if 2 * sum(c.isascii() for c in s) > len(s) else PIECE_WIDE for s in self.norm]
-        self.grams = self._seed_grams()
-
-    def _seed_grams(self) -> dict[int, set[str]]:
-        out: dict[int, set[str]] = defaultdict(set)
-        for n, s in enumerate(self.norm):
-            k = self.seed(n)
-            out[k].update(s[p : p + k] for p in range(len(s) - k + 1))
-        return out
+        self.places = {k: self._places(k) for k in sorted(set(self._piece))}
 
     def piece(self, item: int) -> int:
         return self._piece[item]
 
-    def seed(self, item: int) -> int:
-        """Seed length for the item's script, not more than a quarter of the item."""
-        return min(SEED_ALPHA if self._piece[item] == PIECE_ALPHA else SEED_WIDE, max(self._piece[item], len(self.norm[item]) // 4))
-
-    def windows(self, t: str) -> list[tuple[int, int]]:
-        """Parts of t that begin with blocks that stand in some item."""
-        wide, alpha, out = self.wide, self.alpha, []
-        for i in range(0, len(t) - SEED_WIDE + 1, SEED_WIDE // 2):
-            g = t[i : i + SEED_WIDE]
-            if g in wide and (not g.isascii() or t[i : i + SEED_ALPHA] in alpha):
-                if out and i <= out[-1][1]:
-                    out[-1][1] = i + SEED_ALPHA + SEED_WIDE
-                else:
-                    out.append([i, i + SEED_ALPHA + SEED_WIDE])
-        return [(a, min(b, len(t))) for a, b in out]
-
-    def named(self, t: str, parts: list[tuple[int, int]]) -> dict[int, list[int]]:
-        """Item -> positions in t at which a long enough match with it ends."""
-        nxt, link, length = self.sam.next, self.sam.link, self.sam.len
-        found: dict[int, list[int]] = defaultdict(list)
-        for a, b in parts:
-            v = n = 0
-            mark = 0
-            for i in range(a, b):
-                c = t[i]
-                w = nxt[v].get(c)
-                if w is None:
-                    if n >= SEED_WIDE and n > mark:
-                        self._name(v, n, i, t, found)
-                    while v > 0 and c not in nxt[v]:
-                        v = link[v]
-                        n = length[v]
-                    w = nxt[v].get(c)
-                    mark = 0
-                    if w is None:
-                        v = n = 0
-                        continue
-                v = w
-                n += 1
-                # while a long match goes on, name the items that share its last letters now and then
-                if n >= mark + SEED_WIDE and n >= SEED_WIDE:
-                    if not c.isascii() or n >= SEED_ALPHA:
-                        self._name(v, n, i + 1, t, found)
-                        mark = n
-            if n >= SEED_WIDE:
-                self._name(v, n, b, t, found)
-        return found
-
-    def _name(self, v: int, n: int, end: int, t: str, found: dict[int, list[int]]) -> None:
-        need = SEED_ALPHA if t[end - SEED_WIDE : end].isascii() else SEED_WIDE
-        if n < need:
-            return
-        for item, _ in self.sam.occurrences(v, need):
-            found[item].append(end)
-
-    def coverage(self, t: str, item: int, seeds: dict[str, list[int]], share: float) -> tuple[float, int, int]:
-        """Best share of the item in one passage of t, with the passage's begin and end; 0 if none can have `share`.
-
-        seeds: the positions in t of all its pieces of the item's seed length.
+    def _places(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All k letters in a row of the items whose pieces have k: numbers, their upper bits as a table, and where each stands."""
+        grams = sorted({s[p : p + k] for n, s in enumerate(self.norm) if self._piece[n] == k for p in range(len(s) - k + 1)})
+        keys = np.array([_hashes(_codes(g), k)[0] for g in grams], dtype=np.uint64)
+        order = np.argsort(keys)
+        starts, item, at = [0], [], []
+        for o in order.tolist():
+            v = 0
+            for c in grams[o]:
+                v = self.sam.next[v][c]
+            for n, end in self.sam.occurrences(v, k):
+                if self._piece[n] == k:
+                    item.append(n)
+                    at.append(end - k)
+            starts.append(len(item))
+        some = np.zeros(1 << 22, dtype=bool)
+        some[keys >> np.uint64(42)] = True
+        return keys[order], some, np.array(starts), np.array(item, dtype=np.int64), np.array(at, dtype=np.int64)
+
+    def runs(self, t: str, share: float) -> dict[int, list[tuple[int, int]]]:
+        """Item -> parts of t in which one passage may reproduce `share` of it; what lies outside can't.
+
+        Matches more than GAP letters apart are never chained, and a chain covers no letters of the item but
+        those in matches of a piece's length and gaps of up to 3 between them.
         """
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        codes = _codes(t)
+        for k, (keys, some, starts, items, offsets) in self.places.items():
+            h = _hashes(codes, k)
+            pos = np.flatnonzero(some[h >> np.uint64(42)])
+            if not len(pos):
+                continue
+            g = np.minimum(np.searchsorted(keys, h[pos]), len(keys) - 1)
+            same = keys[g] == h[pos]
+            pos, g = pos[same], g[same]
+            n = starts[g + 1] - starts[g]
+            row = np.repeat(starts[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            i, item, p = np.repeat(pos, n), items[row], offsets[row]
+            need = share * self.sizes - 1e-9
+            enough = (np.bincount(item, minlength=len(self.sizes)) * (k + 3) >= need)[item]
+            i, item, p = i[enough], item[enough], p[enough]
+            if not len(i):
+                continue
+            order = np.lexsort((i, item))
+            i, item, p = i[order], item[order], p[order]
+            first = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (np.diff(i) > GAP + k)))
+            last = np.append(first[1:], len(i))
+            for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                x = int(item[a])
+                if (b - a) * (k + 3) < need[x]:
+                    continue
+                step = np.diff(np.unique(p[a:b]))
+                if np.where(step <= k + 3, step, k).sum() + k >= need[x]:
+                    out[x].append((int(i[a]), int(i[b - 1]) + k))
+        return out
+
+    def coverage(self, t: str, item: int, spans: list[tuple[int, int]]) -> tuple[float, int, int]:
+        """Best share of the item in one passage of the spans of t, with the passage's begin and end; 0 if there is none."""
         s = self.norm[item]
         k = self.piece(item)
         if item not in self._grams:
@@ -214,8 +213,7 @@ class Finder:
             self._grams[item] = g
         grams = self._grams[item]
         best = (0.0, 0, 0)
-        spans = self._dense(item, seeds, share)
-        for a, b in _merge([(x - len(s), y + len(s)) for x, y in spans], len(t)):
+        for a, b in spans:
             blocks = []
             reach: dict[int, int] = {}  # diagonal -> end of its last block
             for i in range(a, b - k + 1):
@@ -246,59 +244,17 @@ class Finder:
                     best = (top[0] / len(s), top[1], i + n)
         return best
 
-    def _dense(self, item: int, seeds: dict[str, list[int]], share: float) -> list[tuple[int, int]]:
-        """Parts of a text in which matches of seed length hold SEED_PART of the letters that a leak needs."""
-        s, k = self.norm[item], self.seed(item)
-        hits = sorted((i, p) for p in range(len(s) - k + 1) for i in seeds.get(s[p : p + k], ()))
-        need, span, block = SEED_PART * share * len(s), len(s) + len(s) // 2 + 3 * GAP, (1 << k) - 1
-        out: list[tuple[int, int]] = []
-        for h, (i, _) in enumerate(hits):
-            if out and i <= out[-1][1]:
-                continue
-            mask = 0
-            for j in range(h, len(hits)):
-                if hits[j][0] - i > span:
-                    break
-                mask |= block << hits[j][1]
-                if mask.bit_count() >= need:
-                    out.append((i, i + span))
-                    break
-        return out
-
     def leaks(self, text: str, share: float = SHARE) -> list[tuple[int, float, int, int]]:
         """(item id, share reproduced, begin, end in letters) of every item the text leaks."""
         t = letters(text)
-        if len(t) < SEED_WIDE:
-            return []
         out = []
-        seeds: dict[int, dict[str, list[int]]] = {}
-        grams = self.grams
-        parts = _merge([(a - SEED_ALPHA, b) for a, b in self.windows(t)], len(t))
-        for item in self.named(t, parts):
-            k = self.seed(item)
-            if k not in seeds:
-                seeds[k] = defaultdict(list)
-                for a, b in parts:
-                    for i in range(a, min(b, len(t) - k + 1)):
-                        g = t[i : i + k]
-                        if g in grams[k]:
-                            seeds[k][g].append(i)
-            c, a, b = self.coverage(t, item, seeds[k], share)
+        for item, spans in self.runs(t, share).items():
+            c, a, b = self.coverage(t, item, spans)
             if c >= share:
                 out.append((self.ids[item], c, a, b))
         return out
 
 
-def _merge(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((max(0, a), min(n, b)) for a, b in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 _finders: dict[object, Finder] = {}
 
 
@@ -308,7 +264,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, share: float = SHARE, par
     One row for each document and item, though the item may stand in the document more often. NULL and
     '' texts leak nothing; items without letters or digits can't leak. Items stored twice (same
     item_id and text) count once; documents stored twice give their rows once. Either table may be
-    empty. Items shorter than a seed are found only if a seed's length of them is there.
+    empty. Items shorter than a piece can't leak.
     """
     spark = docs.sparkSession
     # the test set is small by its nature; it is read in parts of at most part_chars characters, each with its own automaton
@@ -320,7 +276,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, share: float = SHARE, par
             size = 0
         parts[-1].append((r["item_id"], r["text"]))
         size += len(r["text"])
-    slim = docs.select("doc_id", "text").filter(F.length("text") >= SEED_WIDE)
+    slim = docs.select("doc_id", "text").filter("text <> ''")
     out = None
     for part in parts:
         found = slim.mapInPandas(_scanner(spark.sparkContext.broadcast(part), share), "doc_id bigint, item_id bigint, covered double, start int, stop int")

@@ -50,6 +50,26 @@ def test_suffix_automaton_finds_leaks(spark):
     assert contamination.leaked_passages(df, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_with_slips_are_all_found(seed):
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(i, text(45)) for i in range(12)] + [(12, "".join(chr(0x4E00 + rnd.randrange(300)) for _ in range(90)))]
+    finder = contamination.Finder(items)
+    leaked = 0
+    for _ in range(60):
+        i, s = rnd.choice(items)
+        a = rnd.randrange(len(s) // 3)
+        part = "".join(rnd.choice("xyzq") if rnd.random() < 0.07 else c for c in s[a : a + 2 * len(s) // 3])
+        doc = text(30) + " " + part + " " + text(30)
+        t = contamination.letters(doc)
+        want = {finder.ids[n] for n in range(len(items)) if finder.coverage(t, n, [(0, len(t))])[0] >= contamination.SHARE}
+        leaked += i in want
+        assert {x[0] for x in finder.leaks(doc)} == want
+    assert leaked > 10
+
+
 def test_suffix_automaton_occurrences():
     sam = contamination.SuffixAutomaton(["abcbc", "bcb"])
     v = 0
