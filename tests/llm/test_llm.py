@@ -240,6 +240,17 @@ def test_slip_keys_lose_no_edit(seed):
     assert all(keys[a] & keys[b] for a in words for b in words if names.edits(a, b, 1) <= 1)
 
 
+def test_transliteration_is_learned_from_every_pair(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(names, "learn_transliteration", lambda pairs: seen.extend(pairs) or {})
+    ops = spark.createDataFrame([(f"{chr(0x4E00 + i)}戈", f"Go {i}") for i in range(4100)], "name_zh string, name_en string")
+    story, none = spark.createDataFrame([], "speaker string"), spark.createDataFrame([], "interlocutor string, alias string, canonical string")
+    monkeypatch.setattr(names, "by_name", lambda *_: (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        names.name_groups(story, none, ops, none)
+    assert len(seen) == 4100
+
+
 def test_average_linkage_keeps_known_names_apart():
     g = names.average_linkage(["a", "b", "c"], {("a", "b"): 0.9, ("b", "c"): 0.8}, {"a": "A", "c": "C"})
     assert g["a"] == g["b"] != g["c"]
