@@ -251,6 +251,18 @@ def test_transliteration_is_learned_from_every_pair(spark, monkeypatch):
     assert len(seen) == 4100
 
 
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(45)], "a string, b string")
+    assert {r["component"] for r in names.components(edges).collect()} == {"n00"}
+
+
+def test_cosine_join_keeps_every_similar_form(spark):
+    rnd = random.Random(5)
+    texts = sorted({"stelmarovin" + "".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 4))) for _ in range(80)})
+    alike = spark.createDataFrame([(x, "full", x) for x in texts], "id string, kind string, text string")
+    assert len(texts) > 60 and names.top_cosine(alike, alike, 0.001).count() == len(texts) * (len(texts) - 1)
+
+
 def test_average_linkage_keeps_known_names_apart():
     g = names.average_linkage(["a", "b", "c"], {("a", "b"): 0.9, ("b", "c"): 0.8}, {"a": "A", "c": "C"})
     assert g["a"] == g["b"] != g["c"]
