@@ -3,9 +3,9 @@
 A text is read as a stream of marks and text slots. The streams of all texts of one host (table and
 source) are folded and aligned block by block into union-free regular expressions, the wrappers:
 adjacent repeats become repeated groups, marks that stand on one side only become optional groups, and
-differing words become text slots. Folding and aligning are commutative and idempotent, so parts of the
-data are aligned where they lie and only distinct wrappers travel. A mark counts as markup on a
-host if a wrapper holds it in a well-formed place, opening marks together with their closing ones.
+what stands between marks is a text slot. Folding and aligning are commutative and idempotent, so parts of the
+data are aligned where they lie and only distinct wrappers travel. The grammar decides what a mark is; it
+counts on a host if the wrappers there hold it, of a pair both halves, which need not share a wrapper.
 """
 
 from __future__ import annotations
