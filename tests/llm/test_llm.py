@@ -79,13 +79,40 @@ def test_suffix_automaton_occurrences():
     assert sorted(sam.occurrences(v, 2)) == [(0, 3), (0, 5), (1, 2)]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_bin_completion_near_optimum(seed):
+def fewest(sizes, cap):
+    """Least number of containers by dynamic programming over sets of items."""
+    best = [(0, 0)] + [(len(sizes) + 1, 0)] * (2 ** len(sizes) - 1)
+    for m in range(1, 2 ** len(sizes)):
+        for i, s in enumerate(sizes):
+            if m >> i & 1:
+                n, used = best[m & ~(1 << i)]
+                best[m] = min(best[m], (n + (n == 0 or used + s > cap), s if n == 0 or used + s > cap else used + s))
+    return best[-1][0]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_bin_completion_finds_the_optimum(seed):
+    rnd = random.Random(seed)
+    cap = rnd.choice([20, 30, 97])
+    sizes = [rnd.randint(0 if seed % 3 else cap // 6, cap // 2) for _ in range(rnd.randint(6, 11))]
+    bins = packing.bin_completion(sizes, cap, None, None)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= cap for b in bins)
+    assert len(bins) == max(1, fewest([s for s in sizes if s], cap))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_completions_are_all_undominated(seed):
     rnd = random.Random(seed)
-    sizes = [rnd.randint(0, 25) for _ in range(11)]
-    bins = packing.bin_completion(sizes, 30, 5000)
-    assert sorted(i for b in bins for i in b) == list(range(11)) and all(sum(sizes[i] for i in b) <= 30 for b in bins)
-    assert len(bins) <= len(packing.best_fit_decreasing(sizes, 30))
+    avail = sorted((rnd.randint(1, 12) for _ in range(8)), reverse=True)
+    got, _, whole = packing.completions(avail, 17)
+    every = {tuple(sorted((avail[i] for i in range(8) if m >> i & 1), reverse=True)) for m in range(256)}
+    every = {x for x in every if sum(x) <= 17}
+
+    def dominated(x):
+        left = Counter(avail) - Counter(x)
+        return any(s <= 17 - sum(x) for s in left) or any(t > s and t - s <= 17 - sum(x) for s in x for t in left)
+
+    assert whole and set(got) == {x for x in every if not dominated(x)} and [sum(x) for x in got] == sorted(map(sum, got), reverse=True)
 
 
 def test_pack_keeps_everything(spark):
