@@ -1,11 +1,11 @@
 """Evaluation items inside training texts, found with a generalised suffix automaton.
 
 The normalised test items form one automaton, which tells where each piece of 4 letters (7 in alphabetic
-scripts) stands in them. Every letter of a document is read: all its pieces that stand in some item are
-looked up. An item is left out only where those pieces, with gaps of up to 3 letters between them filled, hold
-less of it than a leak needs. For each other item the
-matching pieces are chained in order; the item has leaked if one passage covers `share` of its
-letters and digits. Test sets too large for one automaton are worked through in parts.
+scripts, fewer for a shorter item) stands in them. Every letter of a document is read: all its pieces that stand in
+some item are looked up. An item is left out only where those pieces, with gaps of up to 3 letters between them
+filled, hold less of it than a leak needs. What is left is streamed through the automaton, which keeps the length of
+the longest match at every letter; the matches with an item are chained in order, and each passage that
+covers `share` of the item's letters and digits is a leak. Test sets too large for one automaton are worked through in parts.
 """
 
 from __future__ import annotations
@@ -139,8 +139,7 @@ class Finder:
         self.ids, self.norm = [i for i, _ in pairs], [s for _, s in pairs]
         self.sizes = np.array([len(s) for s in self.norm], dtype=np.int64)
         self.sam = SuffixAutomaton(self.norm)
-        self._grams: dict[int, dict[str, list[int]]] = {}
-        self._piece = [PIECE_ALPHA if 2 * sum(c.isascii() for c in s) > len(s) else PIECE_WIDE for s in self.norm]
+        self._piece = [min(len(s), PIECE_ALPHA if 2 * sum(c.isascii() for c in s) > len(s) else PIECE_WIDE) for s in self.norm]
         self.places = {k: self._places(k) for k in sorted(set(self._piece))}
 
     def piece(self, item: int) -> int:
@@ -202,35 +201,49 @@ class Finder:
                     out[x].append((int(i[a]), int(i[b - 1]) + k))
         return out
 
+    def matches(self, t: str, item: int, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(begin in t, begin in the item, letters) of the maximal matches of t[a:b] with the item, from a piece's length on.
+
+        The automaton reads the letters and keeps the longest match that ends at each; where that is a piece or more,
+        it tells where the last piece stands in the item, and what follows on one diagonal is one match.
+        """
+        sam, k = self.sam, self._piece[item]
+        out: list[list[int]] = []
+        open_: dict[int, list[int]] = {}  # diagonal -> its last match
+        v = n = 0
+        for i in range(a, b):
+            c = t[i]
+            while v and c not in sam.next[v]:
+                v = sam.link[v]
+                n = sam.len[v]
+            if c in sam.next[v]:
+                v, n = sam.next[v][c], n + 1
+            if n < k:
+                continue
+            for x, end in sam.occurrences(v, k):
+                if x == item:
+                    d = i + 1 - end
+                    m = open_.get(d)
+                    if m is not None and m[0] + m[2] == i:
+                        m[2] += 1
+                    else:
+                        m = [i + 1 - k, end - k, k]
+                        open_[d] = m
+                        out.append(m)
+        return sorted((m[0], m[1], m[2]) for m in out)
+
     def coverage(self, t: str, item: int, spans: list[tuple[int, int]]) -> tuple[float, int, int]:
         """Best share of the item in one passage of the spans of t, with the passage's begin and end; 0 if there is none."""
-        s = self.norm[item]
-        k = self.piece(item)
-        if item not in self._grams:
-            g: dict[str, list[int]] = defaultdict(list)
-            for p in range(len(s) - k + 1):
-                g[s[p : p + k]].append(p)
-            self._grams[item] = g
-        grams = self._grams[item]
+        size = len(self.norm[item])
         best = (0.0, 0, 0)
         for a, b in spans:
-            blocks = []
-            reach: dict[int, int] = {}  # diagonal -> end of its last block
-            for i in range(a, b - k + 1):
-                for p in grams.get(t[i : i + k], ()):
-                    if reach.get(i - p, -1) > i:
-                        continue
-                    n = k
-                    while i + n < b and p + n < len(s) and t[i + n] == s[p + n]:
-                        n += 1
-                    reach[i - p] = i + n
-                    blocks.append((i, p, n))
+            blocks = self.matches(t, item, a, b)
             score: list[tuple[float, int]] = []  # letters covered, begin
             for j, (i, p, n) in enumerate(blocks):
                 top = (float(n), i)
                 for h in range(j - 1, -1, -1):
                     i0, p0, n0 = blocks[h]
-                    if i - (i0 + n0) > GAP and i - i0 > len(s) + GAP:
+                    if i - (i0 + n0) > GAP and i - i0 > size + GAP:
                         break
                     cut = max(0, i0 + n0 - i, p0 + n0 - p)
                     gi, gp = i + cut - i0 - n0, p + cut - p0 - n0
@@ -240,19 +253,26 @@ class Finder:
                     if score[h][0] + n - cut + slip > top[0]:
                         top = (score[h][0] + n - cut + slip, score[h][1])
                 score.append(top)
-                if top[0] / len(s) > best[0]:
-                    best = (top[0] / len(s), top[1], i + n)
+                if top[0] / size > best[0]:
+                    best = (top[0] / size, top[1], i + n)
         return best
 
+    def passages(self, t: str, item: int, spans: list[tuple[int, int]], share: float) -> list[tuple[float, int, int]]:
+        """Every passage of the spans that covers `share` of the item: the best one, then what lies before and after it."""
+        out = []
+        todo = list(spans)
+        while todo:
+            a, b = todo.pop()
+            c, x, y = self.coverage(t, item, [(a, b)])
+            if c >= share - 1e-9 and y > x:
+                out.append((c, x, y))
+                todo += [(a, x), (y, b)]
+        return sorted(out, key=lambda m: m[1])
+
     def leaks(self, text: str, share: float = SHARE) -> list[tuple[int, float, int, int]]:
-        """(item id, share reproduced, begin, end in letters) of every item the text leaks."""
+        """(item id, share reproduced, begin, end in letters) of every passage of the text that leaks an item."""
         t = letters(text)
-        out = []
-        for item, spans in self.runs(t, share).items():
-            c, a, b = self.coverage(t, item, spans)
-            if c >= share:
-                out.append((self.ids[item], c, a, b))
-        return out
+        return [(self.ids[item], *m) for item, spans in self.runs(t, share).items() for m in self.passages(t, item, spans, share)]
 
 
 _finders: dict[object, Finder] = {}
@@ -261,10 +281,10 @@ _finders: dict[object, Finder] = {}
 def leaked_passages(docs: DataFrame, items: DataFrame, share: float = SHARE, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, item_id, covered (share of the item's letters and digits), start, stop (of the passage in text).
 
-    One row for each document and item, though the item may stand in the document more often. NULL and
-    '' texts leak nothing; items without letters or digits can't leak. Items stored twice (same
-    item_id and text) count once; documents stored twice give their rows once. Either table may be
-    empty. Items shorter than a piece can't leak.
+    One row for each passage: an item that stands in a document twice has two. NULL and '' texts leak
+    nothing; items without letters or digits can't leak, items shorter than a piece leak where they stand whole.
+    Items stored twice (same item_id and text) count once; documents stored twice give their rows once. Either
+    table may be empty.
     """
     spark = docs.sparkSession
     # the test set is small by its nature; it is read in parts of at most part_chars characters, each with its own automaton
@@ -281,8 +301,12 @@ def leaked_passages(docs: DataFrame, items: DataFrame, share: float = SHARE, par
     for part in parts:
         found = slim.mapInPandas(_scanner(spark.sparkContext.broadcast(part), share), "doc_id bigint, item_id bigint, covered double, start int, stop int")
         out = found if out is None else out.unionByName(found)
-    # an item id may have several texts, a document several copies: keep the fullest passage
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "start", "stop")).alias("m")).select("doc_id", "item_id", "m.*")
+    return out.distinct()
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id of every item that a document leaks, once."""
+    return leaked_passages(docs, items, share).select("doc_id", "item_id").distinct()
 
 
 def _scanner(shared, share: float):  # noqa: ANN001, ANN202

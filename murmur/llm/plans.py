@@ -36,7 +36,7 @@ QUERIES = {
     "p5_canonical": lambda s, d: lookalike.canonical_records(table(s, d, "annotated_lines"), table(s, d, "operator_data")),
     "p6_containers": lambda s, d: packing.pack_documents(table(s, d, "documents")),
     "p6_fill_report": lambda s, d: packing.fill_report(packing.pack_documents(table(s, d, "documents"))),
-    "p7_found": lambda s, d: contamination.leaked_passages(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
+    "p7_found": lambda s, d: contamination.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
     "p7_passages": lambda s, d: contamination.leaked_passages(table(s, d, "documents"), table(s, d, "eval_items")),
     "p7_decontaminated": lambda s, d: contamination.decontaminate(table(s, d, "documents"), table(s, d, "eval_items")),
     "p8_found": lambda s, d: splitting.oversized(table(s, d, "documents")),

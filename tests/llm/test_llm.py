@@ -71,6 +71,31 @@ def test_leaks_with_slips_are_all_found(seed):
     assert leaked > 10
 
 
+@pytest.mark.parametrize("every", [10, 15, 20, 25])
+def test_leaks_with_one_wrong_letter_in_every_few(every):
+    rnd = random.Random(every)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(45))) for i in range(30)]
+    finder = contamination.Finder(items)
+    slipped = lambda s: "".join("q" if k % every == every - 1 else c for k, c in enumerate(contamination.letters(s)))
+    found = sum(i in {x[0] for x in finder.leaks(f"{word()} {slipped(s)} {word()}")} for i, s in items)
+    assert found >= 0.9 * len(items)
+
+
+def test_every_passage_of_an_item_goes(spark):
+    item, short = "The lantern keeper counts ninety-four crates before the fog lifts.", "灰港"
+    text = f"First. {item} Middle. {item.upper()} End of it, near 灰港."
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "灰 海")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, item), (6, short)], "item_id bigint, text string")
+    got = contamination.leaked_passages(docs, items)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 5), (1, 5), (1, 6)]
+    assert sorted(tuple(r) for r in contamination.leaked_items(docs, items).collect()) == [(1, 5), (1, 6)]
+    clean = {r["doc_id"]: r for r in contamination.decontaminate(docs, items).collect()}
+    assert "lantern" not in clean[1]["text"].lower() and clean[1]["n_leaks"] == 3 and clean[2]["text"] == "灰 海"
+    rest = contamination.decontaminate(docs, items).select("doc_id", "text")
+    assert contamination.leaked_passages(rest, items).isEmpty()
+
+
 def test_suffix_automaton_occurrences():
     sam = contamination.SuffixAutomaton(["abcbc", "bcb"])
     v = 0
