@@ -1,18 +1,20 @@
 """Markup residue: wrappers inferred from token streams, and clean text that keeps structure.
 
-A text is read as a stream of marks and text slots. The streams of all texts of one host (table and
-source) are folded and aligned block by block into union-free regular expressions, the wrappers:
-adjacent repeats become repeated groups, marks that stand on one side only become optional groups, and
-what stands between marks is a text slot. Folding and aligning are commutative and idempotent, so parts of the
-data are aligned where they lie and only distinct wrappers travel. The grammar decides what a mark is; it
-counts on a host if the wrappers there hold it, of a pair both halves, which need not share a wrapper.
+A text is read as blocks of marks and text slots. The blocks of all texts of one host (table and source) that begin
+with the same mark are folded and aligned into a union-free regular expression, the wrapper: adjacent repeats
+become repeated groups, marks that stand on one side only become optional groups, and what stands between marks is a
+text slot. Folding and aligning are commutative and idempotent, so parts of the data are aligned where they lie and
+only distinct wrappers travel. A grammar tells what may be a mark; whether it is one is for the wrappers: a mark of a
+block counts if the wrapper of its host and first mark holds it well-formed, of a pair both halves in their order, and
+wrappers over the whole collection hold it in at least two texts. A half whose partner stands in
+other blocks only, or a sign that no other text repeats, is left alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -216,10 +218,13 @@ def blocks(text: str, found: list[tuple[str, int, int]]) -> set[tuple[str, str]]
     return out
 
 
-def confirmed(wrappers: Iterable[str]) -> list[str]:
-    """Classes of marks that stand well-formed in the wrappers: void marks, and pairs of which both sides occur."""
-    seen = {t for w in wrappers for t in re.findall(r"[^\s()#]+", re.sub(r"\)[+?*]", " ", w))}
-    return sorted(t for t in seen if not (t.endswith("<") or t.endswith(">")) or (t[:-1] + "<" in seen and t[:-1] + ">" in seen))
+def confirmed(wrapper: str) -> list[str]:
+    """Classes of marks that stand well-formed in a wrapper: void marks, and pairs of which a half that opens stands before one that closes."""
+    order = re.findall(r"[^\s()#]+", re.sub(r"\)[+?*]", " ", wrapper))
+    first = {t: i for i, t in reversed(list(enumerate(order)))}
+    last = {t: i for i, t in enumerate(order)}
+    pair = lambda t: first.get(t[:-1] + "<", len(order)) < last.get(t[:-1] + ">", -1)
+    return sorted(t for t in first if (pair(t) if t[-1] in "<>" else True))
 
 
 # ---- the operator
@@ -234,7 +239,7 @@ def texts_of(operator_data: DataFrame, story_lines: DataFrame, documents: DataFr
 
 
 def mark_streams(texts: DataFrame) -> DataFrame:
-    """src, row_key, host, classes, blocks (key and stream) of every text that holds a mark."""
+    """src, row_key, host, blocks (mark: the first, stream, classes) of every text that may hold a mark."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -242,16 +247,24 @@ def mark_streams(texts: DataFrame) -> DataFrame:
             for src, key, host, text in zip(b["src"], b["row_key"], b["host"], b["text"], strict=True):
                 found = marks(text)
                 if found:
-                    rows.append((src, key, host, sorted({m[0] for m in found}), [f"{k}\t{s}" for k, s in sorted(blocks(text, found))]))
-            yield pd.DataFrame(rows, columns=["src", "row_key", "host", "classes", "blocks"])
+                    rows.append((src, key, host, [{"mark": k, "stream": s, "classes": sorted(set(re.findall(r"[^\s()#]+", re.sub(r"\)[+?*]", " ", s))))} for k, s in sorted(blocks(text, found))]))
+            yield pd.DataFrame(rows, columns=["src", "row_key", "host", "blocks"])
 
-    return texts.filter(F.col("text").rlike(TRIGGER)).mapInPandas(read, "src string, row_key bigint, host string, classes array<string>, blocks array<string>")
+    return texts.filter(F.col("text").rlike(TRIGGER)).mapInPandas(read, "src string, row_key bigint, host string, blocks array<struct<mark:string,stream:string,classes:array<string>>>")
+
+
+#: Distinct streams that one task aligns at once, and how many partial wrappers the next level joins.
+STREAMS, FAN = 500, 16
 
 
 def infer_wrappers(streams: DataFrame) -> DataFrame:
-    """host, mark (the first of the block), wrapper, n (texts with such a block)."""
-    counted = streams.select("host", F.explode("blocks").alias("b")).groupBy("host", "b").agg(F.count(F.lit(1)).alias("n"))
-    keyed = counted.select("host", F.split("b", "\t")[0].alias("mark"), F.split("b", "\t")[1].alias("wrapper"), "n")
+    """host, mark (the first of the block), wrapper, n (blocks it was inferred from, equal ones of a text once).
+
+    Streams are counted first, so equal ones are one row. Distinct ones are aligned in a tree of levels over salts, as
+    many as their number asks for: no task takes all the streams of a host, however many it has.
+    """
+    counted = streams.select("host", F.explode("blocks").alias("b")).groupBy("host", F.col("b.mark").alias("mark"), F.col("b.stream").alias("wrapper")).agg(F.count(F.lit(1)).alias("n"))
+    keyed = materialize(counted, "marks")
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         w: tuple | None = None
@@ -260,48 +273,67 @@ def infer_wrappers(streams: DataFrame) -> DataFrame:
             w = p if w is None else align(w, p)
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "mark": [rows["mark"].iloc[0]], "wrapper": [show(fold(list(w)))], "n": [int(rows["n"].sum())]})
 
-    # aligned in two levels, so that no task takes all the streams of a host that has very many
-    salted = keyed.withColumn("__salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
     shape = "host string, mark string, wrapper string, n bigint"
-    return salted.groupBy("host", "mark", "__salt").applyInPandas(merge, shape).groupBy("host", "mark").applyInPandas(merge, shape)
+    parts = int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    largest = keyed.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
+    salts = -(-largest // STREAMS)
+    while True:
+        salted = keyed.withColumn("__salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
+        # a stated number of partitions isn't merged into one task
+        keyed = salted.repartition(parts, "host", "mark", "__salt").groupBy("host", "mark", "__salt").applyInPandas(merge, shape)
+        if salts == 1:
+            return keyed
+        salts = -(-salts // FAN)
+
 
+#: Texts that must hold a mark in a wrapper before it counts.
+SUPPORT = 2
 
-def host_marks(wrappers: DataFrame) -> DataFrame:
-    """host, marks: the confirmed classes of each host."""
+
+def wrapper_marks(wrappers: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """host, mark, marks: the classes that the wrapper of each host and first mark confirms.
+
+    Of those a class counts whose wrappers have at least `support` blocks in all.
+    """
 
     @F.pandas_udf("array<string>")
     def check(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: confirmed(w))
+        return s.map(confirmed)
 
-    return wrappers.groupBy("host").agg(F.collect_set("wrapper").alias("w")).select("host", check("w").alias("marks"))
+    each = materialize(wrappers.select("host", "mark", "n", F.explode(check("wrapper")).alias("class")), "marks")
+    held = each.groupBy("class").agg(F.sum("n").alias("held")).filter(F.col("held") >= support).select("class")
+    return each.join(F.broadcast(held) if fits_broadcast(held, 20_000) else held, "class", "left_semi").groupBy("host", "mark").agg(F.collect_set("class").alias("marks"))
 
 
-def _with_marks(df: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
-    return df.join(F.broadcast(known) if fits_broadcast(known, 20_000) else known, "host", how)
+def _known(df: DataFrame, known: DataFrame, on: list[str], how: str) -> DataFrame:
+    return df.join(F.broadcast(known) if fits_broadcast(known, 20_000) else known, on, how)
 
 
-def residue(operator_data: DataFrame, story_lines: DataFrame, documents: DataFrame) -> DataFrame:
-    """src, row_key of every text that holds at least one mark confirmed on its host.
+def residue(operator_data: DataFrame, story_lines: DataFrame, documents: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """src, row_key of every text of which a block holds a mark that its wrapper confirms.
 
-    NULL and '' texts hold none; rows stored twice come once.
+    NULL and '' texts hold none; rows stored twice come once, though both count for the support.
     """
     streams = materialize(mark_streams(texts_of(operator_data, story_lines, documents)), "marks")
-    known = materialize(host_marks(infer_wrappers(streams)), "marks")
-    hit = _with_marks(streams.select("src", "row_key", "host", "classes"), known).filter(F.arrays_overlap("classes", "marks"))
-    return hit.select("src", "row_key").distinct()
+    known = materialize(wrapper_marks(infer_wrappers(streams), support), "marks")
+    held = streams.select("src", "row_key", "host", F.explode("blocks").alias("b")).select("src", "row_key", "host", "b.mark", "b.classes")
+    return _known(held, known, ["host", "mark"], "inner").filter(F.arrays_overlap("classes", "marks")).select("src", "row_key").distinct()
 
 
-def clean_texts(operator_data: DataFrame, story_lines: DataFrame, documents: DataFrame) -> DataFrame:
-    """src, row_key, clean for every row of the three tables; texts without markup come out as they are, NULL as NULL."""
+def clean_texts(operator_data: DataFrame, story_lines: DataFrame, documents: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """src, row_key, clean for every row of the three tables; texts without markup come out as they are, NULL as NULL.
+
+    Only classes of marks that the wrappers of a host confirm are taken out of its texts.
+    """
     texts = texts_of(operator_data, story_lines, documents)
-    streams = mark_streams(texts)
-    known = materialize(host_marks(infer_wrappers(streams)), "marks")
+    streams = materialize(mark_streams(texts), "marks")
+    known = materialize(wrapper_marks(infer_wrappers(streams), support).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks")), "marks")
 
     @F.pandas_udf("string")
     def tidy(t: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([clean_markup(x, frozenset(k) if k is not None else frozenset()) if x else x for x, k in zip(t, m, strict=True)])
 
-    joined = _with_marks(texts, known, "left")
+    joined = _known(texts, known, ["host"], "left")
     return joined.select("src", "row_key", tidy("text", "marks").alias("clean"))
 
 

@@ -253,15 +253,37 @@ def test_wrappers_align():
     assert markup.show(a) == "(<p # >p)+" and markup.parse(markup.show(a)) == a
     w = markup.align(("a", "#", "c"), ("a", "b", "#", "c"))
     assert markup.show(w) == "a (b)? # c" and markup.align(w, ("a", "#", "c")) == w
-    assert markup.confirmed(["tag:p< # tag:p>", "tag:b< #"]) == ["tag:p<", "tag:p>"]
+    assert markup.confirmed("tag:p< # tag:p> br") == ["br", "tag:p<", "tag:p>"] and markup.confirmed("tag:b< #") == [] and markup.confirmed("tag:b> # tag:b<") == []
+
+
+def test_wrappers_decide_which_signs_count(spark):
+    o, d = spark.createDataFrame([], "rec_id bigint, kind string, text string"), spark.createDataFrame([], "doc_id bigint, source string, text string")
+    s = lambda *texts: spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "row_id bigint, text string")
+    found = lambda *texts: sorted(r["row_key"] for r in markup.residue(o, s(*texts), d).collect())
+    # halves that stand alone are no markup, though both occur on the host
+    assert found("{{a|b}} 好", "{{c|d}}", "左}}右", "<p>好</p>", "<p>好</p>", "好</p>") == [0, 1, 3, 4]
+    # a sign counts once other texts of the collection repeat it
+    assert found("他说_好_了", "没有") == [] and found("他说_好_了", "又说_不_好") == [0, 1]
+    clean = {r["row_key"]: r["clean"] for r in markup.clean_texts(o, s("他说_好_了", "<b>好</b>", "<b>不</b>"), d).collect()}
+    assert clean == {0: "他说_好_了", 1: "好", 2: "不"}
+
+
+@pytest.mark.parametrize("salts", [1, 3, 40])
+def test_wrappers_do_not_depend_on_the_salts(spark, monkeypatch, salts):
+    rows = [(1, "h", f"<p>{'<b>x</b>' * (i % 4)}{'<br>' * (i % 3)}</p>") for i in range(40)]
+    texts = spark.createDataFrame(rows, "row_key bigint, host string, text string").withColumn("src", F.lit("s"))
+    monkeypatch.setattr(markup, "STREAMS", max(1, 12 // salts))
+    monkeypatch.setattr(markup, "FAN", 2)
+    w = markup.infer_wrappers(markup.mark_streams(texts)).collect()
+    assert sum(r["n"] for r in w) == 40 and {c for r in w for c in markup.confirmed(r["wrapper"])} == {"tag:p<", "tag:p>", "tag:b<", "tag:b>", "tag:br"}
 
 
 def test_residue_edges(spark):
     o = spark.createDataFrame([(1, "voice", "<p>好</p>"), (1, "voice", "<p>好</p>"), (2, None, None), (3, "voice", "")], "rec_id bigint, kind string, text string")
-    s = spark.createDataFrame([(1, "3 < 5"), (2, "**好**")], "row_id bigint, text string")
+    s = spark.createDataFrame([(1, "3 < 5"), (2, "**好**"), (3, "**坏**")], "row_id bigint, text string")
     d = spark.createDataFrame([], "doc_id bigint, source string, text string")
-    assert sorted(tuple(r) for r in markup.residue(o, s, d).collect()) == [("operator_data", 1), ("story_lines", 2)]
-    assert {(r["src"], r["row_key"], r["clean"]) for r in markup.clean_texts(o, s, d).collect()} == {("operator_data", 1, "好"), ("operator_data", 2, None), ("operator_data", 3, ""), ("story_lines", 1, "3 < 5"), ("story_lines", 2, "好")}
+    assert sorted(tuple(r) for r in markup.residue(o, s, d).collect()) == [("operator_data", 1), ("story_lines", 2), ("story_lines", 3)]
+    assert {(r["src"], r["row_key"], r["clean"]) for r in markup.clean_texts(o, s, d).collect()} == {("operator_data", 1, "好"), ("operator_data", 2, None), ("operator_data", 3, ""), ("story_lines", 1, "3 < 5"), ("story_lines", 2, "好"), ("story_lines", 3, "坏")}
 
 
 def test_names(spark):
