@@ -103,12 +103,12 @@ def hub(voice_and_archive: DataFrame, story: DataFrame) -> DataFrame:
 
 
 def distributions(lines: DataFrame) -> DataFrame:
-    """kind (source, phase, situation_type), value, n: lines by source, and by period and situation without archives."""
+    """kind (source, phase, situation_type), value, n: lines by source, by situation, and by period without archives."""
     keyed = lines.select(*[T.missing(c).alias(c) for c in ("source", "phase", "situation_type")])
     live = F.count_if(F.col("__live"))
     g = keyed.withColumn("__live", F.col("source") != "archive").groupingSets([[F.col("source")], [F.col("phase")], [F.col("situation_type")]], "source", "phase", "situation_type")
     g = g.agg(F.count(F.lit(1)).alias("every"), live.alias("live"), F.grouping_id("source", "phase", "situation_type").alias("gid"))
-    out = g.select(F.when(F.col("gid") == 3, "source").when(F.col("gid") == 5, "phase").otherwise("situation_type").alias("kind"), F.coalesce("source", "phase", "situation_type").alias("value"), F.when(F.col("gid") == 3, F.col("every")).otherwise(F.col("live")).alias("n"))
+    out = g.select(F.when(F.col("gid") == 3, "source").when(F.col("gid") == 5, "phase").otherwise("situation_type").alias("kind"), F.coalesce("source", "phase", "situation_type").alias("value"), F.when(F.col("gid") == 5, F.col("live")).otherwise(F.col("every")).alias("n"))
     return out.filter("n > 0")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,26 +32,18 @@ def clean_voice(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"\{\{VoiceData/word\|中文\|(.+?)\}\}", 1), F.lit("")), clean(c))
 
 
+_BRACES = re.compile(r"\{\{|\}\}")
+
+
 def body_of(text: str | None, name: str) -> str | None:
-    """Body of the first {{name template up to its own closing braces; an unclosed one runs to the end; NULL if there is none."""
-    if text is None:
-        return None
-    at = text.find("{{" + name + "\n")
-    if at < 0:
-        return None
-    start = i = at + len(name) + 2
+    """Body of the first {{name template, from the line after its name to its own closing braces; NULL if there is none or it never closes."""
+    head = re.search(r"\{\{%s\s*\n" % re.escape(name), text) if text else None
     depth = 1
-    while i < len(text):
-        two = text[i : i + 2]
-        if two == "{{":
-            depth, i = depth + 1, i + 2
-        elif two == "}}":
-            depth, i = depth - 1, i + 2
-            if depth == 0:
-                return text[start : i - 2]
-        else:
-            i += 1
-    return text[start:]
+    for b in _BRACES.finditer(text, head.end()) if head else ():
+        depth += 1 if b.group() == "{{" else -1
+        if depth == 0:
+            return text[head.end() : b.start()]
+    return None
 
 
 def template_body(c: Column, name: str) -> Column:

@@ -52,7 +52,7 @@ p as (select slug as part, 'V' as c, n, text, 'voice' as source, title as source
 union all select slug, 'A', n, text, 'archive', title, null, 'casual' from n where kind = 'archive' and coalesce(text, '') <> ''
 union all select story_id, 'S', n, text, 'story', story_id, nullif(reply_to, ''), {_SITUATION} from t)
 select part, c || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') as line_id, text, source, source_detail, interlocutor, situation_type from p""",
-    "hub_distributions": "with k as (select coalesce(nullif(source, ''), 'unknown') as source, coalesce(nullif(phase, ''), 'unknown') as phase, coalesce(nullif(situation_type, ''), 'unknown') as situation_type from annotated_lines) select 'source' as kind, source as value, count(*) as n from k group by 2 union all select 'phase', phase, count(*) from k where source <> 'archive' group by 2 union all select 'situation_type', situation_type, count(*) from k where source <> 'archive' group by 2",
+    "hub_distributions": "with k as (select coalesce(nullif(source, ''), 'unknown') as source, coalesce(nullif(phase, ''), 'unknown') as phase, coalesce(nullif(situation_type, ''), 'unknown') as situation_type from annotated_lines) select 'source' as kind, source as value, count(*) as n from k group by 2 union all select 'phase', phase, count(*) from k where source <> 'archive' group by 2 union all select 'situation_type', situation_type, count(*) from k group by 2",
     "hub_latest": "select distinct line_uid, slug, line_id, pos, source, phase from annotated_lines",
     "story_phase_distribution": f"with {_STORY} select coalesce(nullif(phase, ''), 'unknown') as phase, count(*) as n from story where is_target group by 1",
     "plain_label_split": f"""with r as (select doc_id, n, {_STRIP("l")} as l from {_LINES}), k as (select *, case when contains(l, ':') then ':' when contains(l, '：') then '：' when contains(l, '|') then '|' end as sep from r where l <> '' and not starts_with(l, '#'))

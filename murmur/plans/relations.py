@@ -31,7 +31,7 @@ ORACLE = {
     "cooccurrence_pairs": f"{_FOUND} select x.entity as a, y.entity as b, count(*) as n from found x join found y using (doc_id) where x.entity < y.entity group by 1, 2",
     "relation_merge": f"with {_EDGES} {_merge('phase, src, dst, type')}",
     "relation_merge_global": f"with {_EDGES} {_merge('src, dst, type')}",
-    "relation_nodes": "select name, min(name_en) as name_en, min(race) as race, min(faction) as faction from (select src as name from relation_edges union select dst from relation_edges) left join operators on name_zh = name group by 1",
+    "relation_nodes": "select name, coalesce(min(name_en), '') as name_en, coalesce(min(race), 'unknown') as race, coalesce(min(faction), 'unknown') as faction from (select src as name from relation_edges union select dst from relation_edges) left join operators on name_zh = name group by 1",
     "relation_trajectories": f"""with {_EDGES}, e as (select *, {_RANK} as r from ({_merge('phase, src, dst, type')}) where phase is not null),
 ordered as (select phase, row_number() over (order by t.ord nulls last, phase) as o from (select distinct phase from e) left join timeline t on t.id = phase), x as (select * from e join ordered using (phase)),
 g as (select src, dst, type, count(*) as n, min(o) as fo, arg_min(phase, o) as fp, arg_max(phase, o) as lp, arg_min(r, o) as fr, arg_max(r, o) as lr from x group by all),

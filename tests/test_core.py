@@ -67,7 +67,8 @@ def test_wiki_pages(spark):
     assert (r["page_type"], r["name_zh"], r["faction"], r["race"], r["birthday"], r["rarity"]) == ("operator", "甲", "船队", "羽", None, None)
     assert [(a["index"], a["title"]) for a in r["archives"]] == [(1, "基础")]
     assert [(v["label"], v["text"]) for v in r["voice_lines"]] == [("问候", "你好。")]
-    assert wiki.body_of("{{a\n{{b}}c}}d", "a") == "\n{{b}}c"
+    assert wiki.body_of("{{a\n{{b}}c}}d", "a") == "{{b}}c" and wiki.body_of("x{{a \n{{b}}c\n}}", "a") == "{{b}}c\n"
+    assert wiki.body_of("{{a\n{{b}}c}", "a") is None and wiki.body_of("{{ab\nc}}", "a") is None and wiki.body_of(None, "a") is None
     s = spark.createDataFrame([("特蕾西娅", "te-lei-xi-ya"), ("W", "w"), ("Amiya", "amiya"), ("阿米娅", "a-mi-ya"), ("Red Owl", "red-owl")], "n string, want string")
     assert s.filter(wiki.slug(F.col("n")) != F.col("want")).count() == 0
     c = spark.createDataFrame([("hello<!-- comment -->world", "helloworld"), ("[[罗德岛|罗德岛]]", "罗德岛")], "t string, want string")
