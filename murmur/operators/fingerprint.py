@@ -53,9 +53,11 @@ def line_features(lines: DataFrame) -> DataFrame:
         "negation_short": F.rlike(t, F.lit(R.NEGATION_SHORT)),
         "honorific": T.contains_any(t, R.words(R.HONORIFIC)),
         "intimate": T.contains_any(t, R.words(R.INTIMATE)),
-        "self_refs": T.count_all(t, R.words(R.FIRST_PERSON)),
-        "nature_words": sum((T.count_all(t, R.words(w)) for w in R.NATURE.values()), F.lit(0).cast("bigint")),
+        **{f"self_{i}": T.count_sub(t, w) for i, w in enumerate(R.words(R.FIRST_PERSON))},
+        **{f"nature_{i}": T.count_all(t, R.words(w)) for i, w in enumerate(R.NATURE.values())},
     }
+    total = lambda kind, n: sum((F.coalesce(feats[f"{kind}_{i}"], F.lit(0)) for i in range(n)), F.lit(0)).cast("bigint")
+    feats["self_refs"], feats["nature_words"] = total("self", len(SELF)), total("nature", len(NATURE))
     for i, w in enumerate(R.EMOTIONS.values()):
         feats[f"emotion_{i}"] = T.count_all(t, R.words(w))
     return lines.withColumns(feats)
@@ -70,85 +72,98 @@ def _best(names: list[str], columns: list[str]) -> Column:
     return F.when(top > 0, out)
 
 
-def _aggregates() -> list[Column]:
+FLAGS = "ellipsis ellipsis_start dash exclamation question rhetorical metaphor parallelism negation honorific intimate".split()
+SELF, NATURE, FEELINGS = [f"self_{i}" for i in range(len(R.words(R.FIRST_PERSON)))], [f"nature_{i}" for i in range(len(R.NATURE))], [f"emotion_{i}" for i in range(len(R.EMOTIONS))]
+SUMS = ["n_sentences", "n_short", "n_medium", "n_long", "sentence_chars", "self_refs", "nature_words", *SELF, *NATURE, *FEELINGS]
+
+
+def _partial() -> list[Column]:
+    """Sums of the features of lines; they add up, so that slices can be made of smaller slices."""
+    s = lambda c, to: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(to)
+    return [F.count(F.lit(1)).alias("lines"), *[s(c, c) for c in SUMS], *[s(F.col(c).cast("int"), f"{c}_n") for c in FLAGS], F.min("min_len").cast("bigint").alias("min_len"), F.max("max_len").cast("bigint").alias("max_len")]
+
+
+def _whole() -> list[Column]:
+    """The same of rows that hold such sums."""
     s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
-    flags = "ellipsis ellipsis_start dash exclamation question rhetorical metaphor parallelism negation honorific intimate".split()
-    return [
-        F.count(F.lit(1)).alias("lines"),
-        *[s(c) for c in "n_sentences n_short n_medium n_long sentence_chars self_refs nature_words".split()],
-        F.min("min_len").cast("bigint").alias("min_len"),
-        F.max("max_len").cast("bigint").alias("max_len"),
-        *[T.pct(F.col(f)).alias(f"{f}_pct") for f in flags],
-        *[s(f"emotion_{i}") for i in range(len(R.EMOTIONS))],
-    ]
+    return [s("lines"), *[s(c) for c in SUMS], *[s(f"{c}_n") for c in FLAGS], F.min("min_len").alias("min_len"), F.max("max_len").alias("max_len")]
+
+
+def traits(rules: list[tuple[Column, str]], none: str) -> Column:
+    """The texts of the rules that hold, in order; `none` if none does."""
+    return F.coalesce(F.nullif(F.concat_ws("；", *[F.when(c, t) for c, t in rules]), F.lit("")), F.lit(none))
 
 
 def _finish(agg: DataFrame) -> DataFrame:
-    """Averages, percentages and types from the sums of a slice."""
+    """Averages, percentages, types and their readings from the sums of a slice. Every threshold is applied to counts, never to rounded figures."""
+    some = F.nullif("lines", F.lit(0))
     part = lambda c: F.bround(F.col(c) / F.nullif("n_sentences", F.lit(0)) * 100, 1)
-    agg = agg.withColumns({"avg_length": F.bround(F.col("sentence_chars") / F.nullif("n_sentences", F.lit(0)), 1), "short_pct": part("n_short"), "medium_pct": part("n_medium"), "long_pct": part("n_long")})
+    agg = agg.withColumns({"avg_length": F.bround(F.col("sentence_chars") / F.nullif("n_sentences", F.lit(0)), 1), "short_pct": part("n_short"), "medium_pct": part("n_medium"), "long_pct": part("n_long"), **{f"{c}_pct": F.bround(F.col(f"{c}_n") / some * 100, 1) for c in FLAGS}})
     kind = F.when(F.col("n_sentences") == 0, "unknown").when(F.col("short_pct") > 50, "短句型").when(F.col("long_pct") > 40, "长句型").when((F.col("short_pct") > 25) & (F.col("long_pct") > 25), "长短交替型").otherwise("中句型")
-    feelings = [f"emotion_{i}" for i in range(len(R.EMOTIONS))]
-    active = sum((F.when(F.col(c) >= 2, 1).otherwise(0) for c in feelings), F.lit(0))
-    ratio = lambda c: F.col(c) / 100
-    return agg.withColumns(
+    active = sum((F.when(F.col(c) >= 2, 1).otherwise(0) for c in FEELINGS), F.lit(0))
+    ratio = lambda c: F.col(f"{c}_n") / some
+    polite, close = F.col("honorific_n"), F.col("intimate_n")
+    agg = agg.withColumns(
         {
             "sentence_type": kind,
-            "self_ref_freq": F.bround(F.col("self_refs") / F.nullif("lines", F.lit(0)), 2),
-            "nature_density": F.bround(F.col("nature_words") / F.nullif("lines", F.lit(0)), 2),
-            "emotion_dominant": F.coalesce(_best(list(R.EMOTIONS), feelings), F.lit("unknown")),
+            "self_ref_freq": F.bround(F.col("self_refs") / some, 2),
+            "self_primary": F.coalesce(_best(R.words(R.FIRST_PERSON), SELF), F.lit("省略自称")),
+            "nature_density": F.bround(F.col("nature_words") / some, 2),
+            "nature_top": F.coalesce(_best(list(R.NATURE), NATURE), F.lit("无")),
+            "emotion_dominant": F.coalesce(_best(list(R.EMOTIONS), FEELINGS), F.lit("unknown")),
             "emotion_active": active.cast("bigint"),
             "emotion_breadth": F.when(active >= 5, "宽谱").when(active >= 3, "中谱").otherwise("窄谱"),
-            "address_type": F.when(F.col("honorific_pct") > F.col("intimate_pct") * 2, "尊称型").when(F.col("intimate_pct") > F.col("honorific_pct") * 2, "亲昵型").when((F.col("honorific_pct") > 0) & (F.col("intimate_pct") > 0), "切换型").otherwise("省略称呼型"),
-            "rhetoric_traits": F.coalesce(F.nullif(F.concat_ws("；", F.when(ratio("rhetorical_pct") > 0.1, "善用反问引导思考"), F.when(ratio("metaphor_pct") > 0.1, "偏好意象化表达"), F.when(ratio("negation_pct") > 0.4, "频繁使用否定句式，倾向从反面界定"), F.when(ratio("negation_pct") < 0.1, "极少使用否定句，表达积极正向")), F.lit("")), F.lit("修辞风格平实直白")),
+            "address_type": F.when(F.col("lines") == 0, "unknown").when(polite > close * 2, "尊称型").when(close > polite * 2, "亲昵型").when((polite > 0) & (close > 0), "切换型").otherwise("省略称呼型"),
+            "rhetoric_traits": F.when(F.col("lines") > 0, traits([(ratio("rhetorical") > 0.1, "善用反问引导思考"), (ratio("metaphor") > 0.1, "偏好意象化表达"), (ratio("negation") > 0.4, "频繁使用否定句式，倾向从反面界定"), (ratio("negation") < 0.1, "极少使用否定句，表达积极正向")], "修辞风格平实直白")),
+            "pause_traits": F.when(F.col("lines") > 0, traits([(ratio("ellipsis") > 0.3, "频繁停顿，善于沉默"), (ratio("ellipsis_start") > 0.15, "常以沉默开头，话语经过深思熟虑"), (ratio("exclamation") < 0.05, "几乎不用感叹号，语气极度克制"), (ratio("exclamation") > 0.3, "常用感叹号，表达直接热烈")], "语气平稳，无明显极端标记")),
         }
     )
+    me = F.col("self_primary")
+    agg = agg.withColumns(
+        {
+            "self_reading": F.when(F.col("self_refs") == 0, "极少使用第一人称，倾向省略主语或使用'我们'").when(F.col("self_ref_freq") < 0.3, "极少自称，倾向省略主语").when(me == "我", "常用'我'，表达直接").when(me.isin("吾", "本王", "朕"), F.concat(F.lit("使用'"), me, F.lit("'自称，体现特殊身份地位"))).otherwise(F.concat(F.lit("自称'"), me, F.lit("'，有独特表达习惯"))),
+            "emotion_reading": F.when(F.col("emotion_dominant") == "unknown", "未检测到明显情感词汇").otherwise(F.concat(F.lit("主导情感为'"), "emotion_dominant", F.lit("'，情感谱系"), "emotion_breadth", F.lit("（活跃情感"), F.col("emotion_active").cast("string"), F.lit("种）"))),
+            "nature_level": F.when(F.col("nature_words") == 0, "none").when(F.col("nature_density") > 3, "高频").when(F.col("nature_density") > 1, "中频").otherwise("低频"),
+        }
+    )
+    nature = F.when(F.col("nature_words") == 0, "极少使用自然意象").otherwise(F.concat(F.lit("自然意象密度"), "nature_level", F.lit("（"), F.col("nature_density").cast("string"), F.lit("个/句），偏好"), "nature_top", F.lit("意象")))
+    head = F.concat(F.lit("句式"), "sentence_type", F.lit("，平均"), F.coalesce(F.col("avg_length").cast("string"), F.lit("0")), F.lit("字"))
+    return agg.withColumn("nature_reading", nature).withColumn("summary", F.concat_ws("；", head, "pause_traits", "self_reading", "emotion_reading", "rhetoric_traits", "nature_reading"))
 
 
 def fingerprint(lines: DataFrame) -> DataFrame:
     """One row for all lines. An empty table gives one row with 0 lines and NULL averages."""
-    return _finish(line_features(lines).agg(*_aggregates()))
+    return _finish(line_features(lines).agg(*_partial()))
+
+
+def source_fingerprints(lines: DataFrame) -> DataFrame:
+    """The fingerprint of the spoken lines of each source: source and the columns of fingerprint()."""
+    return _finish(line_features(spoken(lines)).groupBy(T.missing("source").alias("source")).agg(*_partial()))
 
 
 def contextual_fingerprint(lines: DataFrame, least: int = 2, dims: tuple[str, ...] = DIMS) -> DataFrame:
     """slice_dim ('global' or a dimension), slice_value and the fingerprint of each slice with `least` lines or more.
 
     NULL and '' slice values are 'unknown'; the unknown period makes no slice. Lines are counted before
-    blank ones are left out. One pass over the lines: grouping sets over their features.
+    blank ones are left out; a slice of blank lines only doesn't come out. The features are summed once by all dimensions
+    together, and the slices are grouping sets over those few rows, not over the lines.
     """
-    keyed = line_features(lines.filter(F.coalesce("source", F.lit("")) != "archive").withColumns({f"__{d}": T.missing(d) for d in dims}))
-    keys = [f"__{d}" for d in dims]
     blank = T.strip(F.coalesce("text", F.lit(""))) == ""
-    sets = [[], *[[k] for k in keys]]
-    # blank lines count for the size of a slice only
-    sized = keyed.withColumn("__raw", F.lit(1)).withColumn("__blank", blank)
-    agg = sized.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.sum("__raw").alias("raw_lines"), F.grouping_id(*keys).alias("__gid"), *[_unblank(c) for c in _names()])
-    dim = F.lit("global")
-    value = F.lit("")
+    keys = [f"__{d}" for d in dims]
+    keyed = line_features(lines.filter(F.coalesce("source", F.lit("")) != "archive").withColumns({f"__{d}": T.missing(d) for d in dims}))
+    cells = keyed.groupBy(*keys, blank.alias("__blank")).agg(*_partial())
+    none = [F.when(F.col("__blank"), None if c in ("min_len", "max_len") else 0).otherwise(F.col(c)).cast("bigint").alias(c) for c in ["lines", *SUMS, *[f"{c}_n" for c in FLAGS], "min_len", "max_len"]]
+    cells = cells.select(*keys, F.col("lines").alias("__raw"), *none)
+    sets = [[], *[[F.col(k)] for k in keys]]
+    agg = cells.groupingSets(sets, *keys).agg(F.coalesce(F.sum("__raw"), F.lit(0)).alias("raw_lines"), F.grouping_id(*keys).alias("__gid"), *_whole())
+    dim, value = F.lit("global"), F.lit("")
     for i, (d, k) in enumerate(zip(dims, keys, strict=True)):
         here = F.col("__gid") == (2 ** len(dims) - 1 - 2 ** (len(dims) - 1 - i))
-        dim = F.when(here, d).otherwise(dim)
-        value = F.when(here, F.col(k)).otherwise(value)
-    out = agg.withColumns({"slice_dim": dim, "slice_value": value}).filter((F.col("slice_dim") == "global") | (F.col("raw_lines") >= least)).filter("not (slice_dim = 'phase' and slice_value = 'unknown')")
+        dim, value = F.when(here, d).otherwise(dim), F.when(here, F.col(k)).otherwise(value)
+    out = agg.withColumns({"slice_dim": dim, "slice_value": value}).filter((F.col("slice_dim") == "global") | ((F.col("raw_lines") >= least) & (F.col("lines") > 0))).filter("not (slice_dim = 'phase' and slice_value = 'unknown')")
     return _finish(out.drop("__gid", *keys))
 
 
-def _names() -> list[str]:
-    return "lines n_sentences n_short n_medium n_long sentence_chars self_refs nature_words min_len max_len ellipsis ellipsis_start dash exclamation question rhetorical metaphor parallelism negation honorific intimate".split() + [f"emotion_{i}" for i in range(len(R.EMOTIONS))]
-
-
-def _unblank(c: str) -> Column:
-    """The aggregate of a feature over the lines that aren't blank."""
-    live = ~F.col("__blank")
-    if c == "lines":
-        return F.count_if(live).alias("lines")
-    if c in ("min_len", "max_len"):
-        return (F.min if c == "min_len" else F.max)(F.when(live, F.col(c))).cast("bigint").alias(c)
-    if c in "ellipsis ellipsis_start dash exclamation question rhetorical metaphor parallelism negation honorific intimate".split():
-        return F.bround(F.avg(F.when(live, F.coalesce(F.col(c).cast("int"), F.lit(0)))) * 100, 1).alias(f"{c}_pct")
-    return F.coalesce(F.sum(F.when(live, F.col(c))), F.lit(0)).cast("bigint").alias(c)
-
-
 def shifts(slices: DataFrame) -> DataFrame:
     """slice_dim, slice_value, dimension, global_value, slice_value_of, shift, magnitude from contextual_fingerprint's rows.
 

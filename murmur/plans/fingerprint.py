@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import fingerprint as P
-from ..session import table
+from ..session import materialize, table
 
 
 def _list(s: str) -> str:
@@ -32,29 +32,42 @@ feats as (select *, len(lens) as n_sentences, len([x for x in lens if x <= 5]) a
   contains(text, '！') or contains(text, '!') as exclamation, {_ASK} as question, {_ASK} and {_any(R.RHETORICAL)} as rhetorical, {_any(R.METAPHOR)} as metaphor,
   len(regexp_split_to_array(text, '[，、；]')) >= 3 and len([x for x in list_distinct(starts) if len(list_filter(starts, lambda q: q = x)) >= 3]) > 0 as parallelism,
   regexp_matches(text, '{R.NEGATION}') as negation, regexp_matches(text, '{R.NEGATION_SHORT}') as negation_short,
-  {_any(R.HONORIFIC)} as honorific, {_any(R.INTIMATE)} as intimate, {_count(R.FIRST_PERSON)} as self_refs, {" + ".join(_count(w) for w in R.NATURE.values())} as nature_words,
+  {_any(R.HONORIFIC)} as honorific, {_any(R.INTIMATE)} as intimate, {", ".join(f"{_count(w)} as self_{i}" for i, w in enumerate(R.words(R.FIRST_PERSON)))}, {", ".join(f"{_count(w)} as nature_{i}" for i, w in enumerate(R.NATURE.values()))}, {_count(R.FIRST_PERSON)} as self_refs, {" + ".join(_count(w) for w in R.NATURE.values())} as nature_words,
   {", ".join(f"{_count(w)} as emotion_{i}" for i, w in enumerate(R.EMOTIONS.values()))} from f)"""
 
+_E, _S, _N = ([f"{k}_{i}" for i in range(n)] for k, n in (("emotion", len(R.EMOTIONS)), ("self", len(R.words(R.FIRST_PERSON))), ("nature", len(R.NATURE))))
 _SUMS = (
     "count(*) as lines, "
-    + ", ".join(f"coalesce(sum({c}), 0)::bigint as {c}" for c in "n_sentences n_short n_medium n_long sentence_chars self_refs nature_words".split())
+    + ", ".join(f"coalesce(sum({c}), 0)::bigint as {c}" for c in ["n_sentences", "n_short", "n_medium", "n_long", "sentence_chars", "self_refs", "nature_words", *_E, *_S, *_N])
     + ", min(min_len) as min_len, max(max_len) as max_len, "
-    + ", ".join(f"round_even(avg(coalesce({c}::int, 0)) * 100, 1) as {c}_pct" for c in _FLAGS)
-    + ", "
-    + ", ".join(f"coalesce(sum(emotion_{i}), 0)::bigint as emotion_{i}" for i in range(len(R.EMOTIONS)))
+    + ", ".join(f"coalesce(sum({c}::int), 0)::bigint as {c}_n" for c in _FLAGS)
 )
-_E = [f"emotion_{i}" for i in range(len(R.EMOTIONS))]
+
+
+def _best(cols: list[str], names: list[str], none: str) -> str:
+    top = f"greatest({', '.join(cols)})"
+    return f"case when {top} = 0 then '{none}' " + " ".join(f"when {c} = {top} then '{n}'" for c, n in zip(cols, names, strict=True)) + " end"
+
+
+def _traits(rules: list[tuple[str, str]], none: str) -> str:
+    return "case when lines > 0 then coalesce(nullif(concat_ws('；', " + ", ".join(f"case when {c} then '{t}' end" for c, t in rules) + f"), ''), '{none}') end"
+
+
 _FINISH = f"""
 fin as (select *, round_even(sentence_chars / nullif(n_sentences, 0), 1) as avg_length, round_even(n_short / nullif(n_sentences, 0) * 100, 1) as short_pct,
-  round_even(n_medium / nullif(n_sentences, 0) * 100, 1) as medium_pct, round_even(n_long / nullif(n_sentences, 0) * 100, 1) as long_pct,
-  {" + ".join(f"({c} >= 2)::int" for c in _E)} as emotion_active, greatest({", ".join(_E)}) as top from agg),
-final as (select * exclude (top), case when n_sentences = 0 then 'unknown' when short_pct > 50 then '短句型' when long_pct > 40 then '长句型' when short_pct > 25 and long_pct > 25 then '长短交替型' else '中句型' end as sentence_type,
+  round_even(n_medium / nullif(n_sentences, 0) * 100, 1) as medium_pct, round_even(n_long / nullif(n_sentences, 0) * 100, 1) as long_pct, {", ".join(f"round_even({c}_n / nullif(lines, 0) * 100, 1) as {c}_pct" for c in _FLAGS)},
   round_even(self_refs / nullif(lines, 0), 2) as self_ref_freq, round_even(nature_words / nullif(lines, 0), 2) as nature_density,
-  case when top = 0 then 'unknown' {" ".join(f"when {c} = top then '{n}'" for c, n in zip(_E, R.EMOTIONS, strict=True))} end as emotion_dominant,
+  {_best(_S, R.words(R.FIRST_PERSON), "省略自称")} as self_primary, {_best(_N, list(R.NATURE), "无")} as nature_top, {_best(_E, list(R.EMOTIONS), "unknown")} as emotion_dominant, {" + ".join(f"({c} >= 2)::int" for c in _E)} as emotion_active from agg),
+typed as (select *, case when n_sentences = 0 then 'unknown' when short_pct > 50 then '短句型' when long_pct > 40 then '长句型' when short_pct > 25 and long_pct > 25 then '长短交替型' else '中句型' end as sentence_type,
   case when emotion_active >= 5 then '宽谱' when emotion_active >= 3 then '中谱' else '窄谱' end as emotion_breadth,
-  case when honorific_pct > intimate_pct * 2 then '尊称型' when intimate_pct > honorific_pct * 2 then '亲昵型' when honorific_pct > 0 and intimate_pct > 0 then '切换型' else '省略称呼型' end as address_type,
-  coalesce(nullif(concat_ws('；', case when rhetorical_pct / 100 > 0.1 then '善用反问引导思考' end, case when metaphor_pct / 100 > 0.1 then '偏好意象化表达' end,
-    case when negation_pct / 100 > 0.4 then '频繁使用否定句式，倾向从反面界定' end, case when negation_pct / 100 < 0.1 then '极少使用否定句，表达积极正向' end), ''), '修辞风格平实直白') as rhetoric_traits from fin)"""
+  case when lines = 0 then 'unknown' when honorific_n > intimate_n * 2 then '尊称型' when intimate_n > honorific_n * 2 then '亲昵型' when honorific_n > 0 and intimate_n > 0 then '切换型' else '省略称呼型' end as address_type,
+  {_traits([("rhetorical_n > 0.1 * lines", "善用反问引导思考"), ("metaphor_n > 0.1 * lines", "偏好意象化表达"), ("negation_n > 0.4 * lines", "频繁使用否定句式，倾向从反面界定"), ("negation_n < 0.1 * lines", "极少使用否定句，表达积极正向")], "修辞风格平实直白")} as rhetoric_traits,
+  {_traits([("ellipsis_n > 0.3 * lines", "频繁停顿，善于沉默"), ("ellipsis_start_n > 0.15 * lines", "常以沉默开头，话语经过深思熟虑"), ("exclamation_n < 0.05 * lines", "几乎不用感叹号，语气极度克制"), ("exclamation_n > 0.3 * lines", "常用感叹号，表达直接热烈")], "语气平稳，无明显极端标记")} as pause_traits,
+  case when self_refs = 0 then '极少使用第一人称，倾向省略主语或使用''我们''' when self_ref_freq < 0.3 then '极少自称，倾向省略主语' when self_primary = '我' then '常用''我''，表达直接' when self_primary in ('吾', '本王', '朕') then '使用''' || self_primary || '''自称，体现特殊身份地位' else '自称''' || self_primary || '''，有独特表达习惯' end as self_reading,
+  case when nature_words = 0 then 'none' when nature_density > 3 then '高频' when nature_density > 1 then '中频' else '低频' end as nature_level from fin),
+final as (select *, case when emotion_dominant = 'unknown' then '未检测到明显情感词汇' else '主导情感为''' || emotion_dominant || '''，情感谱系' || emotion_breadth || '（活跃情感' || emotion_active || '种）' end as emotion_reading,
+  case when nature_words = 0 then '极少使用自然意象' else '自然意象密度' || nature_level || '（' || nature_density || '个/句），偏好' || nature_top || '意象' end as nature_reading,
+  concat_ws('；', '句式' || sentence_type || '，平均' || coalesce(avg_length::varchar, '0') || '字', pause_traits, self_reading, emotion_reading, rhetoric_traits, nature_reading) as summary from typed)"""
 _BLANK = r"trim(coalesce(text, ''), E' \t\r\n　')"
 _SLICES = (
     f"with base as (select * from annotated_lines where coalesce(source, '') <> 'archive'), {FEATURES}, keyed as (select *, coalesce(nullif(situation_type, ''), 'unknown') as a, coalesce(nullif(interlocutor, ''), 'unknown') as b, coalesce(nullif(phase, ''), 'unknown') as c from feats), "
@@ -79,12 +92,15 @@ def _lex_sql(lexicon: dict[str, str], by: str = "") -> str:
 
 
 _lines = lambda s, d: table(s, d, "annotated_lines")
+#: Titles by which the test texts address people, beside the rule pack's.
+TITLES = ["船医", "书记官", "领航员"]
 
 QUERIES = {
     "fingerprint_wide": lambda s, d: P.fingerprint(P.spoken(_lines(s, d))),
     "fingerprint_by_source": lambda s, d: P.fingerprint(P.spoken(_lines(s, d), "voice")),
+    "source_fingerprints": lambda s, d: P.source_fingerprints(_lines(s, d)),
     "fingerprint_slices": lambda s, d: P.contextual_fingerprint(_lines(s, d)),
-    "fingerprint_shifts": lambda s, d: P.shifts(P.contextual_fingerprint(_lines(s, d))).select("slice_dim", "slice_value", "dimension", "shift", "magnitude"),
+    "fingerprint_shifts": lambda s, d: P.shifts(materialize(P.contextual_fingerprint(_lines(s, d)), "slices")).select("slice_dim", "slice_value", "dimension", "shift", "magnitude"),
     "sentence_length_by_source": lambda s, d: P.line_features(_lines(s, d)).groupBy("source").agg(F.sum("n_sentences").alias("n_sentences"), F.bround(F.sum("sentence_chars") / F.sum("n_sentences"), 1).alias("avg_length"), F.min("min_len").cast("bigint").alias("min_len"), F.max("max_len").cast("bigint").alias("max_len")),
     "pause_markers_by_source": lambda s, d: P.line_features(_lines(s, d)).groupBy("source").agg(*[T.pct(F.col(c)).alias(f"{c}_pct") for c in _FLAGS[:5]]),
     "pronoun_counts": lambda s, d: P.pronouns(_lines(s, d)),
@@ -93,13 +109,14 @@ QUERIES = {
     "imagery_top_words": lambda s, d: P.lexicon_counts(_lines(s, d), R.NATURE).orderBy(F.desc("n"), "first_pos", "word").limit(5),
     "rhetoric_rates": lambda s, d: P.line_features(_lines(s, d)).groupBy(T.missing("phase").alias("phase")).agg(*[T.pct(F.col(c)).alias(f"{c}_pct") for c in ("rhetorical", "metaphor", "parallelism", "negation")]),
     "address_pattern": lambda s, d: P.line_features(_lines(s, d)).groupBy(T.missing("situation_type").alias("situation_type")).agg(F.count_if("honorific").alias("honorific"), F.count_if("intimate").alias("intimate")),
-    "address_examples": lambda s, d: P.first_examples(_lines(s, d), T.contains_any("text", R.words(R.HONORIFIC))),
+    "address_examples": lambda s, d: P.first_examples(_lines(s, d), T.contains_any("text", [*R.words(R.HONORIFIC), *TITLES])),
 }
 
 _BASE = f"with base as (select * from annotated_lines), {FEATURES} "
 ORACLE = {
     "fingerprint_wide": f"with base as (select * from annotated_lines where coalesce(source, '') <> 'archive' and {_BLANK} <> ''), {FEATURES}, agg as (select {_SUMS} from feats), {_FINISH} select * from final",
     "fingerprint_by_source": f"with base as (select * from annotated_lines where source = 'voice' and {_BLANK} <> ''), {FEATURES}, agg as (select {_SUMS} from feats), {_FINISH} select * from final",
+    "source_fingerprints": f"with base as (select * from annotated_lines where coalesce(source, '') <> 'archive' and {_BLANK} <> ''), {FEATURES}, agg as (select coalesce(nullif(source, ''), 'unknown') as source, {_SUMS} from feats group by 1), {_FINISH} select * from final",
     "fingerprint_slices": _SLICES + " select * from final",
     "fingerprint_shifts": _SLICES + _SHIFTS,
     "sentence_length_by_source": _BASE + "select source, sum(n_sentences)::bigint as n_sentences, round_even(sum(sentence_chars) / sum(n_sentences), 1) as avg_length, min(min_len) as min_len, max(max_len) as max_len from feats group by 1",
@@ -110,5 +127,5 @@ ORACLE = {
     "imagery_top_words": _lex_sql(R.NATURE) + " order by n desc, first_pos, word limit 5",
     "rhetoric_rates": _BASE + "select coalesce(nullif(phase, ''), 'unknown') as phase, " + ", ".join(f"round_even(avg(coalesce({c}::int, 0)) * 100, 1) as {c}_pct" for c in ("rhetorical", "metaphor", "parallelism", "negation")) + " from feats group by 1",
     "address_pattern": _BASE + "select coalesce(nullif(situation_type, ''), 'unknown') as situation_type, count(*) filter (where honorific) as honorific, count(*) filter (where intimate) as intimate from feats group by 1",
-    "address_examples": f"select row_number() over (order by pos, line_uid) as k, left(text, 50) as example from (select * from annotated_lines where {_any(R.HONORIFIC)} order by pos, line_uid limit 5)",
+    "address_examples": f"select row_number() over (order by pos, line_uid) as k, left(text, 50) as example from (select * from annotated_lines where {_any(' '.join([*R.words(R.HONORIFIC), *TITLES]))} order by pos, line_uid limit 5)",
 }
