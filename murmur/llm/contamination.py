@@ -140,6 +140,7 @@ class Finder:
         self.sizes = np.array([len(s) for s in self.norm], dtype=np.int64)
         self.sam = SuffixAutomaton(self.norm)
         self._piece = [min(len(s), PIECE_ALPHA if 2 * sum(c.isascii() for c in s) > len(s) else PIECE_WIDE) for s in self.norm]
+        self._ends_of: dict[tuple[int, int], dict[int, list[int]]] = {}
         self.places = {k: self._places(k) for k in sorted(set(self._piece))}
 
     def piece(self, item: int) -> int:
@@ -192,15 +193,32 @@ class Finder:
             i, item, p = i[order], item[order], p[order]
             first = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (np.diff(i) > GAP + k)))
             last = np.append(first[1:], len(i))
-            for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                x = int(item[a])
-                if (b - a) * (k + 3) < need[x]:
-                    continue
-                step = np.diff(np.unique(p[a:b]))
-                if np.where(step <= k + 3, step, k).sum() + k >= need[x]:
-                    out[x].append((int(i[a]), int(i[b - 1]) + k))
+            some_of = (last - first) * (k + 3) >= need[item[first]]
+            first, last = first[some_of], last[some_of]
+            if not len(first):
+                continue
+            # letters of the item that a run's pieces hold, gaps of up to 3 filled: of its places in the item, sorted, each step counts
+            n = last - first
+            run = np.repeat(np.arange(len(n)), n)
+            at = p[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            order = np.lexsort((at, run))
+            run, at = run[order], at[order]
+            step = np.diff(at)
+            held = np.bincount(run[1:], np.where(np.diff(run) == 0, np.where(step <= k + 3, step, k), 0), len(n)) + k
+            for g in np.flatnonzero(held >= need[item[first]]).tolist():
+                out[int(item[first[g]])].append((int(i[first[g]]), int(i[last[g] - 1]) + k))
         return out
 
+    def _ends(self, u: int, k: int) -> dict[int, list[int]]:
+        """Item -> where the k letters of state u end in it, remembered by state."""
+        got = self._ends_of.get((u, k))
+        if got is None:
+            got = {}
+            for x, end in self.sam.occurrences(u, k):
+                got.setdefault(x, []).append(end)
+            self._ends_of[u, k] = got
+        return got
+
     def matches(self, t: str, item: int, a: int, b: int) -> list[tuple[int, int, int]]:
         """(begin in t, begin in the item, letters) of the maximal matches of t[a:b] with the item, from a piece's length on.
 
@@ -220,16 +238,18 @@ class Finder:
                 v, n = sam.next[v][c], n + 1
             if n < k:
                 continue
-            for x, end in sam.occurrences(v, k):
-                if x == item:
-                    d = i + 1 - end
-                    m = open_.get(d)
-                    if m is not None and m[0] + m[2] == i:
-                        m[2] += 1
-                    else:
-                        m = [i + 1 - k, end - k, k]
-                        open_[d] = m
-                        out.append(m)
+            u = v
+            while sam.len[sam.link[u]] >= k:
+                u = sam.link[u]
+            for end in self._ends(u, k).get(item, ()):
+                d = i + 1 - end
+                m = open_.get(d)
+                if m is not None and m[0] + m[2] == i:
+                    m[2] += 1
+                else:
+                    m = [i + 1 - k, end - k, k]
+                    open_[d] = m
+                    out.append(m)
         return sorted((m[0], m[1], m[2]) for m in out)
 
     def coverage(self, t: str, item: int, spans: list[tuple[int, int]]) -> tuple[float, int, int]:
