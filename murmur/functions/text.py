@@ -41,7 +41,7 @@ def first_match(c: Column | str, table: Iterable[tuple[str, str | None]], defaul
     for key, value in table:
         hit = F.contains(c, F.lit(key))
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(F.lit(default))
+    return F.lit(default).cast("string") if out is None else out.otherwise(F.lit(default))
 
 
 def first_rule(c: Column | str, table: Iterable[tuple[str, str]]) -> Column:
@@ -50,7 +50,7 @@ def first_rule(c: Column | str, table: Iterable[tuple[str, str]]) -> Column:
     for value, pattern in table:
         hit = F.rlike(c, F.lit(f"(?d){pattern}"))
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out
+    return F.lit(None).cast("string") if out is None else out
 
 
 def first_words(c: Column | str, table: Iterable[tuple[str, Sequence[str]]]) -> Column:
@@ -59,7 +59,7 @@ def first_words(c: Column | str, table: Iterable[tuple[str, Sequence[str]]]) ->
     for value, items in table:
         hit = contains_any(c, items)
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out
+    return F.lit(None).cast("string") if out is None else out
 
 
 def missing(c: Column | str, to: str = "unknown") -> Column:

@@ -193,7 +193,7 @@ def shifts(slices: DataFrame) -> DataFrame:
     return j.select("slice_dim", "slice_value", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("slice_dim", "slice_value", "r.*")
 
 
-def lexicon_counts(lines: DataFrame, lexicon: dict[str, str], by: str | None = None) -> DataFrame:
+def lexicon_counts(lines: DataFrame, lexicon: dict[str, list[str]], by: str | None = None) -> DataFrame:
     """category, word, n (occurrences), first_pos (smallest pos with it), for each value of `by` if given. Words that don't occur are left out."""
     items = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w).alias("word"), F.lit(i).alias("ord"), T.count_sub("text", w).alias("n")) for i, (c, w) in enumerate((c, w) for c, ws in lexicon.items() for w in R.words(ws))])
     keys = [by] if by else []

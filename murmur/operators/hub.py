@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..session import materialize
+from . import phase as P
 
 # Commands of a script that end a speaker's part, and commands taken out of it.
 _STOP = r"\[name=|\[dialog\]|\[Decision\]|\[HEADER\]|\[Blocker\]|\[stopmusic\]|\[playMusic\]|\z"
@@ -79,29 +81,67 @@ def voice_context(title: Column) -> tuple[Column, Column]:
     return T.first_match(t, R.VOICE_INTERLOCUTOR), T.first_match(t, R.VOICE_SITUATION, "casual")
 
 
+def number_within(rows: DataFrame, part: list[str], major: str, order: list[str], out: str = "n", width: int = 4096) -> DataFrame:
+    """rows with `out`: their number from 0 within `part`, in the order of major (an integer, NULL first) and then `order`.
+
+    In two levels, so that a hot part is no one task's: rows are numbered inside ranges of `width` values of major, and
+    the ranges of a part, which are few, by the number of rows before them.
+    """
+    ranged = rows.withColumn("__range", F.floor(F.coalesce(F.col(major), F.lit(-1)) / width))
+    sizes = ranged.groupBy(*part, "__range").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*[F.col(p).alias(f"__{p}") for p in part], F.col("__range").alias("__r"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("__range") == F.col("__r")
+    for p in part:
+        same = same & F.col(p).eqNullSafe(F.col(f"__{p}"))
+    inner = F.row_number().over(Window.partitionBy(*part, "__range").orderBy(F.col(major).asc_nulls_first(), *order)) - 1
+    return ranged.withColumn("__i", inner).join(offsets, same).withColumn(out, F.col("__before") + F.col("__i")).drop("__range", "__r", "__before", "__i", *[f"__{p}" for p in part])
+
+
+def running_totals(sizes: DataFrame, key: str, n: str, out: str = "before") -> DataFrame:
+    """sizes(key, n) with `out`: the sum of n over all smaller keys. Keys are range-partitioned and written, summed inside each
+    partition, and only the partitions' totals go through one task."""
+    ranged = materialize(sizes.repartitionByRange(key).withColumn("__p", F.spark_partition_id()), "hub")
+    w = lambda *by: Window.partitionBy(*by).orderBy(key if by else "__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__p").agg(F.sum(n).alias("__t")).withColumn("__o", F.coalesce(F.sum("__t").over(w()), F.lit(0))).select(F.col("__p").alias("__q"), "__o")
+    return ranged.withColumn("__i", F.coalesce(F.sum(n).over(w("__p")), F.lit(0))).join(F.broadcast(totals), F.col("__p") == F.col("__q")).withColumn(out, F.col("__o") + F.col("__i")).drop("__p", "__q", "__o", "__i")
+
+
 def hub(voice_and_archive: DataFrame, story: DataFrame) -> DataFrame:
-    """Union of voice lines, story lines of targets and archives: part, line_id, text, source, source_detail, interlocutor, situation_type.
+    """Union of voice lines, story lines of targets and archives: part, line_id, text, source, source_detail, scene, interlocutor, situation_type, phase, narration.
 
     Identifiers count from 0: voice lines and archives within their record by idx (archives with empty text keep their
-    number and are left out), story lines through all stories in order of story_id. That running number
-    is an offset a story plus a number within it, so no task sorts all lines.
+    number and are left out), story lines through all stories in order of story_id. Neither a hot record nor all
+    stories are ever numbered in one task. Story lines keep their period; voice lines have NULL till it is inferred.
     """
     data = once(voice_and_archive, "rec_id")
     who, what = voice_context(F.col("title"))
     number = lambda prefix, n: F.concat(F.lit(prefix), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0")))
-    w = Window.partitionBy("slug", "kind").orderBy("idx", "rec_id")
-    counted = data.filter("kind = 'archive' or coalesce(text, '') <> ''").withColumn("n", F.row_number().over(w) - 1)
-    voices = counted.filter("kind = 'voice'").select(F.col("slug").alias("part"), number("V", F.col("n")).alias("line_id"), "text", F.lit("voice").alias("source"), F.col("title").alias("source_detail"), who.alias("interlocutor"), what.alias("situation_type"))
-    archives = counted.filter("kind = 'archive' and coalesce(text, '') <> ''").select(F.col("slug").alias("part"), number("A", F.col("n")).alias("line_id"), "text", F.lit("archive").alias("source"), F.col("title").alias("source_detail"), F.lit(None).cast("string").alias("interlocutor"), F.lit("casual").alias("situation_type"))
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    counted = number_within(data.filter("kind = 'archive' or coalesce(text, '') <> ''"), ["slug", "kind"], "idx", ["rec_id"])
+    voices = counted.filter("kind = 'voice'").select(F.col("slug").alias("part"), number("V", F.col("n")).alias("line_id"), "text", F.lit("voice").alias("source"), F.col("title").alias("source_detail"), F.col("title").alias("scene"), who.alias("interlocutor"), what.alias("situation_type"), none.alias("phase"), empty.alias("narration"))
+    archives = counted.filter("kind = 'archive' and coalesce(text, '') <> ''").select(F.col("slug").alias("part"), number("A", F.col("n")).alias("line_id"), "text", F.lit("archive").alias("source"), F.col("title").alias("source_detail"), F.lit("档案").alias("scene"), none.alias("interlocutor"), F.lit("casual").alias("situation_type"), F.lit("unknown").alias("phase"), empty.alias("narration"))
     lines = once(story, "row_id").filter("is_target")
-    sizes = lines.groupBy("story_id").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("story_id", (F.sum("__n").over(Window.orderBy("story_id").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("story_id").orderBy("pos", "row_id")) - 1
-    numbered = lines.withColumn("__i", inner).join(offsets, "story_id").withColumn("n", F.coalesce("__before", F.lit(0)) + F.col("__i"))
-    stories = numbered.select(F.col("story_id").alias("part"), number("S", F.col("n")).alias("line_id"), "text", F.lit("story").alias("source"), F.col("story_id").alias("source_detail"), F.nullif("reply_to", F.lit("")).alias("interlocutor"), situation(F.col("scene"), F.col("text"), F.col("narration")).alias("situation_type"))
+    offsets = running_totals(lines.groupBy("story_id").agg(F.count(F.lit(1)).alias("__n")), "story_id", "__n", "__before").select(F.col("story_id").alias("__story"), "__before")
+    numbered = number_within(lines, ["story_id"], "pos", ["row_id"], "__k").join(offsets, F.col("story_id") == F.col("__story")).withColumn("n", F.col("__before") + F.col("__k"))
+    stories = numbered.select(F.col("story_id").alias("part"), number("S", F.col("n")).alias("line_id"), "text", F.lit("story").alias("source"), F.col("story_id").alias("source_detail"), "scene", F.nullif("reply_to", F.lit("")).alias("interlocutor"), situation(F.col("scene"), F.col("text"), F.col("narration")).alias("situation_type"), T.missing("phase").alias("phase"), F.coalesce("narration", empty).alias("narration"))
     return voices.unionByName(stories).unionByName(archives)
 
 
+def context(records: DataFrame, voice_and_archive: DataFrame, story: DataFrame, categories: DataFrame | None = None, rules: R.PhaseRules = R.ZH) -> DataFrame:
+    """The whole hub with periods: hub()'s columns with phase, inference_source and inference_confidence.
+
+    Voice lines get theirs by content, the cluster of their record's voice lines or their record's default period;
+    story lines keep theirs, archives have none. Only voice lines have an inference.
+    """
+    lines = hub(voice_and_archive, story)
+    voices = lines.filter("source = 'voice'").withColumnRenamed("part", "slug")
+    defaults = P.default_phase(records, voices.select("slug", "text"), categories, rules)
+    told = P.voice_phases(voices, defaults, rules).withColumnRenamed("slug", "part")
+    none = F.lit(None).cast("string")
+    return told.unionByName(lines.filter("source <> 'voice'").withColumns({"inference_source": none, "inference_confidence": none}))
+
+
 def distributions(lines: DataFrame) -> DataFrame:
     """kind (source, phase, situation_type), value, n: lines by source, by situation, and by period without archives."""
     keyed = lines.select(*[T.missing(c).alias(c) for c in ("source", "phase", "situation_type")])

@@ -8,16 +8,16 @@ from ..operators import fingerprint as P
 from ..session import materialize, table
 
 
-def _list(s: str) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in s.split()) + "]"
+def _list(s: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in s) + "]"
 
 
-def _any(s: str, c: str = "text") -> str:
-    return "(" + " or ".join(f"contains({c}, '{w}')" for w in s.split()) + ")"
+def _any(s: list[str], c: str = "text") -> str:
+    return "(" + " or ".join(f"contains({c}, '{w}')" for w in s) + ")"
 
 
-def _count(s: str, c: str = "text") -> str:
-    return "(" + " + ".join(f"((length({c}) - length(replace({c}, '{w}', ''))) // {len(w)})" for w in s.split()) + ")"
+def _count(s: list[str], c: str = "text") -> str:
+    return "(" + " + ".join(f"((length({c}) - length(replace({c}, '{w}', ''))) // {len(w)})" for w in s) + ")"
 
 
 _FLAGS = "ellipsis ellipsis_start dash exclamation question rhetorical metaphor parallelism negation honorific intimate".split()
@@ -85,8 +85,8 @@ union all select slice_dim, slice_value, 'emotion_dominant', '从''' || gd || ''
 union all select slice_dim, slice_value, 'negation', case when gn = 0 then '出现否定表达（全局无）' when negation_pct > gn then '更多否定' else '更少否定' end, case when gn = 0 then round_even(negation_pct / 100, 2) else round_even(abs(negation_pct - gn) / gn, 2) end from s where (gn > 0 and abs(negation_pct - gn) / gn > 0.4) or (gn = 0 and negation_pct > 20)"""
 
 
-def _lex_sql(lexicon: dict[str, str], by: str = "") -> str:
-    values = ", ".join(f"('{c}', '{w}')" for c, ws in lexicon.items() for w in ws.split())
+def _lex_sql(lexicon: dict[str, list[str]], by: str = "") -> str:
+    values = ", ".join(f"('{c}', '{w}')" for c, ws in lexicon.items() for w in ws)
     key = f"{by}, " if by else ""
     return f"select {key}category, word, sum((length(text) - length(replace(text, word, ''))) // length(word))::bigint as n, min(pos) as first_pos from annotated_lines, (values {values}) as w(category, word) where contains(text, word) group by all"
 
@@ -127,5 +127,5 @@ ORACLE = {
     "imagery_top_words": _lex_sql(R.NATURE) + " order by n desc, first_pos, word limit 5",
     "rhetoric_rates": _BASE + "select coalesce(nullif(phase, ''), 'unknown') as phase, " + ", ".join(f"round_even(avg(coalesce({c}::int, 0)) * 100, 1) as {c}_pct" for c in ("rhetorical", "metaphor", "parallelism", "negation")) + " from feats group by 1",
     "address_pattern": _BASE + "select coalesce(nullif(situation_type, ''), 'unknown') as situation_type, count(*) filter (where honorific) as honorific, count(*) filter (where intimate) as intimate from feats group by 1",
-    "address_examples": f"select row_number() over (order by pos, line_uid) as k, left(text, 50) as example from (select * from annotated_lines where {_any(' '.join([*R.words(R.HONORIFIC), *TITLES]))} order by pos, line_uid limit 5)",
+    "address_examples": f"select row_number() over (order by pos, line_uid) as k, left(text, 50) as example from (select * from annotated_lines where {_any([*R.words(R.HONORIFIC), *TITLES])} order by pos, line_uid limit 5)",
 }

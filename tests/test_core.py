@@ -54,6 +54,72 @@ def test_phase_cascade(spark):
     assert ch.filter(phase.story_phase(F.col("c"), F.col("s")) != F.col("want")).count() == 0
 
 
+def test_rules_keep_the_source_order(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    # a category of the first that the page names; a faction by the four that the source knows
+    cats = lambda *c: one(phase.by_categories(F.array(*[F.lit(x) for x in c]) if c else F.lit(None).cast("array<string>")))
+    assert cats("属于维多利亚的干员", "属于整合运动的干员")["phase"] == "resurrected" and cats("属于整合运动的干员")["phase"] == "early"
+    assert cats("六星干员")["confidence"] == "low" and cats("地图") is None and cats() is None
+    f = lambda x: one(phase.by_faction(F.lit(x)))
+    assert f("维多利亚") is None and f("整合运动与罗德岛")["phase"] == "resurrected" and f("卡兹戴尔")["phase"] == "early"
+    assert one(phase.by_chapter(F.lit("第10章")))["phase"] == "resurrected" and one(phase.by_activity_type(F.lit("主线"), F.lit("第8章")))["phase"] == "babel"
+    assert one(phase.by_activity_type(F.lit("支线故事"), F.lit("切尔诺伯格的雪")))["phase"] == "early" and one(phase.by_activity_type(F.lit("纪念活动"), F.lit("伦蒂尼姆"))) is None
+    assert [one(phase.activity_page(F.lit(x))) for x in ("DM-ST-1 求生/NBT", "XX-ST-2 长夜/NBT", "XX-3", "无")] == ["生于黑夜", "长夜", None, None]
+
+
+def test_default_phase_order(spark):
+    rec = spark.createDataFrame([("w", "W", "罗德岛"), ("a", "甲", "罗德岛"), ("b", "乙", None), ("c", "丙", ""), ("d", "丁", "罗德岛"), ("e", "戊", None)], "slug string, name_zh string, faction string")
+    voices = spark.createDataFrame([("b", "巴别塔的内战"), ("b", None), ("a", "维多利亚")], "slug string, text string")
+    cats = spark.createDataFrame([("d", ["属于炎国的干员"]), ("c", ["干员"]), ("e", None)], "slug string, categories array<string>")
+    got = {r["slug"]: (r["phase"], r["source"], r["confidence"]) for r in phase.default_phase(rec, voices, cats).collect()}
+    assert got == {"w": ("early", "default", "high"), "a": ("resurrected", "faction", "medium"), "b": ("babel", "cluster", "low"), "c": ("early", "category", "low"), "d": ("early", "category", "medium"), "e": ("unknown", "none", "low")}
+
+
+DATA = "rec_id bigint, slug string, kind string, idx int, title string, text string"
+STORY_LINE = "row_id bigint, story_id string, pos bigint, speaker string, text string, narration array<string>, scene string, is_target boolean, reply_to string, phase string"
+
+
+def test_context_of_voice_story_and_archives(spark):
+    rec = spark.createDataFrame([("w", "W", None)], "slug string, name_zh string, faction string")
+    data = spark.createDataFrame([(1, "w", "voice", 0, "信赖触摸", "魔王在卡兹戴尔归来"), (2, "w", "voice", 1, "交谈", "你好"), (2, "w", "voice", 1, "交谈", "你好"), (3, "w", "voice", 2, "空", ""), (4, "w", "archive", 0, "档案", ""), (5, "w", "archive", 1, "档案", "履历"), (6, None, "voice", None, None, "x")], DATA)
+    story = spark.createDataFrame([(1, "s", 1, "甲", "走", ["点头"], "港", True, "", "late"), (2, "s", 2, "乙", "不", None, None, False, None, None), (3, "a", 5, "甲", "进攻", None, None, True, "乙", None)], STORY_LINE)
+    got = {(r["part"], r["line_id"]): r for r in hub.context(rec, data, story).collect()}
+    assert set(got) == {("w", "V000"), ("w", "V001"), ("w", "A001"), (None, "V000"), ("a", "S000"), ("s", "S001")}
+    assert (got["w", "V000"]["phase"], got["w", "V000"]["inference_source"], got["w", "V000"]["interlocutor"]) == ("babel", "content_pattern", "博士")
+    assert (got["w", "V001"]["phase"], got["w", "V001"]["inference_source"]) == ("babel", "cluster")
+    assert (got["s", "S001"]["phase"], got["a", "S000"]["phase"], got["a", "S000"]["situation_type"], got["w", "A001"]["scene"]) == ("late", "unknown", "confront", "档案")
+    d = {(r["kind"], r["value"]): r["n"] for r in hub.distributions(hub.context(rec, data, story)).collect()}
+    assert d["source", "archive"] == 1 and sum(n for (k, _), n in d.items() if k == "situation_type") == 6 and sum(n for (k, _), n in d.items() if k == "phase") == 5
+    assert hub.context(rec.limit(0), data.limit(0), story.limit(0)).count() == 0
+
+
+def test_numbers_of_a_hot_part_run_through(spark):
+    rows = [("hot", i * 7 % 1000, i) for i in range(1000)] + [("cold", None, 1), ("cold", 3, 2), (None, 1, 3)]
+    df = spark.createDataFrame(rows, "slug string, idx int, rec_id bigint")
+    got = [r for r in hub.number_within(df, ["slug"], "idx", ["rec_id"], width=64).collect()]
+    assert sorted((r["n"], r["idx"]) for r in got if r["slug"] == "hot") == [(i, i) for i in range(1000)]
+    assert sorted((r["n"], r["rec_id"]) for r in got if r["slug"] != "hot") == [(0, 1), (0, 3), (1, 2)]
+    sizes = spark.createDataFrame([(f"k{i:03}", i) for i in range(200)], "k string, n bigint").repartition(7)
+    assert sorted((r["k"], r["before"]) for r in hub.running_totals(sizes, "k", "n").collect()) == [(f"k{i:03}", i * (i - 1) // 2) for i in range(200)]
+
+
+def test_archives_count_by_the_reference(spark):
+    a = [("evade", "回避", 0.8)]
+    rows = [(1, "x", "archive", "p", "甲", "comfort", a * 9, 1), (2, "y", "voice", "p", "甲", "comfort", a * 2, 2), (3, "z", None, "p", None, None, [], 3)]
+    df = spark.createDataFrame(rows, LINE)
+    assert tuple(speech.coverage(df).first()) == (2, 1) and tuple(speech.coverage(df.limit(0)).first()) == (0, 0)
+    pats = speech.behaviour_patterns(speech.profile(df)).collect()
+    assert [r["pattern"] for r in pats] == ["high_evade", "interlocutor_evade"]
+    assert pats[1]["rule"] == "对甲的对话中，回避行为占比最高（100%）——用回避的方式回应甲" and pats[0]["rule"].startswith("在被追问时倾向回避直接回答（回避行为占比100%）")
+
+
+def test_address_type_is_of_counts(spark):
+    df = spark.createDataFrame([(i, "阁下" if i == 0 else "海", "voice", None, None, None, None, i) for i in range(2500)], LINE)
+    r = fingerprint.fingerprint(df).first()
+    assert r["honorific_pct"] == 0.0 and r["address_type"] == "尊称型" and r["rhetoric_traits"] == "极少使用否定句，表达积极正向"
+    assert r["summary"].startswith("句式短句型，平均1.0字；几乎不用感叹号，语气极度克制；极少使用第一人称")
+
+
 def test_script_and_wiki_dialogue(spark):
     pages = [("s", '[name="甲"]你好（招手）。\n[Delay(time=1)]\n[name="乙"]嗯[Image(x)]。\n[dialog]\n[name="甲"]\n[name="丙"]走吧'), ("w", "== 码头 ==\n'''甲'''：早。\n旁白\n'''乙'''：早啊\n=== 船上 ===\n'''甲''': 走"), ("n", None)]
     df = spark.createDataFrame(pages, "path string, value string")
