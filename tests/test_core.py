@@ -147,8 +147,6 @@ def test_relations(spark):
     names = relations.Names([("特蕾西娅", "特蕾西娅"), ("特雷西斯", "特雷西斯"), ("W", "W"), ("陈", "陈")])
     assert names.entities("特蕾西娅与特雷西斯在卡兹戴尔作战") == ["特蕾西娅", "特雷西斯"]
     assert names.entities("和陈一起") == [] and names.entities("陈，W!") == ["W", "陈"] and names.entities("Wall") == []
-    assert relations.segments("特蕾西娅没有背叛我们。特雷西斯也在场。", "特蕾西娅", "特雷西斯") == []
-    assert relations.relation_rows("特雷西斯是特蕾西娅的兄长。", ["特蕾西娅", "特雷西斯"])[0][:4] == ("特雷西斯", "特蕾西娅", "sibling", "low")
     tl = spark.createDataFrame([(0, "early"), (1, "late")], "ord int, id string")
     e = spark.createDataFrame([("early", "a", "b", "t", "low"), ("late", "a", "b", "t", "high"), ("late", "a", "c", "t", "low"), ("early", "a", "d", "t", "low"), ("late", "a", "d", "u", "low")], "phase string, src string, dst string, type string, confidence string")
     got = {(r["dst"], r["type"]): r["evolution"] for r in relations.trajectories(e, tl).collect()}
@@ -156,6 +154,76 @@ def test_relations(spark):
     assert relations.trajectories(e.limit(0), tl).count() == 0
 
 
+def mentioned(spark, texts, *names, patterns=None):
+    said = relations.sentences(spark.createDataFrame(list(enumerate(texts)), "i bigint, text string"), ["i"])
+    cast = spark.createDataFrame([(n, n) for n in names], "alias string, canonical string")
+    return {(r["i"], r["src"], r["dst"], r["type"]): r for r in relations.relation_mentions(said, ["i"], cast, patterns).collect()}
+
+
+def test_relation_mentions(spark):
+    two = ("特蕾西娅", "特雷西斯")
+    got = mentioned(spark, ["特蕾西娅没有背叛我们。特雷西斯也在场。", "特雷西斯是特蕾西娅的兄长。", "特蕾西娅的兄长特雷西斯", None, "", "特雷西斯来了。然后走了！特蕾西娅信任他，信任，相信。", "特蕾西娅在。一。二。三。特雷西斯的战友。"], *two)
+    assert set(got) == {(1, "特雷西斯", "特蕾西娅", "sibling"), (2, "特雷西斯", "特蕾西娅", "sibling"), (5, "特蕾西娅", "特雷西斯", "trust")}
+    assert got[5, "特蕾西娅", "特雷西斯", "trust"]["confidence"] == "high" and got[5, "特蕾西娅", "特雷西斯", "trust"]["context"] == "特蕾西娅信任他，信任，相信"
+    assert got[1, "特雷西斯", "特蕾西娅", "sibling"]["confidence"] == "low"
+    # a run longer than three times the gap says nothing; one character is a name only where it stands alone
+    assert mentioned(spark, ["特雷西斯来了。" + "长" * 240 + "。特蕾西娅的战友。"], *two) == {}
+    assert mentioned(spark, ["陈旧的房间里特蕾西娅遇见战友"], "陈", "特蕾西娅") == {} and set(mentioned(spark, ["陈，特蕾西娅的战友"], "陈", "特蕾西娅")) == {(0, "特蕾西娅", "陈", "comrade")}
+
+
+def test_relations_are_found_like_pair_by_pair(spark):
+    rnd = random.Random(4)
+    names, patterns = ["甲一", "乙二", "丙三"], [("t", "友"), ("u", "敌|仇")]
+    texts = ["".join(rnd.choice([*names, "友", "敌", "仇", "的", "是", "不是", "和", "。", "。", "走"]) for _ in range(rnd.randint(4, 30))) for _ in range(150)]
+    got = {k: (r["confidence"], r["context"]) for k, r in mentioned(spark, texts, *names, patterns=patterns).items()}
+    want = {}
+    for i, text in enumerate(texts):
+        parts = [p for p in text.split("。") if p]
+        for x, a in enumerate(sorted(names)):
+            for b in sorted(names)[x + 1 :]:
+                joint = [(k, k) for k, p in enumerate(parts) if a in p and b in p and "不是" not in p]
+                spans = joint or sorted({(min(k, m), max(k, m)) for k, p in enumerate(parts) for m, q in enumerate(parts) if a in p and b in q and abs(k - m) <= 2})
+                segs = [seg for seg in ("。".join(parts[k : m + 1]) for k, m in spans) if "不是" not in seg]
+                for kind, letters in (("t", "友"), ("u", "敌仇")):
+                    seg = next((g for g in segs if any(c in g for c in letters)), None)
+                    if seg is None:
+                        continue
+                    pa, pb, pw = seg.index(a), seg.index(b), min(seg.index(c) for c in letters if c in seg)
+                    first = pa < pb
+                    gap, tail = (seg[pa + 2 : pb], seg[pb + 2 :][:10]) if first else (seg[pb + 2 : pa], seg[pa + 2 :][:10])
+                    fwd = not first if "的" in gap and len(gap) < 15 else first if "是" in gap and "的" in tail else abs(pw - pa) < abs(pw - pb)
+                    n = sum(seg.count(c) for c in letters)
+                    ctx = next(q for q in seg.split("。") if any(c in q for c in letters) and (a in q or b in q)) if any(any(c in q for c in letters) and (a in q or b in q) for q in seg.split("。")) else ""
+                    want[(i, *((a, b) if fwd else (b, a)), kind)] = ("high" if n >= 3 else "medium" if n == 2 else "low", ctx)
+    assert got == want and len(want) > 60
+
+
+def test_contextual_graph(spark):
+    tl = spark.createDataFrame([(0, "early"), (1, "late")], "ord int, id string")
+    rows = [("s", "early", i, f"甲一和乙二是战友{i}", None) for i in range(3)] + [("s", "late", 10 + i, "甲一和乙二是战友，战友，战友", "voice") for i in range(3)] + [("s", "late", 20, "丙三背叛甲一", "archive"), ("s", "", 25, "走。走。走", None), ("s", "", 30, "丙三", None), ("s", None, 31, "甲一的敌人", None), ("t", "late", 1, "甲一", None), ("t", "late", 2, None, None)]
+    lines = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "line_uid bigint, slug string, phase string, pos bigint, text string, source string")
+    names = spark.createDataFrame([(n, n) for n in ("甲一", "乙二", "丙三")], "alias string, canonical string")
+    got = {(r["slug"], r["src"], r["dst"], r["type"]): r for r in relations.contextual_graph(lines, names, tl).collect()}
+    assert set(got) == {("s", "乙二", "甲一", "comrade"), ("s", "甲一", "丙三", "opponent")}
+    r = got["s", "乙二", "甲一", "comrade"]
+    assert [tuple(p) for p in r["phases"]] == [("early", "low"), ("late", "high")] and r["trajectory"] == "从early到late逐步强化" and r["contexts"] == ["甲一和乙二是战友0"]
+    assert got["s", "甲一", "丙三", "opponent"]["phases"] == [] and got["s", "甲一", "丙三", "opponent"]["trajectory"] is None
+    assert relations.contextual_graph(lines.limit(0), names, tl).count() == 0
+
+
+def test_graph_keeps_sources_and_three_contexts(spark):
+    rows = [("a", "b", "t", "low", ["x"], ["c4", "c1"]), ("a", "b", "t", "low", ["y", "x"], ["c3", "c2", "c1", ""]), ("a", "c", "t", "medium", None, None)]
+    df = spark.createDataFrame(rows, "src string, dst string, type string, confidence string, sources array<string>, contexts array<string>")
+    got = [(r["dst"], r["source_count"], r["confidence"], r["sources"], r["contexts"]) for r in relations.graph(df).collect()]
+    assert got == [("b", 2, "medium", ["x", "y"], ["c1", "c2", "c3"]), ("c", 0, "medium", [], [])]
+    ops = spark.createDataFrame([("甲一", "Jia Yi"), ("乙二", None)], "name_zh string, name_en string")
+    al = spark.createDataFrame([("小甲", "甲一"), ("乙二", "甲一"), ("", "x")], "alias string, canonical string")
+    n = relations.normalize(spark.createDataFrame([(x,) for x in [" 甲一 ", "小甲", "JIA yi", "乙二", "丁", None, ""]], "name string"), "name", ops, al)
+    assert {r["name"]: r["canonical"] for r in n.collect()} == {" 甲一 ": "甲一", "小甲": "甲一", "JIA yi": "甲一", "乙二": "乙二", "丁": None, None: None, "": None}
+    ends = {r["name"]: (r["name_en"], r["race"], r["faction"]) for r in relations.nodes(df, ops.selectExpr("'a' as name_zh", "cast(null as string) as name_en", "'r' as race", "cast(null as string) as faction").limit(1)).collect()}
+    assert ends == {"a": ("", "r", "unknown"), "b": ("", "unknown", "unknown"), "c": ("", "unknown", "unknown")}
+
+
 def test_claims_and_misconceptions(spark):
     t = spark.createDataFrame([("x", "种族：萨卡兹。她是萨卡兹。阵营：巴别塔\n"), ("y", "特蕾西娅属于整合运动"), ("z", "错误：特蕾西娅属于整合运动"), ("n", None)], "s string, text string")
     got = {(r["source"], r["field"], r["value"]) for r in canon.claims(t, "s").collect()}
