@@ -93,6 +93,6 @@ def merge_rules(builtin: DataFrame, custom: DataFrame, key: str) -> DataFrame:
     """Builtin rows overridden by custom rows of the same key, then the custom rows that are new. ord tells the order."""
     cols = [c for c in builtin.columns if c not in (key, "ord")]
     b, c = builtin.alias("b"), custom.alias("c")
-    top = F.coalesce(F.max("ord").over(Window.partitionBy()), F.lit(0))
-    j = b.join(c, F.col(f"b.{key}") == F.col(f"c.{key}"), "full")
-    return j.select(F.coalesce(f"b.{key}", f"c.{key}").alias(key), *[F.coalesce(f"c.{x}", f"b.{x}").alias(x) for x in cols], F.col("b.ord").alias("ord"), F.col("c.ord").alias("__c")).withColumn("ord", F.coalesce(F.col("ord"), top + F.col("__c"))).drop("__c")
+    top = builtin.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("__top"))
+    j = b.join(c, F.col(f"b.{key}") == F.col(f"c.{key}"), "full").crossJoin(F.broadcast(top))
+    return j.select(F.coalesce(f"b.{key}", f"c.{key}").alias(key), *[F.coalesce(f"c.{x}", f"b.{x}").alias(x) for x in cols], F.coalesce("b.ord", F.col("__top") + F.col("c.ord")).alias("ord"))

@@ -38,3 +38,11 @@ def latest(df: DataFrame, key: str, version: str = "version") -> DataFrame:
     """The newest row of each key, versions compared by number."""
     n = F.struct(F.regexp_extract(version, r"v(\d+)", 1).cast("int").alias("a"), F.coalesce(F.nullif(F.regexp_extract(version, r"\.(\d+)$", 1), F.lit("")).cast("int"), F.lit(0)).alias("b"))
     return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), n).alias("__r")).select(key, "__r.*")
+
+
+def version_list(stored: DataFrame, key: str, version: str = "version") -> DataFrame:
+    """key, versions: the different versions of each key, the newest first by number, those without a number last. NULL is none."""
+    v = F.trim(F.col(version))
+    number = lambda p: F.nullif(F.regexp_extract(v, p, 1), F.lit("")).cast("int")
+    each = stored.filter(F.col(version).isNotNull()).select(key, F.struct((-F.coalesce(number(r"^v?(\d+)"), F.lit(-1))).alias("a"), (-F.coalesce(number(r"^v?\d+\.(\d+)"), F.lit(0))).alias("b"), v.alias("v")).alias("s")).distinct()
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["v"]).alias("versions"))

@@ -74,7 +74,7 @@ def _best(names: list[str], columns: list[str]) -> Column:
 
 FLAGS = "ellipsis ellipsis_start dash exclamation question rhetorical metaphor parallelism negation honorific intimate".split()
 SELF, NATURE, FEELINGS = [f"self_{i}" for i in range(len(R.words(R.FIRST_PERSON)))], [f"nature_{i}" for i in range(len(R.NATURE))], [f"emotion_{i}" for i in range(len(R.EMOTIONS))]
-SUMS = ["n_sentences", "n_short", "n_medium", "n_long", "sentence_chars", "self_refs", "nature_words", *SELF, *NATURE, *FEELINGS]
+SUMS = ["n_sentences", "n_short", "n_medium", "n_long", "sentence_chars", *SELF, *NATURE, *FEELINGS]
 
 
 def _partial() -> list[Column]:
@@ -96,6 +96,8 @@ def traits(rules: list[tuple[Column, str]], none: str) -> Column:
 
 def _finish(agg: DataFrame) -> DataFrame:
     """Averages, percentages, types and their readings from the sums of a slice. Every threshold is applied to counts, never to rounded figures."""
+    total = lambda cols: sum((F.col(c) for c in cols), F.lit(0).cast("bigint"))
+    agg = agg.withColumns({"self_refs": total(SELF), "nature_words": total(NATURE)})
     some = F.nullif("lines", F.lit(0))
     part = lambda c: F.bround(F.col(c) / F.nullif("n_sentences", F.lit(0)) * 100, 1)
     agg = agg.withColumns({"avg_length": F.bround(F.col("sentence_chars") / F.nullif("n_sentences", F.lit(0)), 1), "short_pct": part("n_short"), "medium_pct": part("n_medium"), "long_pct": part("n_long"), **{f"{c}_pct": F.bround(F.col(f"{c}_n") / some * 100, 1) for c in FLAGS}})

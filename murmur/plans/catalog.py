@@ -6,16 +6,22 @@ from ..operators import catalog as C
 from ..session import table
 
 _DEFAULTS = {"name_en": "unknown", "faction": "none", "race": "unknown", "birthday": "-"}
-#: A version for each record: a number made from the length of its slug, in the forms that occur.
-_made = lambda s, d: table(s, d, "operators").select("faction", F.concat(F.lit("v"), (F.length("slug") % 3 + 1).cast("string"), F.lit("."), (F.length("name_zh")).cast("string")).alias("version"))
+#: Versions as records carry them: bare, with and without a minor, past 9, and none.
+_FORMS = ["v1", "v2", "1.0", "v1.9", "v1.10", "2", "draft", "v2.3", " v1.2 "]
+_made = lambda s, d: table(s, d, "operators").select("slug", "faction", "race", F.get(F.array(*[F.lit(v) for v in [*_FORMS, None]]), F.length("slug") % (len(_FORMS) + 1)).alias("version"))
+_STORED = "made as (select slug, faction, race, ([" + ", ".join(f"'{v}'" for v in _FORMS) + f", null])[length(slug) % {len(_FORMS) + 1} + 1] as version from operators)"
 
 QUERIES = {
     "catalog_defaults": lambda s, d: C.listing(table(s, d, "operators"), _DEFAULTS),
     "next_version": lambda s, d: C.next_version(_made(s, d), "faction"),
-    "normal_version": lambda s, d: table(s, d, "operators").select("slug", C.normal_version(F.coalesce(F.regexp_extract("birthday", r"(\d+)", 1), F.lit("draft"))).alias("version")),
+    "normal_version": lambda s, d: _made(s, d).select("slug", C.normal_version(F.col("version")).alias("version")),
+    "latest_version": lambda s, d: C.latest(_made(s, d).filter(r"version rlike '^v\\d' and race is not null").groupBy("race", "version").agg(F.min("slug").alias("slug")), "race"),
+    "version_list": lambda s, d: C.version_list(_made(s, d).filter("faction is not null"), "faction"),
 }
 ORACLE = {
     "catalog_defaults": "select slug, " + ", ".join(f"coalesce(nullif({c}, ''), '{v}') as {c}" for c, v in _DEFAULTS.items()) + " from operators where slug is not null and not starts_with(slug, '.') and slug <> 'versions'",
-    "next_version": "select faction, 'v' || max(m) || '.' || arg_max(n, m * 1000 + n) + 1 as next from (select faction, length(slug) % 3 + 1 as m, length(name_zh) as n from operators) group by 1",
-    "normal_version": r"select slug, case when v = '' then 'v' else 'v' || v || case when v = 'draft' then '' else '.0' end end as version from (select slug, coalesce(regexp_extract(birthday, '(\d+)', 1), 'draft') as v from operators)",
+    "next_version": rf"with {_STORED}, p as (select faction, case when regexp_matches(version, '^v\d+\.\d+$') then regexp_extract(version, '^v(\d+)', 1)::int * 1000 + regexp_extract(version, '(\d+)$', 1)::int when regexp_matches(version, '^v\d+$') then 1000 + version[2:]::int end as n from made) select faction, case when max(n) is null then 'v1.0' else 'v' || greatest(max(n) // 1000, 1) || '.' || (max(n) % 1000 + 1) end as next from p group by 1",
+    "normal_version": rf"with {_STORED} select slug, case when regexp_matches(v, '^\d+\.\d+$') then 'v' || v when regexp_matches(v, '^\d+$') then 'v' || v || '.0' else 'v' || v end as version from (select slug, regexp_replace(trim(version), '^v', '') as v from made)",
+    "latest_version": rf"with {_STORED}, g as (select race, version, min(slug) as slug from made where version like 'v%' and race is not null group by 1, 2), n as (select *, regexp_extract(version, 'v(\d+)', 1)::int as a, coalesce(nullif(regexp_extract(version, '\.(\d+)$', 1), '')::int, 0) as b from g) select race, version, slug from n qualify row_number() over (partition by race order by a desc, b desc) = 1",
+    "version_list": rf"with {_STORED}, n as (select distinct faction, version, coalesce(nullif(regexp_extract(version, '^v?(\d+)', 1), '')::int, -1) as a, coalesce(nullif(regexp_extract(version, '^v?\d+\.(\d+)', 1), '')::int, 0) as b from (select faction, trim(version) as version from made where version is not null and faction is not null)) select faction, list(version order by a desc, b desc, version) as versions from n group by 1",
 }

@@ -32,7 +32,7 @@ feats as (select *, len(lens) as n_sentences, len([x for x in lens if x <= 5]) a
   contains(text, '！') or contains(text, '!') as exclamation, {_ASK} as question, {_ASK} and {_any(R.RHETORICAL)} as rhetorical, {_any(R.METAPHOR)} as metaphor,
   len(regexp_split_to_array(text, '[，、；]')) >= 3 and len([x for x in list_distinct(starts) if len(list_filter(starts, lambda q: q = x)) >= 3]) > 0 as parallelism,
   regexp_matches(text, '{R.NEGATION}') as negation, regexp_matches(text, '{R.NEGATION_SHORT}') as negation_short,
-  {_any(R.HONORIFIC)} as honorific, {_any(R.INTIMATE)} as intimate, {", ".join(f"{_count(w)} as self_{i}" for i, w in enumerate(R.words(R.FIRST_PERSON)))}, {", ".join(f"{_count(w)} as nature_{i}" for i, w in enumerate(R.NATURE.values()))}, {_count(R.FIRST_PERSON)} as self_refs, {" + ".join(_count(w) for w in R.NATURE.values())} as nature_words,
+  {_any(R.HONORIFIC)} as honorific, {_any(R.INTIMATE)} as intimate, {", ".join(f"{_count([w])} as self_{i}" for i, w in enumerate(R.words(R.FIRST_PERSON)))}, {", ".join(f"{_count(w)} as nature_{i}" for i, w in enumerate(R.NATURE.values()))}, {_count(R.FIRST_PERSON)} as self_refs, {" + ".join(_count(w) for w in R.NATURE.values())} as nature_words,
   {", ".join(f"{_count(w)} as emotion_{i}" for i, w in enumerate(R.EMOTIONS.values()))} from f)"""
 
 _E, _S, _N = ([f"{k}_{i}" for i in range(n)] for k, n in (("emotion", len(R.EMOTIONS)), ("self", len(R.words(R.FIRST_PERSON))), ("nature", len(R.NATURE))))
