@@ -155,8 +155,22 @@ MISCONCEPTIONS = [
 RELIABILITY = [("wiki", "high"), ("game_text", "high"), ("official", "high"), ("community_research", "medium"), ("fan", "low"), ("unknown", "medium")]
 # Words that make a taboo testable.
 TABOO_WORDS = ["牺牲", "棋子", "放弃", "消灭", "贱民", "低等", "去死", "杀了", "弄死", "处死"]
-# What a rule that forbids something forbids: words in the rule, pattern to look for, description.
-FORBIDDEN = [(r"不.*感叹号|没有感叹号|不用！", r"[！!]", "使用了感叹号"), (r"不.*命令", r"命令|给我|必须|立刻|马上", "使用了命令式语气"), (r"不.*(?:哭|流泪|泪水)", r"哭了|流泪|泪流|泪水", "出现了哭泣描写"), (r"不.*(?:咆哮|吼|大喊)", r"咆哮|怒吼|大吼|吼道|大喊", "出现了咆哮描写")]
+# What a rule that forbids something forbids: kind, words in the rule, pattern to look for, description. Of the
+# kind quote the pattern is what the words capture, of the kind denied every quotation with a denial before it.
+OPENING, CLOSING = "「“‘", "」”’"
+FORBIDDEN = [
+    ("cue", r"不.*感叹号|没有感叹号|不用！", r"[！!]", "使用了感叹号"),
+    ("cue", r"不.*命令", r"命令|给我|必须|立刻|马上", "使用了命令式语气"),
+    ("quote", r"不(?:会|用|说|能)?[「“‘]([^」”’]{2,20})[」”’]", None, "使用了'{}'"),
+    ("cue", r"不.*(?:哭|流泪|泪水)", r"哭了|流泪|泪流|泪水", "出现了哭泣描写"),
+    ("cue", r"不.*(?:咆哮|吼|大喊)", r"咆哮|怒吼|大吼|吼道|大喊", "出现了咆哮描写"),
+    ("quote", r"从不(?:会|用|说|能)?[「“‘]([^」”’]{2,20})[」”’]", None, "使用了'{}'"),
+    ("denied", r"[「“‘]([^」”’]+)[」”’]", None, "使用了反例表达'{}'"),
+]
+# Headings of a description's parts, and the entries of its style part.
+PERSONA_PARTS = {"layer0": r"Layer\s*0", "style": r"Layer\s*2", "layer5": r"Layer\s*5", "corrections": r"Correction\s*记录"}
+PERSONA_STYLE = {"catchphrases": "口头禅", "frequent_words": "高频词", "self_reference": "自称"}
+NO_CORRECTIONS = "暂无"
 
 
 def words(s: list[str]) -> list[str]:

@@ -237,6 +237,11 @@ def test_persona(spark):
     p = persona.parse("## Layer 0：x\n- 不用感叹号\n- 不说「走开」\n\n## Layer 2：y\n口头禅：「嗯」\n高频词：海、船\n自称：极少\n\n## Layer 5：z\n- 不谈「内鬼」\n\n## Correction 记录\n暂无\n")
     assert p["layer0"] == ["不用感叹号", "不说「走开」"] and p["style"]["frequent_words"] == ["海", "船"] and p["layer5"] == ["不谈「内鬼」"] and p["corrections"] == []
     assert persona.forbidden("不说「走开」") == [("走开", "使用了'走开'")]
+    assert persona.forbidden("没有感叹号，从不会哭") == [("[！!]", "使用了感叹号"), ("哭了|流泪|泪流|泪水", "出现了哭泣描写")]
+    assert persona.forbidden("不应该「退后」，应该「前进」，从不用“命令”") == [("命令|给我|必须|立刻|马上", "使用了命令式语气"), ("命令", "使用了'命令'"), ("退后", "使用了反例表达'退后'")]
+    assert persona.forbidden("温和") == [] and persona.taboo_words("不谈「内鬼」与牺牲") == ["内鬼", "牺牲"]
+    assert persona.parse("## Layer 0\n- a\n## 其他\n- b\n## Correction 记录\n### 一\n- c\n## 尾\n- d\n") == {"layer0": ["a", "b"], "style": {}, "layer5": [], "corrections": ["一", "c"]}
+    assert persona.parse("") == {"layer0": [], "style": {}, "layer5": [], "corrections": []}
     d = spark.createDataFrame([("「我会记住你们每一个人」", True), ("......我在。", True), ("泰拉历898年，" + "x" * 60, False)], "t string, want boolean")
     assert d.filter(persona.is_dialogue(F.col("t")) != F.col("want")).count() == 0
     lines = spark.createDataFrame([(1, "嗯！", "voice", "a", None, "casual", [], 1), (2, "海船", "voice", "a", None, "casual", [], 2), (3, None, "voice", "a", None, "casual", [], 3)], LINE)
