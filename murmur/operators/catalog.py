@@ -41,8 +41,31 @@ def latest(df: DataFrame, key: str, version: str = "version") -> DataFrame:
 
 
 def version_list(stored: DataFrame, key: str, version: str = "version") -> DataFrame:
-    """key, versions: the different versions of each key, the newest first by number, those without a number last. NULL is none."""
-    v = F.trim(F.col(version))
-    number = lambda p: F.nullif(F.regexp_extract(v, p, 1), F.lit("")).cast("int")
-    each = stored.filter(F.col(version).isNotNull()).select(key, F.struct((-F.coalesce(number(r"^v?(\d+)"), F.lit(-1))).alias("a"), (-F.coalesce(number(r"^v?\d+\.(\d+)"), F.lit(0))).alias("b"), v.alias("v")).alias("s")).distinct()
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["v"]).alias("versions"))
+    """key, versions: the different versions of each key that begin with v, in the order of their letters (v1.10 before v1.2)."""
+    return stored.filter(F.startswith(version, F.lit("v"))).groupBy(key).agg(F.array_sort(F.collect_set(version)).alias("versions"))
+
+
+def scaffold(names: DataFrame, now: Column | None = None) -> DataFrame:
+    """slug, name, name_en, created_at, updated_at, version, profile, tags, impression, corrections_count of new products: everything unknown yet."""
+    when = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    unknown, none = F.lit("unknown"), F.array().cast("array<string>")
+    profile = F.struct(unknown.alias("faction"), unknown.alias("identity"), unknown.alias("mbti"), none.alias("key_relationships"))
+    tags = F.struct(none.alias("personality"), none.alias("leadership"), none.alias("philosophy"))
+    return names.select("slug", "name", F.coalesce("name_en", F.lit("")).alias("name_en"), when.alias("created_at"), when.alias("updated_at"), F.lit("v1.0").alias("version"), profile.alias("profile"), tags.alias("tags"), F.lit("").alias("impression"), F.lit(0).alias("corrections_count"))
+
+
+#: Files that a product must have.
+REQUIRED = ["SKILL.md", "meta.json"]
+
+
+def missing_files(files: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """slug, missing: the required files that files(slug, file) lacks, for every slug that lacks one."""
+    need = F.array(*[F.lit(x) for x in (REQUIRED if required is None else required)])
+    have = files.groupBy("slug").agg(F.collect_set("file").alias("__f"))
+    return have.select("slug", F.array_except(need, "__f").alias("missing")).filter("size(missing) > 0")
+
+
+def rolled_back(meta: DataFrame, version: str) -> DataFrame:
+    """meta with rolled_back_from (the version before), rolled_back_to and the new version."""
+    to = normal_version(F.lit(version))
+    return meta.withColumns({"rolled_back_from": F.coalesce("version", F.lit("unknown")), "rolled_back_to": to, "version": to})

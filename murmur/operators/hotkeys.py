@@ -31,13 +31,6 @@ def unpivot_keys(df: DataFrame, fields: Sequence[str], carry: dict[str, Column],
     return base.select(F.explode("__pairs").alias("__p"), *carry).select("__p.field_name", "__p.key_value", *carry)
 
 
-def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & a[c].eqNullSafe(b[c])
-    return cond
-
-
 def _with_ranges(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rows with the open value ranges of their key; rows of keys with none are left out."""
     renamed = ranges.select(*[F.col(k).alias(f"__r_{k}") for k in keys], "__ranges")

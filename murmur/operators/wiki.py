@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 # Keys of the templates and the columns they fill.
 CHARINFO = {"干员名": "name_zh", "干员外文名": "name_en", "稀有度": "rarity", "职业": "profession", "分支": "branch", "所属国家": "country", "所属组织": "faction", "位置": "position", "标签": "tags", "画师": "artist", "中文配音": "cv_zh"}
@@ -35,9 +36,9 @@ def clean_voice(c: Column) -> Column:
 _BRACES = re.compile(r"\{\{|\}\}")
 
 
-def body_of(text: str | None, name: str) -> str | None:
-    """Body of the first {{name template, from the line after its name to its own closing braces; NULL if there is none or it never closes."""
-    head = re.search(r"\{\{%s\s*\n" % re.escape(name), text) if text else None
+def body_of(text: str | None, name: str, pattern: bool = False) -> str | None:
+    """Body of the first {{name template (name may be a pattern), from the line after its name to its own closing braces; NULL if there is none or it never closes."""
+    head = re.search(r"\{\{%s\s*\n" % (name if pattern else re.escape(name)), text) if text else None
     depth = 1
     for b in _BRACES.finditer(text, head.end()) if head else ():
         depth += 1 if b.group() == "{{" else -1
@@ -46,14 +47,14 @@ def body_of(text: str | None, name: str) -> str | None:
     return None
 
 
-def template_body(c: Column, name: str) -> Column:
+def template_body(c: Column, name: str, pattern: bool = False) -> Column:
     """body_of as a column. Balanced braces are no regular language, so this is the one Python function of this module."""
 
     @F.pandas_udf("string")
     def body(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: body_of(t, name), na_action="ignore")
+        return s.map(lambda t: body_of(t, name, pattern), na_action="ignore")
 
-    return body(F.when(F.contains(c, F.lit("{{" + name)), c))
+    return body(F.when(F.rlike(c, F.lit("\\{\\{" + name)) if pattern else F.contains(c, F.lit("{{" + name)), c))
 
 
 def fields(body: Column, keys: dict[str, str], drop: tuple[str, ...] = ()) -> Column:
@@ -85,6 +86,20 @@ def archives(body: Column) -> Column:
     return F.filter(rows, lambda x: x["text"] != "")
 
 
+def old_archive(text: Column) -> Column:
+    """The archive section of a page in the old form as one entry of at most 500 characters; NULL if there is none."""
+    section = F.regexp_extract_all(text, F.lit(r"(?s)==\s*干员档案\s*==\n(.*?)(?=\n==[^=])"), F.lit(1))
+    return F.when(F.size(section) > 0, F.array(F.struct(F.lit(0).alias("index"), F.lit("干员档案").alias("title"), F.left(clean(section[0]), F.lit(500)).alias("text"))))
+
+
+def abilities(body: Column) -> Column:
+    """The ability block of an enemy template, over several lines up to the next field; NULL without one."""
+    t = F.regexp_extract(body, r"(?s)\|能力\s*=\s*(.*?)(?=\n\||\n?\}\})", 1)
+    for p, to in ((r"\{\{color\|[^|]*\|([^}]*)\}\}", "$1"), (r"\{\{[^{}]*\}\}", ""), (r"<br\s*/?>", "\n")):
+        t = F.regexp_replace(T.strip(t), p, to)
+    return F.nullif(T.strip(t), F.lit(""))
+
+
 def voice_lines(text: Column) -> Column:
     """Array of (label, text) of numbered titles and lines; empty ones are left out."""
     p = r"(?s)\|标题(\d+)\s*=\s*([^\n|]+)\s*\n\s*\|台词\1\s*=\s*(.*?)(?=\n\s*\|标题\d+=|\n\s*\|语音\d+=|\z)"
@@ -94,16 +109,33 @@ def voice_lines(text: Column) -> Column:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """One record a page(path, value): path, page_type, every field as a column, archives, voice_lines.
+    """One record a page(path, value): path, page_type, every field as a column, abilities, archives, voice_lines.
 
-    The character template comes first; the attribute template fills the faction, the profile template the rest.
+    The character template comes first; the attribute template fills the faction, the profile template the rest. A page
+    without the archive template may have the old section; one without voice lines those of its page path/语音记录.
     """
     v = F.col("value")
-    b = pages.withColumns({"__v2": template_body(v, "CharinfoV2"), "__v1": template_body(v, "Charinfo"), "__en": template_body(v, "敌人信息/2"), "__pr": template_body(v, "人员档案set"), "__at": template_body(v, "属性"), "__ar": template_body(v, "人员档案")})
+    b = pages.withColumns({"__v2": template_body(v, "CharinfoV2"), "__v1": template_body(v, "Charinfo"), "__en": template_body(v, "敌人信息/[a-z0-9]+", True), "__pr": template_body(v, "人员档案set"), "__at": template_body(v, "属性"), "__ar": template_body(v, "人员档案")})
     m = {"info": fields(F.coalesce("__v2", "__v1"), CHARINFO), "enemy": fields(F.col("__en"), ENEMY), "attr": fields(F.col("__at"), ATTRIBUTES), "prof": fields(F.col("__pr"), PROFILE, ("未公开",))}
     b = b.withColumns({f"__m_{k}": x for k, x in m.items()})
     names = list(dict.fromkeys([*CHARINFO.values(), *ENEMY.values(), *ATTRIBUTES.values(), *PROFILE.values()]))
-    return b.select("path", page_type(v).alias("page_type"), *[F.coalesce(*[F.try_element_at(f"__m_{k}", F.lit(n)) for k in m]).alias(n) for n in names], archives(F.col("__ar")).alias("archives"), voice_lines(v).alias("voice_lines"))
+    return b.select("path", page_type(v).alias("page_type"), *[F.coalesce(*[F.try_element_at(f"__m_{k}", F.lit(n)) for k in m]).alias(n) for n in names], abilities(F.col("__en")).alias("abilities"), F.when(F.coalesce("__ar", F.lit("")) != "", archives(F.col("__ar"))).otherwise(old_archive(v)).alias("archives"), voice_lines(v).alias("voice_lines"))
+
+
+def with_voice_pages(records: DataFrame, pages: DataFrame) -> DataFrame:
+    """records of parse_pages; those without voice lines get the lines of their page's voice page, if pages hold one."""
+    sub = pages.filter("endswith(path, '/语音记录')").select(F.regexp_replace("path", "/语音记录$", "").alias("__p"), voice_lines(F.col("value")).alias("__v"))
+    sub = sub.groupBy("__p").agg(F.first("__v").alias("__v"))
+    own = F.size(F.coalesce("voice_lines", F.array())) > 0
+    return records.join(sub, F.col("path") == F.col("__p"), "left").withColumn("voice_lines", F.when(own, F.col("voice_lines")).otherwise(F.coalesce("__v", "voice_lines"))).drop("__p", "__v")
+
+
+def legacy_records(pages: DataFrame) -> DataFrame:
+    """path, race, faction, profession, archives, voice_lines of pages in the old form, by field names wherever they stand."""
+    v = F.col("value")
+    field = lambda k: F.nullif(T.strip(F.regexp_extract(v, rf"\|\s*{k}\s*=\s*([^\n|]+)", 1)), F.lit(""))
+    b = pages.withColumn("__ar", template_body(v, "人员档案"))
+    return b.select("path", field("种族").alias("race"), field("阵营").alias("faction"), field("职业").alias("profession"), F.when(F.coalesce("__ar", F.lit("")) != "", archives(F.col("__ar"))).otherwise(old_archive(v)).alias("archives"), voice_lines(v).alias("voice_lines"))
 
 
 def slug(c: Column) -> Column:
@@ -121,17 +153,38 @@ def page_url(c: Column, base: str) -> Column:
     return F.concat(F.lit(base), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))
 
 
-def follow_redirects(pages: DataFrame, hops: int = 5) -> DataFrame:
-    """path, target, value: each page with the text of the page its redirects lead to (at most `hops` steps); a dangling redirect keeps its own."""
+def follow_redirects(pages: DataFrame) -> DataFrame:
+    """path, target, value: each page with the text of the page its redirects lead to; an empty text is that of target/NBT if there is one.
+
+    Every step joins each page's way with the way of where it leads, so chains of any length end after the logarithm of
+    their length. A dangling redirect keeps its own page; one that goes round ends at itself or at a page of its circle.
+    """
     to = F.nullif(F.regexp_extract("value", r"(?i)^\s*#(?:REDIRECT|重定向)\s*\[\[([^\]|#]+)", 1), F.lit(""))
-    links = pages.select("path", to.alias("to"), "value")
-    cur = pages.select("path", F.col("path").alias("target"))
-    for _ in range(hops):
-        hop = links.filter("to is not null").select(F.col("path").alias("__p"), "to")
-        known = links.select(F.col("path").alias("__q"))
-        hop = hop.join(known, hop["to"] == known["__q"], "left_semi")
-        cur = cur.join(hop, cur["target"] == hop["__p"], "left").select("path", F.coalesce("to", "target").alias("target"))
-    return cur.join(links.select(F.col("path").alias("__p"), "value"), F.col("target") == F.col("__p")).select("path", "target", "value")
+    links = materialize(pages.groupBy("path").agg(F.first("value").alias("value")), "wiki")
+    there = links.select(F.col("path").alias("__q"))
+    way = links.select("path", to.alias("to")).join(there, F.col("to") == F.col("__q"), "left").select("path", F.coalesce("__q", "path").alias("target"))
+    left = None
+    while True:
+        way = materialize(way, "wiki")
+        far = way.select(F.col("path").alias("__p"), F.col("target").alias("__t"))
+        step = materialize(way.join(far, F.col("target") == F.col("__p")).select("path", F.col("__t").alias("target"), (F.col("__t") != F.col("target")).alias("moved")), "wiki")
+        moving = step.filter("moved").count()
+        # every step brings some page of a chain home; if none came, what still moves goes round
+        if moving in (0, left):
+            way = step.select("path", F.when(F.col("moved"), F.col("path")).otherwise(F.col("target")).alias("target"))
+            break
+        left, way = moving, step.select("path", "target")
+    text = links.select(F.col("path").alias("__p"), "value")
+    nbt = links.filter("endswith(path, '/NBT')").select(F.regexp_replace("path", "/NBT$", "").alias("__n"), F.col("value").alias("__v"))
+    out = way.join(text, F.col("target") == F.col("__p")).join(nbt, F.col("target") == F.col("__n"), "left")
+    return out.select("path", "target", F.when(F.coalesce("value", F.lit("")) == "", F.coalesce("__v", "value")).otherwise(F.col("value")).alias("value"))
+
+
+def page_categories(links: DataFrame, prefix: str = "分类:") -> DataFrame:
+    """title, categories (array, in order of pos, without the prefix) of links(title, pos, category)."""
+    name = F.when(F.startswith("category", F.lit(prefix)), F.expr(f"substring(category, {len(prefix) + 1})")).otherwise(F.col("category"))
+    each = links.filter("category is not null").select("title", F.struct("pos", name.alias("c")).alias("s"))
+    return each.groupBy("title").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["c"]).alias("categories"))
 
 
 def wiki_links(c: Column) -> Column:

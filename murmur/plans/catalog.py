@@ -16,6 +16,8 @@ QUERIES = {
     "next_version": lambda s, d: C.next_version(_made(s, d), "faction"),
     "normal_version": lambda s, d: _made(s, d).select("slug", C.normal_version(F.col("version")).alias("version")),
     "latest_version": lambda s, d: C.latest(_made(s, d).filter(r"version rlike '^v\\d' and race is not null").groupBy("race", "version").agg(F.min("slug").alias("slug")), "race"),
+    "scaffold_catalog": lambda s, d: C.scaffold(table(s, d, "operators").select("slug", F.col("name_zh").alias("name"), "name_en"), F.lit("2025-01-02 03:04:05").cast("timestamp")).select("slug", "name", "name_en", "created_at", "version", "profile.faction", "corrections_count"),
+    "missing_files": lambda s, d: C.missing_files(table(s, d, "operators").select("slug", F.explode(F.expr("case when lang is null then array('persona.md') when lang <> 'zh' or faction is null then array('SKILL.md', 'persona.md') else array('SKILL.md', 'meta.json') end")).alias("file"))),
     "version_list": lambda s, d: C.version_list(_made(s, d).filter("faction is not null"), "faction"),
 }
 ORACLE = {
@@ -23,5 +25,7 @@ ORACLE = {
     "next_version": rf"with {_STORED}, p as (select faction, case when regexp_matches(version, '^v\d+\.\d+$') then regexp_extract(version, '^v(\d+)', 1)::int * 1000 + regexp_extract(version, '(\d+)$', 1)::int when regexp_matches(version, '^v\d+$') then 1000 + version[2:]::int end as n from made) select faction, case when max(n) is null then 'v1.0' else 'v' || greatest(max(n) // 1000, 1) || '.' || (max(n) % 1000 + 1) end as next from p group by 1",
     "normal_version": rf"with {_STORED} select slug, case when regexp_matches(v, '^\d+\.\d+$') then 'v' || v when regexp_matches(v, '^\d+$') then 'v' || v || '.0' else 'v' || v end as version from (select slug, regexp_replace(trim(version), '^v', '') as v from made)",
     "latest_version": rf"with {_STORED}, g as (select race, version, min(slug) as slug from made where version like 'v%' and race is not null group by 1, 2), n as (select *, regexp_extract(version, 'v(\d+)', 1)::int as a, coalesce(nullif(regexp_extract(version, '\.(\d+)$', 1), '')::int, 0) as b from g) select race, version, slug from n qualify row_number() over (partition by race order by a desc, b desc) = 1",
-    "version_list": rf"with {_STORED}, n as (select distinct faction, version, coalesce(nullif(regexp_extract(version, '^v?(\d+)', 1), '')::int, -1) as a, coalesce(nullif(regexp_extract(version, '^v?\d+\.(\d+)', 1), '')::int, 0) as b from (select faction, trim(version) as version from made where version is not null and faction is not null)) select faction, list(version order by a desc, b desc, version) as versions from n group by 1",
+    "version_list": f"with {_STORED} select faction, list_sort(list_distinct(list(version))) as versions from made where version like 'v%' and faction is not null group by 1",
+    "scaffold_catalog": "select slug, name_zh as name, coalesce(name_en, '') as name_en, '2025-01-02T03:04:05.000000' as created_at, 'v1.0' as version, 'unknown' as faction, 0 as corrections_count from operators",
+    "missing_files": "select slug, case when lang is null then ['SKILL.md', 'meta.json'] else ['meta.json'] end as missing from operators where lang is null or lang <> 'zh' or faction is null",
 }

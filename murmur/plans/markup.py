@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import wiki as W
 from ..session import table
+from ..sources import readers as R
 
 _CLEAN = "text"
 for _p, _t, _o in ((r"<!--.*?-->", "", "gs"), (r"<ref[^>]*>.*?</ref>", "", "gs"), (r"\{\{[^{}]*\}\}", "", "g"), (r"\[\[([^|\]]*\|)?([^\]]*)\]\]", r"\2", "g"), ("''{2,5}", "", "g"), (r"<[^>]+>", "", "g"), (r"\n{3,}", "\n\n", "g")):
@@ -11,6 +12,7 @@ for _p, _t, _o in ((r"<!--.*?-->", "", "gs"), (r"<ref[^>]*>.*?</ref>", "", "gs")
 _CLEAN = f"trim({_CLEAN}, E' \\t\\r\\n　\u00a0\u2005\u2009\u202f')"
 _SLUG_IN = "name_en"
 
+REDIRECTS = [("a", "#REDIRECT [[b]]"), ("b", "#redirect [[c]]"), ("c", "正文"), ("d", "#REDIRECT [[nowhere]]"), ("e", ""), ("e/NBT", "剧情"), ("f", "#重定向 [[e]]"), ("g", None), ("h", "#REDIRECT [[h]]"), *[(f"k{i:02}", f"#REDIRECT [[k{i + 1:02}]]") for i in range(40)], ("k40", "尾")]
 _FIELDS = ["name_zh", "name_en", "faction", "race", "birthday", "description"]
 _KIND = "case when faction is null then case when race is null then 'none' else 'enemy' end when length(slug) % 3 = 0 then 'archive' else 'operator' end"
 
@@ -27,6 +29,9 @@ def _pages(s, d):  # noqa: ANN001, ANN202
 
 QUERIES = {
     "clean_markup": lambda s, d: table(s, d, "documents").select("doc_id", W.clean(F.col("text")).alias("clean")),
+    "page_redirects": lambda s, d: W.follow_redirects(s.createDataFrame(REDIRECTS, "path string, value string")),
+    "legacy_records": lambda s, d: W.legacy_records(table(s, d, "operators").select(F.col("slug").alias("path"), F.concat(F.lit("|种族 = "), F.coalesce("race", F.lit("")), F.lit("\n| 阵营="), F.coalesce("faction", F.lit("")), F.lit("|职业=木匠\n==干员档案==\n'''"), F.coalesce("infection_status", F.lit("无")), F.lit("'''\n==语音==\n")).alias("value"))).select("path", "race", "faction", "profession", F.col("archives")[0]["text"].alias("archive"), F.size("voice_lines").cast("bigint").alias("voices")),
+    "page_sections": lambda s, d: R.local_records(table(s, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("value"))).select(F.col("path").alias("doc_id"), F.explode("fields").alias("section", "body")).filter("startswith(section, 'section_')"),
     "link_unwrap": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(W.wiki_links(F.col("text"))).alias("k", "l")).select("doc_id", F.col("k").cast("bigint").alias("k"), "l.target", "l.label"),
     "page_type": lambda s, d: _pages(s, d).select("slug", W.page_type(F.col("value")).alias("page_type")),
     "page_records": lambda s, d: W.parse_pages(_pages(s, d)).select(F.col("path").alias("slug"), "page_type", *_FIELDS, F.size("voice_lines").cast("bigint").alias("voices"), F.coalesce(F.size("archives"), F.lit(0)).cast("bigint").alias("archives")),
@@ -36,7 +41,12 @@ QUERIES = {
     "title_split_sections": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", r"(?m)^#+\s+"), W.T.strip), lambda x: F.length(x) > 20)).alias("k", "section")).withColumn("k", F.col("k").cast("bigint")),
     "voice_payload": lambda s, d: table(s, d, "operator_data").select("rec_id", "text").distinct().select("rec_id", W.clean_voice(F.col("text")).alias("clean")),
 }
+_MD = r"regexp_split_to_array(text, '(?m)^#+\s+')"
 ORACLE = {
+    "page_redirects": "select * from (values ('a', 'c', '正文'), ('b', 'c', '正文'), ('c', 'c', '正文'), ('d', 'd', '#REDIRECT [[nowhere]]'), ('e', 'e', '剧情'), ('e/NBT', 'e/NBT', '剧情'), ('f', 'e', '剧情'), ('g', 'g', null), ('h', 'h', '#REDIRECT [[h]]')) as t(path, target, value) union all select 'k' || lpad(i::varchar, 2, '0'), 'k40', '尾' from range(0, 41) as r(i)",
+    "legacy_records": r"select slug as path, nullif(race, '') as race, nullif(faction, '') as faction, '木匠' as profession, coalesce(infection_status, '无') as archive, 0 as voices from operators",
+    "page_sections": rf"""with p as (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as x from (select doc_id, {_MD} as l from documents)), t as (select doc_id, i, 'section_' || trim(split_part(x, E'\n', 1), E' \t\r\n　') as section, case when contains(x, E'\n') then trim(substr(x, instr(x, E'\n') + 1), E' \t\r\n　') else '' end as body from p where i > 1)
+select doc_id, section, arg_max(body, i) as body from t group by 1, 2""",
     "clean_markup": f"select doc_id, {_CLEAN} as clean from documents",
     "link_unwrap": r"""with l as (select doc_id, regexp_extract_all(text, '\[\[(?:([^|\]\n]*)\|)?([^\]\n]*)\]\]', 1) as a, regexp_extract_all(text, '\[\[(?:([^|\]\n]*)\|)?([^\]\n]*)\]\]', 2) as b from documents)
 select doc_id, (i - 1)::bigint as k, coalesce(nullif(a[i], ''), b[i]) as target, b[i] as label from (select *, unnest(range(1, len(b) + 1)) as i from l)""",

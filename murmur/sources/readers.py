@@ -74,6 +74,48 @@ def frontmatter(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.map_from_entries(F.transform(pairs, lambda x: F.struct(T.strip(F.substring_index(x, ":", 1)).alias("key"), T.strip(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))).alias("fields"))
 
 
+def dialogue_texts(spark: SparkSession, path: str, kind: str = "plain") -> DataFrame:
+    """path, n, text of spoken lines only: kind plain ('label: text'), csv, or json (a record's voice lines, empty ones left out)."""
+    if kind == "json":
+        rec = records(spark, path).select(F.col("_metadata.file_path").alias("path"), F.posexplode("voice_lines").alias("n", "v"))
+        return rec.select("path", (F.col("n") + 1).cast("bigint").alias("n"), F.col("v.text").alias("text")).filter("text <> ''")
+    return (labelled_csv if kind == "csv" else labelled_text)(spark, path).select("path", "n", "text")
+
+
+def local_records(texts: DataFrame) -> DataFrame:
+    """path, fields: a Markdown page's front matter and a section_{title} for each heading; of equal keys the last holds.
+
+    Quotation marks around values go. What stands before the first heading is no section. NULL pages have no fields.
+    """
+    head = F.regexp_extract("value", r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
+    pairs = F.transform(F.filter(F.split(head, "\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(T.strip(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(F.regexp_replace(T.strip(F.regexp_replace(x, r"^[^:]*:", "")), r'^"+|"+$', ""), "^'+|'+$", "").alias("value")))
+    parts = F.split("value", r"(?m)^#+\s+")
+    titled = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: F.struct(F.concat(F.lit("section_"), T.strip(F.substring_index(x, "\n", 1))).alias("key"), F.when(F.contains(x, F.lit("\n")), T.strip(F.regexp_replace(x, r"^[^\n]*\n", ""))).otherwise("").alias("value")))
+    every = F.concat(pairs, titled)
+    keep = F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.greatest(F.size(every), F.lit(1))), lambda later: later["key"] == e["key"]))
+    return texts.select("path", F.map_from_entries(keep).alias("fields"))
+
+
+def write_acts(lines: DataFrame, path: str) -> None:
+    """The hub with its speech acts classified anew (archives have none), to a new place: nothing is written over what is read."""
+    from ..operators import speech
+
+    none = F.array().cast("array<struct<type:string,label:string,confidence:double>>")
+    spoken = F.col("source").isNull() | (F.col("source") != "archive")
+    write_hub(lines.withColumn("speech_acts", F.when(spoken, speech.acts_of(F.col("text"))).otherwise(none)), path)
+
+
+def write_relations(edges: DataFrame, path: str) -> None:
+    """Annotated relations as Parquet, sorted by their ends inside each file."""
+    edges.sortWithinPartitions("src", "dst", "type").write.mode("errorifexists").parquet(path)
+
+
+def write_reports(reports: dict[str, DataFrame], path: str) -> None:
+    """Named reports (fingerprint, slices, validation, canon, ..) as JSON lines, each in its own folder."""
+    for name, df in reports.items():
+        write_json(df, f"{path.rstrip('/')}/{name}")
+
+
 def write_hub(lines: DataFrame, path: str) -> None:
     """The hub as Parquet by source, without inference columns, so that later reads prune."""
     lines.drop("inference_source", "inference_confidence").write.partitionBy("source").mode("errorifexists").parquet(path)
