@@ -58,7 +58,15 @@ def per_key_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
     keys = list(keys)
     v = value.cast("double")
     rows = df.select(*keys, F.when(F.isnan(v), F.lit(None)).otherwise(v).alias("__v"))
-    stats = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count("__v").alias("n_values"), F.min("__v").alias("min_value"), F.max("__v").alias("max_value")), "hotkeys")
+    # counts of equal values, added up on the map side: a hot key is as many rows as it has values, spread over tasks by key and value
+    counts = materialize(rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")), "hotkeys")
+    return _select(counts, keys, probs, bins, max_rounds)
+
+
+def _select(counts: DataFrame, keys: list[str], probs: Sequence[float], bins: int, max_rounds: int) -> DataFrame:
+    """per_key_quantiles of counts(keys, __v, __c)."""
+    some = F.when(F.col("__v").isNotNull(), F.col("__c"))
+    stats = materialize(counts.groupBy(*keys).agg(F.sum("__c").alias("n_rows"), F.coalesce(F.sum(some), F.lit(0)).alias("n_values"), F.min("__v").alias("min_value"), F.max("__v").alias("max_value")), "hotkeys")
     probes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     state = stats.filter("n_values > 0").withColumn("__q", F.explode(probes)).select(
         *keys,
@@ -77,13 +85,13 @@ def per_key_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
         if open_.isEmpty():
             break
         ranges = open_.groupBy(*keys).agg(F.collect_set(F.struct("__lo", "__hi")).alias("__ranges"))
-        near = _with_ranges(rows.filter("__v is not null"), ranges, keys).withColumn("__r", F.expr("get(filter(__ranges, r -> __v >= r.__lo and __v <= r.__hi), 0)")).filter("__r is not null")
+        near = _with_ranges(counts.filter("__v is not null"), ranges, keys).withColumn("__r", F.expr("get(filter(__ranges, r -> __v >= r.__lo and __v <= r.__hi), 0)")).filter("__r is not null")
         # halves keep the difference of two large doubles finite; the bin number never decreases with the value
         pos = F.expr(f"cast(floor((__v / 2 - __r.__lo / 2) / (__r.__hi / 2 - __r.__lo / 2) * {bins}) as int)")
         hist = (
-            near.select(*keys, F.col("__r.__lo").alias("__lo"), F.col("__r.__hi").alias("__hi"), F.least(F.lit(bins - 1), pos).alias("__bin"), "__v")
+            near.select(*keys, F.col("__r.__lo").alias("__lo"), F.col("__r.__hi").alias("__hi"), F.least(F.lit(bins - 1), pos).alias("__bin"), "__v", "__c")
             .groupBy(*keys, "__lo", "__hi", "__bin")
-            .agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax"))
+            .agg(F.sum("__c").alias("__n"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax"))
         )
         up_to = F.sum("__n").over(Window.partitionBy(*keys, "__lo", "__hi").orderBy("__bin"))
         hist = hist.withColumn("__upto", up_to)
@@ -117,15 +125,25 @@ def key_profile(lines: DataFrame, fields: Sequence[str] = ("interlocutor", "situ
     """
     rows = unpivot_keys(lines, fields, {"__len": F.length("text")})
     q = per_key_quantiles(rows, ["field_name", "key_value"], F.col("__len"), probs)
-    total = F.sum("n_rows").over(Window.partitionBy("field_name"))
-    return q.withColumn("share", F.col("n_rows") / total).select(
+    total = q.groupBy(F.col("field_name").alias("__f")).agg(F.sum("n_rows").alias("__total"))  # one row a field
+    return q.join(F.broadcast(total), F.col("field_name") == F.col("__f")).withColumn("share", F.col("n_rows") / F.col("__total")).select(
         "field_name", "key_value", "n_rows", "share", F.col("min_value").cast("bigint").alias("len_min"), *[F.col(f"q{i}").cast("bigint").alias(f"len_q{i}") for i in range(len(probs))], F.col("max_value").cast("bigint").alias("len_max")
     )
 
 
 def hot_keys(lines: DataFrame, fields: Sequence[str] = ("interlocutor", "situation_type"), share: float = 0.05) -> DataFrame:
-    """Keys of each field that hold more than `share` of all stored rows: field_name, key_value."""
-    return key_profile(lines, fields, (0.5,)).filter(F.col("share") > share).select("field_name", "key_value")
+    """Keys of each field that hold more than `share` of all stored rows: field_name, key_value.
+
+    In the order of a hash a key's rows lie side by side, so one that holds more than a share s of them holds one of the
+    quantiles s, 2s, .. 1. Exact selection finds those 1 / s hashes of each field, and only their keys are counted.
+    """
+    marks = F.pmod(F.xxhash64("key_value"), F.lit(2**52)).cast("double")
+    rows = unpivot_keys(lines, fields, {})
+    probs = [*[k * share for k in range(1, int(1 / share + 1e-9) + 1) if k * share < 1], 1.0]
+    q = materialize(per_key_quantiles(rows, ["field_name"], marks, probs), "hotkeys")
+    hashes = q.select(F.col("field_name").alias("__f"), "n_rows", F.explode(F.array_distinct(F.array(*[f"q{i}" for i in range(len(probs))]))).alias("__h"))
+    some = rows.join(F.broadcast(hashes), (F.col("field_name") == F.col("__f")) & (marks == F.col("__h")))
+    return some.groupBy("field_name", "key_value").agg((F.count(F.lit(1)) > share * F.max("n_rows")).alias("__hot")).filter("__hot").select("field_name", "key_value")
 
 
 def key_sentences(lines: DataFrame, fields: Sequence[str] = ("interlocutor", "situation_type")) -> DataFrame:

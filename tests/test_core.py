@@ -35,6 +35,18 @@ def test_hot_keys_edges(spark):
     assert hotkeys.key_acts(df).count() == 0
 
 
+def test_hot_keys_are_those_over_the_share(spark):
+    rnd = random.Random(9)
+    for share in (0.05, 0.3, 0.07):
+        keys = [rnd.choice("abcdefghijklmnopqrstuvwxyz"[: rnd.randint(2, 26)]) for _ in range(400)] + ["big"] * 150 + [None, ""] * 20
+        df = spark.createDataFrame([(k, k) for k in keys], "interlocutor string, situation_type string")
+        n = {k: sum((x or "unknown") == (k or "unknown") for x in keys) for k in keys}
+        want = {(f, k or "unknown") for f in ("interlocutor", "situation_type") for k in n if n[k] > share * len(keys)}
+        assert {tuple(r) for r in hotkeys.hot_keys(df, share=share).collect()} == want
+    even = spark.createDataFrame([(str(i % 20), "x") for i in range(200)], "interlocutor string, situation_type string")
+    assert {tuple(r) for r in hotkeys.hot_keys(even).collect()} == {("situation_type", "x")}
+
+
 def test_speech_acts(spark):
     texts = ["你愿意和我一起吗？", "也许吧…………", "我一定会保护你们。", "我在", None, ""]
     got = [[a["type"] for a in r["speech_acts"]] for r in speech.classify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()]
