@@ -3,8 +3,8 @@
 Look-alike relations between strings (code points, base letters with combining marks, invisible
 characters) are closed transitively by union-find. The representative of a class is its most frequent
 member in the collection. Texts are rewritten greedily, longest match first, by a multi-pattern
-automaton over all other members. Only code points that occur are considered; their number
-is bounded by Unicode, so counting them gives a table of bounded size.
+automaton over all other members. Only code points, and bases with marks of LONGEST code points in all, are counted;
+a base with more marks goes to its composed form, whatever its frequency, so the table of classes doesn't grow with the texts' fancy.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import fits_broadcast, materialize
 
 # Letters of other alphabets drawn like a Latin letter.
 LOOKALIKE_LETTERS = {
@@ -57,6 +58,17 @@ def look(ch: str) -> str | None:
 
 
 _INVISIBLE = frozenset(INVISIBLE)
+#: Code points of the longest base with marks (decomposed) that has a class; what is longer is composed by rule.
+LONGEST = 3
+
+
+def flat(s: str) -> str:
+    """s with every code point as it looks."""
+    return "".join(c if p is None else p for c, p in ((c, look(c)) for c in s))
+
+
+def overlong(s: str) -> bool:
+    return len(unicodedata.normalize("NFD", s)) > LONGEST
 
 
 class UnionFind:
@@ -88,10 +100,9 @@ def classes(frequency: dict[str, int]) -> dict[str, str]:
     uf = UnionFind()
     members = set(frequency)
     for s in frequency:
-        plain = [look(c) for c in s]
-        flat = "".join(c if p is None else p for c, p in zip(s, plain, strict=True))
-        whole = unicodedata.normalize("NFC", flat)
-        for other in {flat, whole, unicodedata.normalize("NFD", whole)} - {s}:
+        plain = flat(s)
+        whole = unicodedata.normalize("NFC", plain)
+        for other in {plain, whole, unicodedata.normalize("NFD", whole)} - {s}:
             uf.union(s, other)
             members.add(other)
     groups: dict[str, list[str]] = {}
@@ -131,16 +142,31 @@ class Rewriter:
         out.append(text[at:])
         return "".join(out)
 
+    def parts(self, text: str) -> str:
+        """once() on what lies between bases with very many marks, which are composed by rule."""
+        out, at = [], 0
+        for m in _marked().finditer(text):
+            if overlong(m.group()):
+                out += [self.once(text[at : m.start()]), unicodedata.normalize("NFC", flat(m.group()))]
+                at = m.end()
+        return "".join([*out, self.once(text[at:])])
+
     def __call__(self, text: str) -> str:
-        # Taking out an invisible character may bring a base and its mark together, in several steps at most.
-        for _ in range(8):
-            new = self.once(text)
-            if new == text:
-                break
-            text = new
+        # taking out an invisible character may bring a base and its mark together; a step that repeats ends the way
+        seen = set()
+        while text not in seen:
+            seen.add(text)
+            text = self.parts(text)
         return text
 
 
+@lru_cache(maxsize=1)
+def _marked():  # noqa: ANN202
+    import regex
+
+    return regex.compile(r"\P{M}\p{M}+")
+
+
 def string_counts(texts: DataFrame, col: str = "text") -> dict[str, int]:
     """How often each code point, and each base with combining marks, occurs. The plainest characters are counted in bulk.
 
@@ -150,18 +176,17 @@ def string_counts(texts: DataFrame, col: str = "text") -> dict[str, int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
-        marked = regex.compile(r"\P{M}\p{M}+")
         gone = {ord(c): None for c in INVISIBLE}
         total: Counter[str] = Counter()
         for b in batches:
             joined = "\n".join(t for t in b[col] if t)
             total.update(joined)
             if regex.search(r"\p{M}", joined):
-                total.update(marked.findall(joined.translate(gone)))
+                total.update(m for m in _marked().findall(joined.translate(gone)) if not overlong(m))
         yield pd.DataFrame({"s": pd.Series(list(total.keys()), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
     counted = texts.select(F.col(col)).filter(f"{col} <> ''").mapInPandas(count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-    # bounded: code points and base-and-mark strings, not texts
+    # bounded by Unicode: code points and strings of at most LONGEST of them, not texts
     return {r["s"]: r["n"] for r in counted.toLocalIterator()}
 
 
@@ -206,7 +231,7 @@ def _rewriter(shared) -> Rewriter:  # noqa: ANN001
 
 
 def records(lines: DataFrame, data: DataFrame) -> DataFrame:
-    """src, id, text of both tables. Rows stored twice with the same id and text come once."""
+    """src, id, text of every row of both tables."""
     a = lines.select(F.lit("annotated_lines").alias("src"), F.col("line_uid").alias("id"), "text")
     b = data.select(F.lit("operator_data").alias("src"), F.col("rec_id").alias("id"), "text")
     return a.unionByName(b)
@@ -226,9 +251,10 @@ def lookalike_pairs(rec: DataFrame) -> DataFrame:
     records, and records are paired by way of the distinct texts of a form: equal texts, however
     many, are never compared with each other. Records with NULL or '' text, or NULL id, are in no pair.
     """
-    rec = materialize(rec.filter("text <> '' and id is not null").select("src", "id", "text", "canonical"), "looks")
-    forms = rec.filter("text <> canonical").select("canonical").distinct()
-    some = materialize(rec.join(forms, "canonical", "left_semi").distinct(), "looks")
+    rec = rec.filter("text <> '' and id is not null").select("src", "id", "text", "canonical")
+    # only the forms of rewritten texts are written, and then the records that have one of them: the rest of the texts never is
+    forms = materialize(rec.filter("text <> canonical").select("canonical").distinct(), "looks")
+    some = materialize(rec.join(F.broadcast(forms) if fits_broadcast(forms, 100_000) else forms, "canonical", "left_semi").distinct(), "looks")
     texts = some.select("canonical", "text").distinct()
     ab: Column = F.col("b.text") > F.col("a.text")
     pairs = texts.alias("a").join(texts.alias("b"), (F.col("a.canonical") == F.col("b.canonical")) & ab).select(F.col("a.text").alias("ta"), F.col("b.text").alias("tb"))

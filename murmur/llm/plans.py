@@ -43,7 +43,22 @@ QUERIES = {
     "p8_pieces": lambda s, d: splitting.split_documents(table(s, d, "documents")),
 }
 
+def _looks_sql() -> str:
+    """The one form of a text in the SQL engine's words: characters as they look, composed."""
+    import sys
+
+    every = [(chr(i), lookalike.look(chr(i))) for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF]
+    pairs = [(c, to) for c, to in every if to is not None and len(to) == 1 and to != c]
+    gone = "".join(c for c, to in every if to == "")
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    # what is beyond the end of the target list is dropped
+    return f"nfc_normalize(translate(text, {lit(''.join(c for c, _ in pairs) + gone)}, {lit(''.join(to for _, to in pairs))}))"
+
+
 ORACLE = {
+    "p5_found": f"""with r as (select 'annotated_lines' as src, line_uid as id, text from annotated_lines union select 'operator_data', rec_id, text from operator_data), k as (select *, {_looks_sql()} as form from r where text <> '' and id is not null),
+odd as (select * from k where form in (select form from k group by form having count(distinct text) > 1))
+select distinct x.src as src_a, x.id as id_a, y.src as src_b, y.id as id_b from odd x join odd y on x.form = y.form and x.text <> y.text and (x.src, x.id) < (y.src, y.id)""",
     "p3_found": _ONCE + "select field_name, term, mark from marked where mark is not null",
     "p3_term_counts": _ONCE + "select * from marked",
     "p3_act_ngrams": """

@@ -227,6 +227,18 @@ def test_lookalikes(spark):
     assert lookalike.lookalike_pairs(rec.limit(0)).count() == 0
 
 
+def test_looks_with_many_marks_and_odd_chains():
+    heap = "e" + "\u0301" * 5
+    texts = ["é" + "\u0301" * 4, heap, "е" + "\u0301" * 5, "e\u200b" + "\u0301" * 5, "e\u0301", "é", "a\u0328\u0301", "ą\u0301"]
+    counts = Counter(c for t in texts for c in t)
+    counts.update(m for t in texts for m in lookalike._marked().findall(t) if not lookalike.overlong(m))
+    r = lookalike.Rewriter(lookalike.classes(counts))
+    assert len({r(t) for t in texts[:4]}) == 1 and r(texts[4]) == r(texts[5]) and r(texts[6]) == r(texts[7]) and r(r(heap)) == r(heap)
+    assert max(len(k) for k in lookalike.classes(counts)) <= 3
+    # more invisible characters in a row than any fixed number of passes would take
+    assert r("e" + "\u200b" * 40 + "\u0301") == r("é")
+
+
 CASES = [
     ("== 港口 ==\n'''船'''来了<ref>注</ref>。\n[[分类:港]]", "## 港口\n船来了。"),
     ("<h2>港</h2>\n<ul><li>甲</li><li>乙</li></ul><table><tr><td>a</td><td>1</td></tr></table>", "## 港\n- 甲\n- 乙\n\na | 1"),
