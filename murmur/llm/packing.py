@@ -261,3 +261,16 @@ def fill_report(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("items"), tokens.alias("tokens"), F.ceil(tokens / capacity).cast("bigint").alias("lower_bound"), F.avg(F.col("u") / capacity).alias("mean_fill"))
 
 
+def properties(docs: DataFrame, containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents, and of the containers' promises how often each is broken: missing or repeated pieces of documents,
+    overfull containers, documents split though they fit. Rows with a NULL doc_id count as documents only."""
+    n = docs.agg(F.count(F.lit(1)).alias("documents"))
+    rows = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    each = containers.filter("doc_id is not null").groupBy("doc_id").agg(F.sum(F.lit(1.0) / F.col("n_pieces")).alias("held"), F.sum("n_tokens").alias("tokens"), F.max("n_pieces").alias("parts"))
+    j = rows.join(each, "doc_id", "left").agg(
+        F.count_if(F.coalesce("held", F.lit(0.0)) < F.col("rows") - 1e-6).alias("missing"),
+        F.count_if(F.col("held") > F.col("rows") + 1e-6).alias("repeated"),
+        F.count_if((F.col("parts") > 1) & (F.col("rows") == 1) & (F.col("tokens") <= capacity)).alias("wrongly_split"),
+    )
+    full = containers.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.max("used").alias("u")).agg(F.count_if((F.col("t") > capacity) | (F.col("t") != F.col("u"))).alias("overfull"))
+    return n.crossJoin(j).crossJoin(full).select("documents", "missing", "repeated", "overfull", "wrongly_split")

@@ -1,5 +1,7 @@
 """Queries and SQL of the text operators."""
 
+from pyspark.sql import functions as F
+
 from ..session import table
 from . import contamination, lookalike, markup, names, packing, splitting, termcounts
 
@@ -23,6 +25,12 @@ def _groups(s, d):  # noqa: ANN001, ANN202
     return names.name_groups(table(s, d, "story_lines"), table(s, d, "annotated_lines"), table(s, d, "operators"), table(s, d, "name_aliases"))
 
 
+def _rest(s, d):  # noqa: ANN001, ANN202
+    """Leaks that are left after decontamination."""
+    clean = contamination.decontaminate(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "text")
+    return contamination.leaked_items(clean, table(s, d, "eval_items")).agg(F.count(F.lit(1)).alias("leaks"))
+
+
 QUERIES = {
     "p2_found": lambda s, d: names.name_pairs(_groups(s, d)),
     "p2_groups": lambda s, d: _groups(s, d),
@@ -36,10 +44,13 @@ QUERIES = {
     "p5_canonical": lambda s, d: lookalike.canonical_records(table(s, d, "annotated_lines"), table(s, d, "operator_data")),
     "p6_containers": lambda s, d: packing.pack_documents(table(s, d, "documents")),
     "p6_fill_report": lambda s, d: packing.fill_report(packing.pack_documents(table(s, d, "documents"))),
+    "p6_properties": lambda s, d: packing.properties(table(s, d, "documents"), packing.pack_documents(table(s, d, "documents"))),
+    "p7_rest": lambda s, d: _rest(s, d),
     "p7_found": lambda s, d: contamination.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
     "p7_passages": lambda s, d: contamination.leaked_passages(table(s, d, "documents"), table(s, d, "eval_items")),
     "p7_decontaminated": lambda s, d: contamination.decontaminate(table(s, d, "documents"), table(s, d, "eval_items")),
     "p8_found": lambda s, d: splitting.oversized(table(s, d, "documents")),
+    "p8_tiling": lambda s, d: splitting.tiling(splitting.split_documents(table(s, d, "documents"), oversized_only=False)),
     "p8_pieces": lambda s, d: splitting.split_documents(table(s, d, "documents")),
 }
 
@@ -56,6 +67,9 @@ def _looks_sql() -> str:
 
 
 ORACLE = {
+    "p6_properties": "select count(*) as documents, 0 as missing, 0 as repeated, 0 as overfull, 0 as wrongly_split from documents",
+    "p7_rest": "select 0 as leaks",
+    "p8_tiling": "select doc_id, length(text) as chars, true as within, true as ordered from documents where text <> ''",
     "p5_found": f"""with r as (select 'annotated_lines' as src, line_uid as id, text from annotated_lines union select 'operator_data', rec_id, text from operator_data), k as (select *, {_looks_sql()} as form from r where text <> '' and id is not null),
 odd as (select * from k where form in (select form from k group by form having count(distinct text) > 1))
 select distinct x.src as src_a, x.id as id_a, y.src as src_b, y.id as id_b from odd x join odd y on x.form = y.form and x.text <> y.text and (x.src, x.id) < (y.src, y.id)""",

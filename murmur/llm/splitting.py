@@ -170,3 +170,12 @@ def split_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
 def oversized(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, path: str = TOKENIZER) -> DataFrame:
     """doc_id of every text that had to be cut, from its pieces."""
     return split_documents(docs, limit, overlap, path).filter("n_pieces > 1").select("doc_id").distinct()
+
+
+def tiling(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, chars (that the pieces cover, shared ones once), within (no piece over the limit), ordered (every piece begins where it
+    shares the end of the one before, which repeats at least one character)."""
+    each = pieces.select("doc_id", "n_tokens", F.struct("piece", "start", "stop", "shared", F.length("text").alias("n")).alias("p"))
+    g = each.groupBy("doc_id").agg(F.sum(F.col("p.n") - F.col("p.shared")).cast("bigint").alias("chars"), F.bool_and(F.col("n_tokens") <= limit).alias("within"), F.array_sort(F.collect_list("p")).alias("ps"))
+    joins = F.transform("ps", lambda x, i: F.when(i == 0, (x["start"] == 0) & (x["shared"] == 0)).otherwise((F.get("ps", i - 1)["stop"] == x["start"] + x["shared"]) & (x["shared"] > 0)) & (x["n"] == x["stop"] - x["start"]))
+    return g.select("doc_id", "chars", "within", F.forall(joins, lambda ok: ok).alias("ordered"))
