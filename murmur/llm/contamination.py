@@ -26,8 +26,8 @@ SHARE = 0.5
 GAP = 24
 #: Shortest matching piece that counts towards a passage, for wide and alphabetic scripts.
 PIECE_WIDE, PIECE_ALPHA = 4, 7
-#: Letters of all items of one automaton; a larger test set takes several passes.
-PART_CHARS = 4_000_000
+#: Letters of all items of one automaton, some 1 kB of memory each in every Python worker; a larger test set takes several passes.
+PART_CHARS = 400_000
 
 #: Markup inside a passage; only the marks go, the words they wrap stay.
 _MARKS = re.compile(

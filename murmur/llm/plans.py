@@ -78,6 +78,6 @@ select distinct x.src as src_a, x.id as id_a, y.src as src_b, y.id as id_b from
     "p3_act_ngrams": """
 with once as (select line_uid, list_filter(list_transform(any_value(speech_acts), lambda x: x.type), lambda x: coalesce(x, '') <> '') as t from annotated_lines group by line_uid),
 grams as (select line_uid, n, array_to_string(t[i:i + n - 1], ' > ') as gram
-  from (select line_uid, t, unnest(range(1, len(t) + 1)) as i from once), (select unnest([1, 2, 3]) as n) where i + n - 1 <= len(t))
+  from (select line_uid, t, unnest(range(1, len(t) + 1)) as i from once), (select unnest(range(1, (select max(len(t)) from once) + 1)) as n) where i + n - 1 <= len(t))
 select n::bigint as n, gram, count(*) as occurrences, count(distinct line_uid) as lines from grams group by 1, 2""",
 }

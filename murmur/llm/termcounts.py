@@ -35,12 +35,18 @@ def line_terms(lines: DataFrame) -> DataFrame:
     return once.select(F.explode(pairs).alias("__p")).select("__p.field_name", "__p.terms")
 
 
-def ngram_counts(records: DataFrame, group: str, terms: str, max_n: int = 1) -> DataFrame:
-    """Counts of every n-gram of up to max_n terms: group, gram (array), occurrences, records.
+#: Terms of a suffix where only single terms are asked for.
+TERM_SUFFIX = 3
+
+
+def ngram_counts(records: DataFrame, group: str, terms: str, max_n: int | None = None) -> DataFrame:
+    """Counts of every n-gram of up to max_n terms (None: of any length): group, gram (array), occurrences, records.
 
     NULL or empty sequences count for nothing. NULL terms inside a sequence aren't allowed; filter them
     before. Equal records count as often as they come.
     """
+    if max_n is None:  # the longest record, one number
+        max_n = max(1, records.agg(F.max(F.size(terms))).first()[0] or 1)
     suffix = F.expr(f"transform(sequence(1, size({terms})), i -> slice({terms}, i, {max_n}))")
     rows = records.filter(F.col(terms).isNotNull() & (F.size(terms) > 0)).select(F.col(group).alias("g"), F.array_sort(suffix).alias("s"))
     # common prefix with the neighbour before it in the record's own order
@@ -93,14 +99,15 @@ def mark_of(records: Column, total: Column, rare: int = RARE_LINES, common: floa
 def term_counts(lines: DataFrame, rare: int = RARE_LINES, common: float = COMMON_SHARE) -> DataFrame:
     """Every term of phase, situation_type and speech_acts: field_name, term, occurrences, lines, mark.
 
-    mark is rare, common or NULL. An empty table gives no rows.
+    mark is rare, common or NULL. An empty table gives no rows. Terms are the intervals of depth one in the array of all
+    suffixes, which are cut at TERM_SUFFIX terms since nothing deeper is asked for.
     """
-    grams = ngram_counts(line_terms(lines), "field_name", "terms", 1)
+    grams = ngram_counts(line_terms(lines), "field_name", "terms", TERM_SUFFIX).filter(F.size("gram") == 1)
     total = lines.agg((F.countDistinct("line_uid") + F.count_if(F.col("line_uid").isNull())).alias("__total"))
     return grams.crossJoin(F.broadcast(total)).select("field_name", F.col("gram")[0].alias("term"), "occurrences", F.col("records").alias("lines"), mark_of(F.col("records"), F.col("__total"), rare, common).alias("mark"))
 
 
-def act_ngrams(lines: DataFrame, max_n: int = 3) -> DataFrame:
-    """n-grams of the speech-act types in stored order: n, gram (joined by ' > '), occurrences, lines."""
+def act_ngrams(lines: DataFrame, max_n: int | None = None) -> DataFrame:
+    """All n-grams of the speech-act types in stored order: n, gram (joined by ' > '), occurrences, lines."""
     acts = line_terms(lines).filter("field_name = 'speech_acts'")
     return ngram_counts(acts, "field_name", "terms", max_n).select(F.size("gram").cast("bigint").alias("n"), F.array_join("gram", " > ").alias("gram"), "occurrences", F.col("records").alias("lines"))

@@ -25,6 +25,8 @@ def test_ngrams_against_brute_force(spark):
                 rec[tuple(t[k : k + n])].add(i)
     got = {tuple(r["gram"]): (r["occurrences"], r["records"]) for r in termcounts.ngram_counts(df, "g", "terms", 3).collect()}
     assert got == {g: (n, len(rec[g])) for g, n in occ.items()}
+    every = {(r["gram"][0], len(r["gram"])) for r in termcounts.ngram_counts(df, "g", "terms").collect()}
+    assert {n for _, n in every} == {1, 2, 3, 4, 5, 6} and termcounts.ngram_counts(df.limit(0), "g", "terms").count() == 0
 
 
 def test_term_counts_edges(spark):
