@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..session import materialize
 from .fingerprint import line_features
+from .speech import _label as act_label
 
 
 def slice_metrics(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -30,6 +32,11 @@ def act_shares(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
+def interlocutor_counts(lines: DataFrame) -> DataFrame:
+    """phase, interlocutor, n of lines of named periods."""
+    return periods(lines).groupBy("phase", "interlocutor").agg(F.count(F.lit(1)).alias("n"))
+
+
 def periods(lines: DataFrame) -> DataFrame:
     """Lines of named periods that aren't archives; interlocutor 'unknown' where missing."""
     return lines.filter((F.coalesce("source", F.lit("")) != "archive") & (T.missing("phase") != "unknown")).withColumn("interlocutor", T.missing("interlocutor"))
@@ -44,16 +51,23 @@ def ordered_phases(found: DataFrame, timeline: DataFrame) -> DataFrame:
 def _metric_rows(b: str, c: str) -> Column:
     """Differences of two metric structs that are large enough."""
 
-    def one(metric: str, col: str, least: float) -> Column:
+    def one(metric: str, col: str, least: float, what: str, more: str, less: str, unit: str) -> Column:
         x, y = F.col(f"{b}.{col}"), F.col(f"{c}.{col}")
         rel = (y - x) / F.nullif(x, F.lit(0.0))
-        return F.when((x > 0) & (F.abs(rel) > least), F.struct(F.lit(metric).alias("metric"), x.alias("baseline"), y.alias("comparison"), F.bround(rel * 100, 1).alias("shift_pct")))
+        reading = told(F.lit(what), F.when(y > x, more).otherwise(less), x, y, "" if unit == "字" else unit, unit)
+        return F.when((x > 0) & (F.abs(rel) > least), F.struct(F.lit(metric).alias("metric"), x.alias("baseline"), y.alias("comparison"), F.bround(rel * 100, 1).alias("shift_pct"), reading.alias("reading")))
+
+    rows = (one("avg_sentence_length", "avg_length", 0.25, "句式", "偏长", "偏短", "字"), one("ellipsis_pct", "ellipsis_pct", 0.3, "沉默/停顿", "增多", "减少", "%"), one("negation_pct", "negation_pct", 0.3, "否定表达", "增多", "减少", "%"))
+    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+
 
-    return F.filter(F.array(one("avg_sentence_length", "avg_length", 0.25), one("ellipsis_pct", "ellipsis_pct", 0.3), one("negation_pct", "negation_pct", 0.3)), lambda r: r.isNotNull())
+def told(what: Column, way: Column, x: Column, y: Column, first: str, second: str) -> Column:
+    """The sentence that reads a difference, such as 'denials fewer (40%->20%)' in the language of the rules."""
+    return F.concat(what, way, F.lit("（"), x.cast("string"), F.lit(f"{first}→"), y.cast("string"), F.lit(f"{second}）"))
 
 
 def _compare(pairs: DataFrame, metrics: DataFrame, shares: DataFrame, keys: Sequence[str], only: Sequence[str] = ()) -> DataFrame:
-    """pairs(scope.., a, b): metric, baseline, comparison, shift_pct for every large difference of slice b against slice a."""
+    """pairs(scope.., a, b): metric, baseline, comparison, shift_pct, reading for every large difference of slice b against slice a."""
     item = keys[-1]
     m = metrics.select(*only, F.col(item).alias("__k"), F.struct("avg_length", "ellipsis_pct", "negation_pct").alias("__m"))
     x, y = m.withColumnsRenamed({"__k": "a", "__m": "ma"}), m.withColumnsRenamed({"__k": "b", "__m": "mb"})
@@ -63,32 +77,33 @@ def _compare(pairs: DataFrame, metrics: DataFrame, shares: DataFrame, keys: Sequ
     left = pairs.join(s.withColumnsRenamed({"__k": "a", "share": "sa"}), [*only, "a"])
     right = pairs.join(s.withColumnsRenamed({"__k": "b", "share": "sb"}), [*only, "b"])
     acts = left.join(right, [*only, "a", "b", "act"], "full").withColumns({"sa": F.coalesce("sa", F.lit(0.0)), "sb": F.coalesce("sb", F.lit(0.0))})
-    acts = acts.filter(F.abs(F.col("sb") - F.col("sa")) > 0.1).select(*only, "a", "b", F.concat(F.lit("speech_act:"), "act").alias("metric"), F.bround(F.col("sa") * 100, 1).alias("baseline"), F.bround(F.col("sb") * 100, 1).alias("comparison"), F.bround((F.col("sb") - F.col("sa")) * 100, 1).alias("shift_pct"))
+    acts = acts.filter(F.abs(F.col("sb") - F.col("sa")) > 0.1).select(*only, "a", "b", F.concat(F.lit("speech_act:"), "act").alias("metric"), F.bround(F.col("sa") * 100, 1).alias("baseline"), F.bround(F.col("sb") * 100, 1).alias("comparison"), F.bround((F.col("sb") - F.col("sa")) * 100, 1).alias("shift_pct"), F.when(F.col("sb") > F.col("sa"), "行为显著增多").otherwise("行为显著减少").alias("__w"), act_label(F.col("act")).alias("__l"))
+    acts = acts.withColumn("reading", told(F.col("__l"), F.col("__w"), F.col("baseline"), F.col("comparison"), "%", "%")).drop("__w", "__l")
     return rates.unionByName(acts)
 
 
 def period_shifts(lines: DataFrame, timeline: DataFrame) -> DataFrame:
     """from_phase, to_phase, metric, baseline, comparison, shift_pct, confidence for consecutive periods."""
     p = periods(lines)
-    m = slice_metrics(p, ["phase"])
+    m = materialize(slice_metrics(p, ["phase"]), "temporal")
     order = ordered_phases(m, timeline)
     pairs = order.select(F.lag("phase").over(Window.orderBy("ord")).alias("a"), F.col("phase").alias("b")).filter("a is not null")
-    out = _compare(pairs, m, act_shares(p, ["phase"]), ["phase"])
-    return out.select(F.col("a").alias("from_phase"), F.col("b").alias("to_phase"), "metric", "baseline", "comparison", "shift_pct", F.least(F.bround(F.abs("shift_pct") / 50, 6), F.lit(0.95)).alias("confidence"))
+    out = _compare(pairs, m, materialize(act_shares(p, ["phase"]), "temporal"), ["phase"])
+    return out.select(F.col("a").alias("from_phase"), F.col("b").alias("to_phase"), "metric", "baseline", "comparison", "shift_pct", "reading", F.least(F.bround(F.abs("shift_pct") / 50, 6), F.lit(0.95)).alias("confidence"))
 
 
 def interlocutor_differences(lines: DataFrame, least: int = 2) -> DataFrame:
     """phase, a, b (a < b), metric.. for every two interlocutors of a period with `least` lines or more each."""
     p = periods(lines).filter("interlocutor <> 'unknown'")
-    m = slice_metrics(p, ["phase", "interlocutor"]).filter(F.col("lines") >= least)
+    m = materialize(slice_metrics(p, ["phase", "interlocutor"]).filter(F.col("lines") >= least), "temporal")
     k = m.select("phase", "interlocutor")
     pairs = k.withColumnRenamed("interlocutor", "a").join(k.withColumnRenamed("interlocutor", "b"), "phase").filter("a < b")
-    out = _compare(pairs, m, act_shares(p, ["phase", "interlocutor"]), ["phase", "interlocutor"], ["phase"])
+    out = _compare(pairs, m, materialize(act_shares(p, ["phase", "interlocutor"]), "temporal"), ["phase", "interlocutor"], ["phase"])
     return out.withColumn("confidence", F.least(F.bround(F.abs("shift_pct") / 40, 6), F.lit(0.9)))
 
 
 def temporal_rules(lines: DataFrame, timeline: DataFrame, k: int = 20) -> DataFrame:
-    """The k surest differences of both kinds (a top-k report): layer, scope, metric, confidence."""
-    two = period_shifts(lines, timeline).select(F.lit(2).alias("layer"), F.concat_ws("->", "from_phase", "to_phase").alias("scope"), "metric", "confidence")
-    four = interlocutor_differences(lines).select(F.lit(4).alias("layer"), F.concat_ws("/", "phase", "a", "b").alias("scope"), "metric", "confidence")
+    """The k surest differences of both kinds (a top-k report): layer, scope, metric, rule (a sentence), confidence."""
+    two = period_shifts(lines, timeline).select(F.lit(2).alias("layer"), F.concat_ws("->", "from_phase", "to_phase").alias("scope"), "metric", F.concat("to_phase", F.lit("时期相比"), "from_phase", F.lit("时期："), "reading").alias("rule"), "confidence")
+    four = interlocutor_differences(lines).select(F.lit(4).alias("layer"), F.concat_ws("/", "phase", "a", "b").alias("scope"), "metric", F.concat("phase", F.lit("时期，对"), "a", F.lit("与对"), "b", F.lit("的表达差异："), "reading").alias("rule"), "confidence")
     return two.unionByName(four).orderBy(F.desc("confidence"), "layer", "scope", "metric").limit(k)

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows below which a prepared lookup side may be broadcast; callers count before hinting.
 BROADCAST_ROWS = 200_000
+#: Bytes of a materialized side's files above which it isn't broadcast, however few rows it has.
+BROADCAST_BYTES = 32 << 20
+#: Tables written by materialize() and not yet released.
+_written: list[str] = []
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,14 +63,41 @@ def _remove_local(d: str) -> None:
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage: write df once to the shared folder and read it back.
 
-    Unlike a cached or locally checkpointed frame the files outlive any executor.
+    Unlike a cached or locally checkpointed frame the files outlive any executor. release() deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/murmur-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.unregister(_release_at_exit)
+        atexit.register(_release_at_exit)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what materialize() wrote in this process, and say how many tables that were.
+
+    Frames made from them can't be read afterwards, so a job calls this when its results are stored. It runs by itself when the
+    driver ends in an orderly way.
+    """
+    sc = spark.sparkContext
+    gone = 0
+    while _written:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001 - the session may be gone already, and the folder with it
+            _written.clear()
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df (already materialized, so that this is cheap) has at most `limit` rows."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether df (already materialized, so that this is cheap) has at most `limit` rows and BROADCAST_BYTES of files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES and df.limit(limit + 1).count() <= limit

@@ -113,3 +113,14 @@ def test_streaming_counts_like_a_batch(spark, tmp_path):
     q = streaming.features(source()).select("line_uid", "ellipsis", "self_refs").writeStream.format("memory").queryName("feats").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("feats").collect()} == {(i, True, 1) for i in (1, 2, 3)}
+
+
+def test_written_tables_are_released(spark):
+    from murmur import session
+
+    session.release(spark)
+    a = session.materialize(spark.range(5), "test")
+    assert a.count() == 5 and session.fits_broadcast(a) and not session.fits_broadcast(a, 4)
+    assert session.release(spark) == 1 and session.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.?exist|not_exist|FILE_NOT"):
+        a.count()
