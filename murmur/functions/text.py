@@ -23,7 +23,7 @@ def contains_any(c: Column | str, items: Iterable[str]) -> Column:
 def count_sub(c: Column | str, w: str) -> Column:
     """Number of non-overlapping occurrences of w. Bytes are counted, which a string knows, not characters."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.contains(c, F.lit(w)), ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(w), F.lit("")))) / len(w.encode())).cast("bigint")).when(c.isNotNull(), F.lit(0).cast("bigint"))
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(w), F.lit("")))) / len(w.encode())).cast("bigint")
 
 
 def count_all(c: Column | str, items: Sequence[str]) -> Column:

@@ -56,8 +56,8 @@ def line_features(lines: DataFrame) -> DataFrame:
         **{f"self_{i}": T.count_sub(t, w) for i, w in enumerate(R.words(R.FIRST_PERSON))},
         **{f"nature_{i}": T.count_all(t, R.words(w)) for i, w in enumerate(R.NATURE.values())},
     }
-    total = lambda kind, n: sum((F.coalesce(feats[f"{kind}_{i}"], F.lit(0)) for i in range(n)), F.lit(0)).cast("bigint")
-    feats["self_refs"], feats["nature_words"] = total("self", len(SELF)), total("nature", len(NATURE))
+    feats["self_refs"] = T.count_all(t, R.words(R.FIRST_PERSON))
+    feats["nature_words"] = T.count_all(t, [w for ws in R.NATURE.values() for w in ws])
     for i, w in enumerate(R.EMOTIONS.values()):
         feats[f"emotion_{i}"] = T.count_all(t, R.words(w))
     return lines.withColumns(feats)
@@ -166,13 +166,16 @@ def contextual_fingerprint(lines: DataFrame, least: int = 2, dims: tuple[str, ..
     return _finish(out.drop("__gid", *keys))
 
 
+#: What shifts() compares.
+SHIFTING = ["avg_length", "ellipsis_pct", "emotion_dominant", "negation_pct"]
+
+
 def shifts(slices: DataFrame) -> DataFrame:
     """slice_dim, slice_value, dimension, global_value, slice_value_of, shift, magnitude from contextual_fingerprint's rows.
 
-    The whole is one row, so it is broadcast. slices needs avg_length, ellipsis_pct, emotion_dominant, negation_pct.
+    The whole is one row, so it is broadcast. slices needs the columns SHIFTING.
     """
-    need = ["avg_length", "ellipsis_pct", "emotion_dominant", "negation_pct"]
-    whole = slices.filter("slice_dim = 'global'").select(*[F.col(c).alias(f"g_{c}") for c in need]).limit(1)
+    whole = slices.filter("slice_dim = 'global'").select(*[F.col(c).alias(f"g_{c}") for c in SHIFTING]).limit(1)
     j = slices.filter("slice_dim <> 'global'").crossJoin(F.broadcast(whole))
 
     def row(dimension: str, g: Column, s: Column, cond: Column, shift: Column, magnitude: Column) -> Column:

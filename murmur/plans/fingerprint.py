@@ -100,7 +100,7 @@ QUERIES = {
     "fingerprint_by_source": lambda s, d: P.fingerprint(P.spoken(_lines(s, d), "voice")),
     "source_fingerprints": lambda s, d: P.source_fingerprints(_lines(s, d)),
     "fingerprint_slices": lambda s, d: P.contextual_fingerprint(_lines(s, d)),
-    "fingerprint_shifts": lambda s, d: P.shifts(materialize(P.contextual_fingerprint(_lines(s, d)), "slices")).select("slice_dim", "slice_value", "dimension", "shift", "magnitude"),
+    "fingerprint_shifts": lambda s, d: P.shifts(materialize(P.contextual_fingerprint(_lines(s, d)).select("slice_dim", "slice_value", *P.SHIFTING), "slices")).select("slice_dim", "slice_value", "dimension", "shift", "magnitude"),
     "sentence_length_by_source": lambda s, d: P.line_features(_lines(s, d)).groupBy("source").agg(F.sum("n_sentences").alias("n_sentences"), F.bround(F.sum("sentence_chars") / F.sum("n_sentences"), 1).alias("avg_length"), F.min("min_len").cast("bigint").alias("min_len"), F.max("max_len").cast("bigint").alias("max_len")),
     "pause_markers_by_source": lambda s, d: P.line_features(_lines(s, d)).groupBy("source").agg(*[T.pct(F.col(c)).alias(f"{c}_pct") for c in _FLAGS[:5]]),
     "pronoun_counts": lambda s, d: P.pronouns(_lines(s, d)),
