@@ -252,9 +252,11 @@ def lookalike_pairs(rec: DataFrame) -> DataFrame:
     many, are never compared with each other. Records with NULL or '' text, or NULL id, are in no pair.
     """
     rec = rec.filter("text <> '' and id is not null").select("src", "id", "text", "canonical")
-    # only the forms of rewritten texts are written, and then the records that have one of them: the rest of the texts never is
-    forms = materialize(rec.filter("text <> canonical").select("canonical").distinct(), "looks")
-    some = materialize(rec.join(F.broadcast(forms) if fits_broadcast(forms, 100_000) else forms, "canonical", "left_semi").distinct(), "looks")
+    # only rewritten records are written, and then those whose text is one of their forms; for these nothing is rewritten again
+    odd = materialize(rec.filter("text <> canonical").distinct(), "looks")
+    forms = materialize(odd.select("canonical").distinct(), "looks")
+    plain = rec.select("src", "id", "text", F.col("text").alias("canonical")).join(F.broadcast(forms) if fits_broadcast(forms, 100_000) else forms, "canonical", "left_semi")
+    some = materialize(odd.unionByName(plain.select("src", "id", "text", "canonical").distinct()), "looks")
     texts = some.select("canonical", "text").distinct()
     ab: Column = F.col("b.text") > F.col("a.text")
     pairs = texts.alias("a").join(texts.alias("b"), (F.col("a.canonical") == F.col("b.canonical")) & ab).select(F.col("a.text").alias("ta"), F.col("b.text").alias("tb"))
