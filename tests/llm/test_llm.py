@@ -337,6 +337,26 @@ def test_views_and_checks():
     assert names.learn_address([("老枭", "赤枭·无"), ("薇洛那", "薇洛娜·绥"), ("阿苏", "罗苏恩·里"), ("坦嬷", "布朗坦·钨")], ([], [])) == (["阿"], ["嬷"])
 
 
+def test_one_edit_against_brute_force():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 5))) for _ in range(80)]
+    for a in words:
+        near = {a} | {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + c + a[i:] for i in range(len(a) + 1) for c in "ab"} | {a[:i] + c + a[i + 1 :] for i in range(len(a)) for c in "ab"} | {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
+        assert all(names.one_edit(a, b) == (b in near) for b in words)
+
+
+def test_names_edges(spark):
+    long_ = "长" * 9000
+    ops = spark.createDataFrame([(None, "Solo"), ("甲乙丙·丁戊己", None), (f"{long_}·尾巴", ""), ("", ""), ("甲乙丙·丁戊己", "Jia Ding")], "name_zh string, name_en string").withColumn("id", F.lit(1)).withColumn("label", F.lit("x"))
+    al = spark.createDataFrame([(None, "甲乙丙·丁戊己"), ("小乙", None), ("长长", f"{long_}·尾巴"), ("阿丙", "甲乙丙·丁戊己")], "alias string, canonical string").withColumn("kind", F.lit(1))
+    story = spark.createDataFrame([(x,) for x in [long_, long_ + "长", f"{long_}·尾巴", "阿丙", "甲乙丙", "···", " ", "a" * 5000, "💥", "船员A", "船员B", "船员", "甲乙丙·丁戊己", "甲乙丙·丁戊己", None]], "speaker string").withColumn("name", F.lit("clash"))
+    lines = spark.createDataFrame([("甲乙丙",), (None,)], "interlocutor string").withColumn("entity", F.lit(3))
+    groups = names.name_groups(story, lines, ops, al)
+    got = {r["name"]: r["entity"] for r in groups.collect()}
+    assert len({got[x] for x in ("阿丙", "甲乙丙", "甲乙丙·丁戊己")}) == 1 and got[long_] == got[long_ + "长"]
+    assert not {"···", " ", "船员A", "船员B", "💥"} & set(got) and groups.count() == len(got)
+
+
 def test_average_linkage_decides(spark):
     # of two spellings of one rarely seen name, the nearer goes to the known name and the far one stays out by the average
     assert names.grow_groups(["a", "b", "c"], {("a", "b"): 0.9, ("b", "c"): 0.5}, {}, 0.3) == {"a": "a", "b": "a", "c": "c"}
