@@ -275,3 +275,48 @@ def test_fingerprint_edges(spark):
     assert got["global", ""]["lines"] == 2 and got["global", ""]["self_refs"] == 3 and got["global", ""]["parallelism_pct"] == 50.0
     assert ("phase", "unknown") not in got and got["interlocutor", "unknown"]["raw_lines"] == 2
     assert fingerprint.fingerprint(df.limit(0)).first()["lines"] == 0
+
+
+# Counts of speech acts of two sample characters, and the patterns known for them.
+SAMPLES = [
+    (
+        {"global": {"": {"console": 1, "affirm_presence": 1, "invite": 1, "commit": 3, "evade": 18, "soothe": 2}}, "situation_type": {"casual": {"console": 1, "affirm_presence": 1, "invite": 1, "commit": 3, "evade": 16, "soothe": 2}, "comfort": {"evade": 1}, "decide": {"evade": 1}}, "interlocutor": {"unknown": {"console": 1, "affirm_presence": 1, "invite": 1, "commit": 3, "evade": 5, "soothe": 2}, "博士": {"evade": 1}, "孱弱的孩子": {"evade": 1}, "坚强的孩子": {"evade": 11}}, "phase": {"early": {"console": 1, "affirm_presence": 1, "invite": 1, "commit": 3, "evade": 18, "soothe": 2}}},
+        [("high_evade", "在被追问时倾向回避直接回答（回避行为占比69%），常用省略号结尾或反问代替回答", 0, 1.0), ("interlocutor_evade", "对坚强的孩子的对话中，回避行为占比最高（100%）——用回避的方式回应坚强的孩子", 4, 0.9)],
+    ),
+    (
+        {"global": {"": {"commit": 9, "evade": 15, "soothe": 1, "affirm_presence": 5, "promise_remember": 1, "farewell": 2}}, "situation_type": {"casual": {"commit": 9, "soothe": 1, "evade": 13, "affirm_presence": 4, "promise_remember": 1, "farewell": 2}, "comfort": {"evade": 1, "affirm_presence": 1}, "reminisce": {"evade": 1}}, "interlocutor": {"博士": {"commit": 2, "affirm_presence": 1, "evade": 3}, "unknown": {"evade": 6, "soothe": 1, "affirm_presence": 4, "commit": 7, "promise_remember": 1, "farewell": 1}, "？？？": {"evade": 2}, "预言家": {"evade": 4, "farewell": 1}}, "phase": {"babel": {"commit": 1, "evade": 12, "farewell": 2}, "resurrected": {"commit": 8, "evade": 3, "soothe": 1, "affirm_presence": 5, "promise_remember": 1}}},
+        [("high_evade", "在被追问时倾向回避直接回答（回避行为占比46%），常用省略号结尾或反问代替回答", 0, 1.0), ("interlocutor_evade", "对？？？的对话中，回避行为占比最高（100%）——用回避的方式回应？？？", 4, 0.9), ("interlocutor_evade", "对预言家的对话中，回避行为占比最高（80%）——用回避的方式回应预言家", 4, 0.8), ("phase_shift_babel_evade", "babel时期，回避行为显著增多（偏移34%）", 2, 0.69), ("phase_shift_resurrected_evade", "resurrected时期，回避行为显著减少（偏移29%）", 2, 0.576667), ("interlocutor_evade", "对博士的对话中，回避行为占比最高（50%）——用回避的方式回应博士", 4, 0.5), ("phase_shift_resurrected_commit", "resurrected时期，承诺行为显著增多（偏移17%）", 2, 0.342889)],
+    ),
+]
+
+
+def test_patterns_of_sample_characters(spark):
+    for counts, want in SAMPLES:
+        acts = [(d, v, a, n) for d, slices in counts.items() for v, per in slices.items() for a, n in per.items()]
+        rows = [(i, "x", "voice", v if d == "phase" else None, v if d == "interlocutor" else None, v if d == "situation_type" else None, [(a, None, None)] * n, 0) for i, (d, v, a, n) in enumerate(acts) if d != "global"]
+        # every dimension alone gives its slices; the whole is that of the situations
+        prof = None
+        for d in ("situation_type", "interlocutor", "phase"):
+            df = spark.createDataFrame([r for r in rows if r[{"phase": 3, "interlocutor": 4, "situation_type": 5}[d]] is not None], LINE)
+            part = speech.profile(df).filter(F.col("slice_dim").isin(*([d, "global"] if d == "situation_type" else [d])))
+            prof = part if prof is None else prof.unionByName(part)
+        assert [tuple(r) for r in speech.behaviour_patterns(prof).collect()] == want
+
+
+# Mean length, ellipsis, feeling and denial of the slices of the same two, and the shifts known for them.
+SLICES = [
+    (
+        [("global", "", 15.4, 17.8, "信任", 13.2), ("situation_type", "casual", 15.2, 17.2, "信任", 13.1), ("situation_type", "comfort", 27.1, 25.0, "信任", 25.0), ("situation_type", "decide", 14.5, 50.0, "孤独", 0.0), ("interlocutor", "博士", 34.4, 75.0, "信任", 25.0), ("interlocutor", "unknown", 17.0, 11.4, "信任", 17.7), ("interlocutor", "坚强的孩子", 10.9, 21.1, "孤独", 7.0), ("interlocutor", "孱弱的孩子", 11.2, 25.0, "悲伤", 8.3), ("phase", "early", 15.4, 17.8, "信任", 13.2)],
+        {("comfort", "sentence_length", "偏长", 0.76), ("comfort", "ellipsis", "更多沉默", 0.4), ("comfort", "negation", "更多否定", 0.89), ("decide", "ellipsis", "更多沉默", 1.81), ("decide", "emotion_dominant", "从'信任'偏移到'孤独'", None), ("decide", "negation", "更少否定", 1.0), ("博士", "sentence_length", "偏长", 1.23), ("博士", "ellipsis", "更多沉默", 3.21), ("博士", "negation", "更多否定", 0.89), ("坚强的孩子", "emotion_dominant", "从'信任'偏移到'孤独'", None), ("坚强的孩子", "negation", "更少否定", 0.47), ("孱弱的孩子", "ellipsis", "更多沉默", 0.4), ("孱弱的孩子", "emotion_dominant", "从'信任'偏移到'悲伤'", None)},
+    ),
+    (
+        [("global", "", 18.1, 38.5, "希望", 23.1), ("situation_type", "casual", 17.2, 38.3, "希望", 19.1), ("situation_type", "comfort", 23.4, 25.0, "孤独", 50.0), ("interlocutor", "博士", 16.7, 66.7, "希望", 50.0), ("interlocutor", "unknown", 18.6, 26.3, "孤独", 23.7), ("interlocutor", "？？？", 9.3, 66.7, "unknown", 0.0), ("interlocutor", "预言家", 21.2, 80.0, "信任", 0.0), ("phase", "resurrected", 17.8, 18.9, "希望", 29.7), ("phase", "babel", 18.9, 86.7, "悲伤", 6.7)],
+        {("comfort", "emotion_dominant", "从'希望'偏移到'孤独'", None), ("comfort", "negation", "更多否定", 1.16), ("博士", "ellipsis", "更多沉默", 0.73), ("博士", "negation", "更多否定", 1.16), ("unknown", "emotion_dominant", "从'希望'偏移到'孤独'", None), ("？？？", "sentence_length", "偏短", 0.49), ("？？？", "ellipsis", "更多沉默", 0.73), ("？？？", "emotion_dominant", "从'希望'偏移到'unknown'", None), ("？？？", "negation", "更少否定", 1.0), ("预言家", "ellipsis", "更多沉默", 1.08), ("预言家", "emotion_dominant", "从'希望'偏移到'信任'", None), ("预言家", "negation", "更少否定", 1.0), ("resurrected", "ellipsis", "更少沉默", 0.51), ("babel", "ellipsis", "更多沉默", 1.25), ("babel", "emotion_dominant", "从'希望'偏移到'悲伤'", None), ("babel", "negation", "更少否定", 0.71)},
+    ),
+]
+
+
+def test_shifts_of_sample_characters(spark):
+    for rows, want in SLICES:
+        df = spark.createDataFrame(rows, "slice_dim string, slice_value string, avg_length double, ellipsis_pct double, emotion_dominant string, negation_pct double")
+        assert {(r["slice_value"], r["dimension"], r["shift"], r["magnitude"]) for r in fingerprint.shifts(df).collect()} == want
