@@ -85,7 +85,7 @@ def number_within(rows: DataFrame, part: list[str], major: str, order: list[str]
     """rows with `out`: their number from 0 within `part`, in the order of major (an integer, NULL first) and then `order`.
 
     In two levels, so that a hot part is no one task's: rows are numbered inside ranges of `width` values of major, and
-    the ranges of a part, which are few, by the number of rows before them.
+    the ranges of a part, which are few, by the number of rows before them. Rows of one major value (also of NULL) stay in one range.
     """
     ranged = rows.withColumn("__range", F.floor(F.coalesce(F.col(major), F.lit(-1)) / width))
     sizes = ranged.groupBy(*part, "__range").agg(F.count(F.lit(1)).alias("__c"))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from murmur.functions import rules as R
-from murmur.operators import canon, catalog, fingerprint, hotkeys, hub, persona, phase, relations, speech, wiki
+from murmur.operators import canon, catalog, fingerprint, hotkeys, hub, persona, phase, relations, speech, temporal, wiki
 
 LINE = "line_uid bigint, text string, source string, phase string, interlocutor string, situation_type string, speech_acts array<struct<type:string,label:string,confidence:double>>, pos bigint"
 
@@ -183,6 +183,11 @@ def test_relation_mentions(spark):
     assert mentioned(spark, ["陈旧的房间里特蕾西娅遇见战友"], "陈", "特蕾西娅") == {} and set(mentioned(spark, ["陈，特蕾西娅的战友"], "陈", "特蕾西娅")) == {(0, "特蕾西娅", "陈", "comrade")}
 
 
+def test_relation_edges_cases(spark):
+    assert mentioned(spark, ["甲一和乙二是战友"]) == {} and mentioned(spark, ["甲一和乙二是战友"], "甲一", "乙二", patterns=[]) == {} and mentioned(spark, ["甲一" * 3000 + "。" * 50 + "乙二战友"], "甲一", "乙二") == {}
+    assert set(mentioned(spark, ["甲一战友乙二", "甲一战友乙二", "", "。。"], "甲一", "乙二")) == {(0, "甲一", "乙二", "comrade"), (1, "甲一", "乙二", "comrade")}
+
+
 def test_relations_are_found_like_pair_by_pair(spark):
     rnd = random.Random(4)
     names, patterns = ["甲一", "乙二", "丙三"], [("t", "友"), ("u", "敌|仇")]
@@ -320,3 +325,20 @@ def test_shifts_of_sample_characters(spark):
     for rows, want in SLICES:
         df = spark.createDataFrame(rows, "slice_dim string, slice_value string, avg_length double, ellipsis_pct double, emotion_dominant string, negation_pct double")
         assert {(r["slice_value"], r["dimension"], r["shift"], r["magnitude"]) for r in fingerprint.shifts(df).collect()} == want
+
+
+def test_period_rules_of_a_sample_character(spark):
+    # fixed values: metrics and acts of two periods, and the rules known for them
+    m = spark.createDataFrame([("babel", 15, 18.9, 86.7, 6.7), ("resurrected", 37, 17.8, 18.9, 27.0)], "phase string, lines bigint, avg_length double, ellipsis_pct double, negation_pct double")
+    acts = {"resurrected": {"commit": 8, "evade": 3, "soothe": 1, "affirm_presence": 5, "promise_remember": 1}, "babel": {"commit": 1, "evade": 12, "farewell": 2}}
+    shares = spark.createDataFrame([(p, a, n / sum(per.values())) for p, per in acts.items() for a, n in per.items()], "phase string, act string, share double")
+    pairs = spark.createDataFrame([("babel", "resurrected")], "a string, b string")
+    got = {(r["metric"], r["reading"], min(round(abs(r["shift_pct"]) / 50, 6), 0.95)) for r in temporal._compare(pairs, m, shares, ["phase"]).collect()}
+    assert got == {
+        ("ellipsis_pct", "沉默/停顿减少（86.7%→18.9%）", 0.95),
+        ("negation_pct", "否定表达增多（6.7%→27.0%）", 0.95),
+        ("speech_act:evade", "回避行为显著减少（80.0%→16.7%）", 0.95),
+        ("speech_act:commit", "承诺行为显著增多（6.7%→44.4%）", 0.756),
+        ("speech_act:affirm_presence", "存在确认行为显著增多（0.0%→27.8%）", 0.556),
+        ("speech_act:farewell", "告别行为显著减少（13.3%→0.0%）", 0.266),
+    }
