@@ -7,12 +7,13 @@ of a by-named given name) of at least a threshold's cosine; only the rarest n-gr
 are joined on, which loses no pair. An exact check of the edits follows for whole names. What passes is
 grouped by average linkage over the cosines: two spellings are as similar as their cosine, or as the product of
 theirs to a known name; the spellings that the tables of known names state for one name are one node, and two
-known names never share a group. A shortened form then goes to the group with the greatest cosine, if no
-other group comes near it.
+known names never share a group. Large components are merged in rounds by all tasks, with the same result. A
+shortened form then goes to the group with the greatest cosine, if no other group comes near it.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -41,8 +42,12 @@ LEFT_OUT = 1 / 3
 FIT_PAIRS = 20_000
 #: Characters of a given name above which it has no parts by which it could be called.
 LONGEST_GIVEN = 40
-#: Most spellings that one task links; larger components are first cut at their weakest links.
+#: Most spellings that one task links; in larger components all tasks merge, until the rest falls apart.
 LINK_NODES = 5_000
+#: Units in a similarity of 1: sums of whole units don't depend on the order of adding.
+UNITS = 1e9
+#: Similarity from which two spellings have equal vectors, and the least of any link.
+EQUAL, ANY = 0.999, 1e-9
 # Common forms of address before and after a part of a name; those that known by-names show are added.
 BEFORE, AFTER = ["小", "老", "阿", "大"], ["老大", "老师", "先生", "女士", "小姐", "姐", "哥", "叔", "爷", "头", "婶", "妹", "姨", "伯"]
 # Counters behind the word for an unnamed voice.
@@ -309,80 +314,163 @@ def top_cosine(looking: DataFrame, found: DataFrame, least: dict[str, float] = C
 
 
 def average_linkage(nodes: list[str], sims: dict[tuple[str, str], float], known: dict[str, str], least: float = LINKAGE) -> dict[str, int]:
-    """Group of each node. Missing pairs have similarity 0; groups with different known names are never merged."""
+    """Group of each node, as the place of its least member among the sorted nodes. Missing pairs have similarity 0;
+    groups with different known names are never merged. Of equal averages the groups with the least members come first."""
     import heapq
 
     members = {i: [n] for i, n in enumerate(sorted(nodes))}
     at = {n[0]: i for i, n in members.items()}
+    first = {i: i for i in members}
     label = {i: known.get(n[0]) for i, n in members.items()}
-    total: dict[int, dict[int, float]] = defaultdict(dict)
+    total: dict[int, dict[int, int]] = defaultdict(dict)
     for (a, b), v in sims.items():
         i, j = at[a], at[b]
         if i != j:
-            total[i][j] = total[j][i] = max(v, total[i].get(j, 0.0))
-    heap = [(-v, i, j) for i, row in total.items() for j, v in row.items() if i < j]
+            total[i][j] = total[j][i] = max(int(v * UNITS), total[i].get(j, 0))
+    heap = [(-float(v), i, j, i, j) for i, row in total.items() for j, v in row.items() if i < j]
     heapq.heapify(heap)
     fresh = len(members)
     while heap:
-        v, i, j = heapq.heappop(heap)
-        if -v < least:
+        v, _, _, i, j = heapq.heappop(heap)
+        if -v < int(least * UNITS):
             break
         if i not in members or j not in members:
             continue
         if label[i] is not None and label[j] is not None and label[i] != label[j]:
             continue
         k, fresh = fresh, fresh + 1
-        row: dict[int, float] = defaultdict(float)
+        row: dict[int, int] = defaultdict(int)
         for old in (i, j):
             for x, s in total.pop(old).items():
                 if x not in (i, j):
                     row[x] += s
         members[k] = members.pop(i) + members.pop(j)
+        first[k] = min(first.pop(i), first.pop(j))
         label[k] = label.pop(i) or label.pop(j, None)
         label.pop(j, None)
         for x, s in row.items():
             total[x].pop(i, None)
             total[x].pop(j, None)
             total[x][k] = s
-            heapq.heappush(heap, (-s / (len(members[x]) * len(members[k])), min(x, k), max(x, k)))
+            heapq.heappush(heap, (-s / (len(members[x]) * len(members[k])), min(first[x], first[k]), max(first[x], first[k]), x, k))
         total[k] = dict(row)
-    return {n: g for g, ns in members.items() for n in ns}
+    return {n: first[g] for g, ns in members.items() for n in ns}
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (its least id) for edges(a, b), by passing the least id on until nothing changes."""
+    """id, component (its least id) for edges(a, b), by passing the least id on until nothing changes; after some rounds by leaps."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "names")
     label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "names")
-    while True:
+    for turn in itertools.count():
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("m"))
         new = materialize(label.join(near, label["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), (F.coalesce("m", "component") < F.col("component")).alias("moved")), "names")
         label = new.select("id", "component")
         if new.filter("moved").isEmpty():
+            return label
+        if turn > 2:  # a long chain: take what the id at the component's name has come to
+            there = label.select(F.col("id").alias("at"), F.col("component").alias("to"))
+            label = materialize(label.join(there, label["component"] == there["at"]).select("id", F.col("to").alias("component")), "names")
+
+
+def merge_nearest(clusters: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One round of average linkage in all tasks: (clusters, links, move, near).
+
+    clusters(id, n, w, label) are groups by their least member, links(a, b, t) the sums of the similarities between
+    two. Two groups that are each other's nearest are merged: an average is never above the greater of its parts, and
+    groups of different known names stay apart whatever joins them, so nothing that is merged elsewhere comes nearer
+    to either, and the order of merging makes no difference. For the same reason a group without a link of at least
+    `least` will never have one, and is left out of what comes back. move(old, new) are the merges, near(a, b) the
+    links of at least `least` as they were before.
+    """
+    side = lambda s: clusters.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("label").alias(f"l{s}"))
+    ways = links.join(side("a"), "a").join(side("b"), "b").filter("la is null or lb is null or la = lb")
+    ways = materialize(ways.select("a", "b", "t", (F.col("t") / (F.col("na") * F.col("nb"))).alias("v")), "names")
+    near = ways.filter(F.col("v") >= int(least * UNITS))
+    pair = F.struct((-F.col("v")).alias("v"), "a", "b").alias("pair")
+    ends = near.select(F.col("a").alias("id"), pair).unionByName(near.select(F.col("b").alias("id"), pair))
+    best = materialize(ends.groupBy("id").agg(F.min("pair").alias("pair")), "names")
+    move = materialize(best.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(F.col("pair.b").alias("old"), F.col("pair.a").alias("new")), "names")
+    for end in ("a", "b"):
+        ways = ways.join(best.select(F.col("id").alias(end)), end, "left_semi")
+        ways = ways.join(move.withColumnsRenamed({"old": end, "new": f"new_{end}"}), end, "left").withColumn(end, F.coalesce(f"new_{end}", end)).drop(f"new_{end}")
+    ways = ways.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("t").alias("t"))
+    kept = clusters.join(best.select("id"), "id", "left_semi").join(move.withColumnRenamed("old", "id"), "id", "left")
+    kept = kept.groupBy(F.coalesce("new", "id").alias("id")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("label").alias("label"))
+    return materialize(kept, "names"), materialize(ways, "names"), move, near
+
+
+def linkage_parts(clusters: DataFrame, links: DataFrame, least: float, most: int = 0) -> DataFrame:
+    """id, part, settled for clusters(id, n, w, label) and links(a, b, t): no link between two parts is ever merged.
+
+    Rounds of merge_nearest go on until every part has at most `most` spellings (the sum of w), or is settled: one
+    group, however many it has. What links of at least the threshold connect makes a part; those in between only fall.
+    """
+    place = clusters.select("id", F.col("id").alias("at"))
+    done: list[DataFrame] = []
+    for turn in itertools.count():
+        now = clusters
+        clusters, links, move, near = merge_nearest(now, links, least)
+        if near.isEmpty():
+            done.append(place.select("id", F.col("at").alias("part"), F.lit(True).alias("settled")))
             break
-    return label
+        if most and turn & (turn - 1) == 0:  # before rounds 0, 1, 2, 4, 8 and so on
+            comp = components(near.select("a", "b"))
+            size = comp.join(now, "id").groupBy("component").agg(F.sum("w").alias("w"))
+            comp = materialize(comp.join(size, "component").select(F.col("id").alias("at"), F.col("component").alias("part"), (F.col("w") > most).alias("large")), "names")
+            here = materialize(place.join(comp, "at", "left"), "names")
+            done.append(here.filter("not coalesce(large, false)").select("id", F.coalesce("part", "at").alias("part"), F.col("part").isNull().alias("settled")))
+            large, place = comp.filter("large"), here.filter("large").select("id", "at")
+            if large.isEmpty():
+                break
+            move = move.join(large.select(F.col("at").alias("old")), "old", "left_semi")
+            clusters = clusters.join(large.select(F.col("at").alias("id")), "id", "left_semi")
+            links = links.join(large.select(F.col("at").alias("a")), "a", "left_semi").join(large.select(F.col("at").alias("b")), "b", "left_semi")
+        place = materialize(place.join(move.withColumnRenamed("old", "at"), "at", "left").select("id", F.coalesce("new", "at").alias("at")), "names")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
-def bounded_components(edges: DataFrame, most: int = LINK_NODES, step: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(edges with their component, id and component): components of more than `most` ids are cut at their weakest links.
+def bounded_components(edges: DataFrame, most: int = LINK_NODES, known: DataFrame | None = None, least: float = LINKAGE) -> tuple[DataFrame, DataFrame]:
+    """(a, b, sim, component, settled; id, component, entity): components of more than `most` ids are taken apart where average linkage never merges.
 
-    The cut rises in steps of `step`, and only inside components that are still too large, so what average
-    linkage does to all others stays as it is. Links of similarity 1 are never cut.
+    Of known(id, label) the ids of one name are one node. To links of large components come those by way of a known
+    name, so that every part has all of its own, and grow_groups finds in the parts what it would in the whole.
+    A settled part is one group, and has its entity; the others have at most `most` ids.
     """
-    least, done_edges, done = 0.0, None, None
-    while True:
-        comp = components(edges)
-        large = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("component")
-        inside = materialize(edges.join(comp.select(F.col("id").alias("a"), "component"), "a"), "names")
-        least += step
-        if least >= 1 or large.isEmpty():
-            small, small_edges = comp, inside
-        else:
-            small, small_edges = comp.join(large, "component", "left_anti"), inside.join(large, "component", "left_anti")
-        done = small if done is None else done.unionByName(small)
-        done_edges = small_edges.select("a", "b", "sim", "component") if done_edges is None else done_edges.unionByName(small_edges.select("a", "b", "sim", "component"))
-        if least >= 1 or large.isEmpty():
-            return done_edges, done
-        edges = materialize(inside.join(large, "component", "left_semi").filter(F.col("sim") >= least).select("a", "b", "sim"), "names")
+    comp = components(edges)
+    large = materialize(comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("component"), "names")
+    inside = materialize(edges.join(comp.select(F.col("id").alias("a"), "component"), "a"), "names").select("a", "b", "sim", "component").withColumn("settled", F.lit(False))
+    comp = comp.withColumn("entity", F.lit(None).cast("string"))
+    if large.isEmpty():
+        return inside, comp
+    small, small_edges = comp.join(large, "component", "left_anti"), inside.join(large, "component", "left_anti")
+    ids, raw = comp.join(large, "component", "left_semi").select("id"), inside.join(large, "component", "left_semi").select("a", "b", "sim")
+    ids = materialize(ids.withColumn("label", F.lit(None).cast("string")) if known is None else ids.join(known.select("id", "label"), "id", "left"), "names").withColumn("node", F.coalesce("label", "id"))
+    to = lambda d, end: d.join(ids.select(F.col("id").alias(end), F.col("node").alias(f"node_{end}")), end).withColumn(end, F.col(f"node_{end}")).drop(f"node_{end}")
+    between = lambda d: d.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
+    nodes = materialize(ids.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("w"), F.max("label").alias("label")), "names")
+    direct = materialize(between(to(to(raw, "a"), "b")), "names")
+    # by way of a known name
+    both = direct.unionByName(direct.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    around = both.join(nodes.filter("label is not null").select(F.col("id").alias("a")), "a", "left_semi").join(nodes.filter("label is null").select(F.col("id").alias("b")), "b", "left_semi")
+    x, y = around.select("a", F.col("b").alias("x"), F.col("sim").alias("s")), around.select("a", F.col("b").alias("y"), F.col("sim").alias("t"))
+    by_way = materialize(between(x.join(y, "a").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("s") * F.col("t")).alias("sim"))), "names")
+    direct = between(direct.unionByName(by_way))
+    units = (F.col("sim") * UNITS).cast("long").alias("t")
+    # equal vectors first, then what they make up
+    equal = linkage_parts(nodes.select("id", F.lit(1).alias("n"), "w", "label"), direct.filter(F.col("sim") >= EQUAL).select("a", "b", units), ANY)
+    equal = materialize(nodes.join(equal, "id").select("id", "w", "label", F.col("part").alias("node")), "names")
+    last = lambda d, end: d.join(equal.select(F.col("id").alias(end), F.col("node").alias(f"node_{end}")), end).withColumn(end, F.col(f"node_{end}")).drop(f"node_{end}")
+    clusters = materialize(equal.groupBy(F.col("node").alias("id")).agg(F.lit(1).alias("n"), F.sum("w").alias("w"), F.max("label").alias("label")), "names")
+    parts = linkage_parts(clusters, materialize(between(last(last(direct, "a"), "b")), "names").select("a", "b", units), least, most)
+    parts = materialize(equal.select("id", "label", "node").join(parts.withColumnRenamed("id", "node"), "node").select("id", "label", "part", "settled"), "names")
+    names_ = parts.filter("settled").groupBy("part").agg(F.coalesce(F.max("label"), F.min("id")).alias("entity"))
+    parts = materialize(ids.select("id", "node").join(parts.join(names_, "part", "left").withColumnRenamed("id", "node").drop("label"), "node").select("id", F.col("part").alias("component"), "entity", "settled"), "names")
+    a, b = parts.select(F.col("id").alias("a"), "component", "settled"), parts.select(F.col("id").alias("b"), F.col("component").alias("other"))
+    ours = raw.unionByName(by_way).groupBy("a", "b").agg(F.max("sim").alias("sim")).join(a, "a").join(b, "b").filter("component = other").drop("other")
+    return small_edges.unionByName(materialize(ours.select("a", "b", "sim", "component", "settled"), "names")), small.select("id", "component", "entity").unionByName(parts.select("id", "component", "entity"))
 
 
 def spellings(story: DataFrame, lines: DataFrame) -> DataFrame:
@@ -449,8 +537,9 @@ def name_groups(story: DataFrame, lines: DataFrame, operators: DataFrame, aliase
     stated = known.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"), F.lit(1.0).alias("sim"))
     whole = links.filter("kind in ('c', 'r')").select("a", "b", F.col("cosine").alias("sim")).unionByName(stated)
     whole = materialize(whole.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim")), "names")
-    inside, comp = bounded_components(whole)
-    members = comp.join(known.select("id", "label"), "id", "left").select(F.col("component").alias("part"), "id", "label")
+    inside, comp = bounded_components(whole, known=known, least=linkage)
+    settled, inside = comp.filter("entity is not null").select("id", "entity"), inside.filter("not settled")
+    members = comp.filter("entity is null").join(known.select("id", "label"), "id", "left").select(F.col("component").alias("part"), "id", "label")
 
     def link(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sims = {(a, b): s for a, b, s in zip(left["a"], left["b"], left["sim"], strict=True)}
@@ -461,7 +550,7 @@ def name_groups(story: DataFrame, lines: DataFrame, operators: DataFrame, aliase
     # a stated number of partitions isn't merged into one task
     parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inside, members = inside.repartition(parts, "component"), members.repartition(parts, "part")
-    grouped = materialize(inside.groupBy("component").cogroup(members.groupBy("part")).applyInPandas(link, "id string, entity string"), "names")
+    grouped = materialize(inside.groupBy("component").cogroup(members.groupBy("part")).applyInPandas(link, "id string, entity string").unionByName(settled), "names")
     # a shortened form goes to the group it comes nearest to, if no other comes near that
     score = F.when(F.col("kind") == "sc-", F.col("cosine") * STRIPPED).when(F.col("kind").isin("ci", "ri", "cu", "si"), 1.0).otherwise(F.col("cosine"))
     ways = links.filter("kind not in ('c', 'r')").select("a", "b", score.alias("score")).join(grouped.withColumnRenamed("id", "b"), "b", "left")
@@ -495,19 +584,19 @@ def grow_groups(ids: list[str], sims: dict[tuple[str, str], float], labels: dict
                 merged[pair] = max(s * t, merged.get(pair, 0.0))
     # spellings of equal vectors are one node as well, so that the average is over different ones
     names = sorted(set(node.values()))
-    first = average_linkage(names, {k: s for k, s in merged.items() if s >= 0.999}, known, 1e-9)
+    first = {n: names[i] for n, i in average_linkage(names, {k: s for k, s in merged.items() if s >= EQUAL}, known, ANY).items()}
     rest: dict[tuple[str, str], float] = {}
     for (a, b), s in merged.items():
-        x, y = sorted((str(first[a]), str(first[b])))
+        x, y = sorted((first[a], first[b]))
         if x != y:
             rest[x, y] = max(s, rest.get((x, y), 0.0))
-    second = average_linkage(sorted({str(g) for g in first.values()}), rest, {str(first[n]): n for n in known}, least)
+    second = average_linkage(sorted(set(first.values())), rest, {first[n]: n for n in known}, least)
     title: dict[int, str] = {}
     for n in names:
-        g = second[str(first[n])]
+        g = second[first[n]]
         if g not in title or (n in known and title[g] not in known):
             title[g] = n
-    return {i: title[second[str(first[node[i]])]] for i in ids}
+    return {i: title[second[first[node[i]]]] for i in ids}
 
 
 def name_pairs(groups: DataFrame) -> DataFrame:

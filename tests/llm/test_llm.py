@@ -366,6 +366,38 @@ def test_average_linkage_decides(spark):
     assert comp.count() == 10 and comp.groupBy("component").count().agg(F.max("count")).first()[0] <= 4 and edges.count() == 5
 
 
+def test_large_components_lose_no_link(spark):
+    # p: six alike, one group that is larger than a task's share; q: a chain with equal steps; r: known names, a spelling of one, and spellings between them
+    edges = {(f"p{i}", f"p{j}"): 0.5 for i in range(6) for j in range(i + 1, 6)} | {(f"q{i}", f"q{i + 1}"): 0.7 for i in range(9)}
+    edges |= {("r0", "r1"): 1.0, ("r0", "r2"): 0.8, ("r0", "r3"): 0.75, ("r2", "r4"): 0.6, ("r3", "r5"): 0.45, ("r4", "r5"): 0.9, ("r5", "r6"): 1.0, ("r4", "r6"): 0.7, ("r0", "r6"): 0.95}
+    labels = {"r0": "r0", "r1": "r0", "r6": "r6"}
+    want = names.grow_groups(sorted({x for e in edges for x in e}), edges, labels)
+    assert len({want[f"p{i}"] for i in range(6)}) == 1 and want["r2"] == "r0" and want["r5"] == "r6"
+    df = spark.createDataFrame([(*e, s) for e, s in edges.items()], "a string, b string, sim double")
+    inside, comp = names.bounded_components(df, 4, spark.createDataFrame(list(labels.items()), "id string, label string"))
+    got, ids, sims = {}, defaultdict(list), defaultdict(dict)
+    for r in comp.collect():
+        if r["entity"] is None:
+            ids[r["component"]].append(r["id"])
+        else:
+            got[r["id"]] = r["entity"]
+    for r in inside.filter("not settled").collect():
+        sims[r["component"]][r["a"], r["b"]] = r["sim"]
+    for c, some in ids.items():
+        assert len(some) <= 4
+        got |= names.grow_groups(some, sims[c], {i: labels[i] for i in some if i in labels})
+    assert got == want
+
+
+def test_groups_do_not_depend_on_the_size_of_a_component(spark, monkeypatch):
+    story = spark.createDataFrame([(x,) for x in ["stelmarovin", "stelmarovan", "stelmaroven", "stelmarovun"]], "speaker string")
+    none = spark.createDataFrame([], "interlocutor string, name_zh string, name_en string, alias string, canonical string")
+    pairs = lambda: {tuple(r) for r in names.name_pairs(names.name_groups(story, none, none, none)).collect()}
+    want, whole = pairs(), names.bounded_components
+    monkeypatch.setattr(names, "bounded_components", lambda edges, **k: whole(edges, 2, **k))
+    assert len(want) == 6 and pairs() == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(45)], "a string, b string")
     assert {r["component"] for r in names.components(edges).collect()} == {"n00"}
