@@ -25,9 +25,11 @@ def claims(texts: DataFrame, source: str, patterns: list[tuple[str, str, str]] |
         pairs = F.arrays_zip(F.regexp_extract_all("text", pat, F.lit(0)).alias("whole"), F.regexp_extract_all("text", pat, F.lit(1)).alias("v"))
         rows.append(F.transform(pairs, _claim(i, field, label)))
     found = texts.select(F.col(source).cast("string").alias("source"), "text", F.explode(F.filter(F.flatten(F.array(*rows)), lambda x: (x["value"] != "") & (F.length(x["value"]) < 50))).alias("c")).select("source", "text", "c.*")
-    first = found.withColumn("__n", F.row_number().over(Window.partitionBy("source", "field", "value").orderBy("rule", "k"))).filter("__n = 1")
+    # the context is cut out before the rows are shuffled, so that no text is shuffled once a claim
     context = T.strip(T.around(F.col("text"), F.expr("instr(text, whole)"), F.length("whole"), 30))
-    return first.select("source", "field", "label", "value", context.alias("context"))
+    short = found.select("source", "rule", "k", "field", "label", "value", context.alias("context"))
+    first = short.withColumn("__n", F.row_number().over(Window.partitionBy("source", "field", "value").orderBy("rule", "k"))).filter("__n = 1")
+    return first.select("source", "field", "label", "value", "context")
 
 
 def misconceptions(texts: DataFrame, source: str, known: list | None = None) -> DataFrame:

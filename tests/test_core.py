@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -250,6 +251,16 @@ def test_claims_and_misconceptions(spark):
     assert {r["field"]: r["status"] for r in canon.cross_validate(c).collect()} == {"f": "confirmed", "g": "conflicted", "h": "unverified"}
 
 
+def test_claims_are_shuffled_without_their_texts(spark):
+    long_ = "甲" * 5000
+    t = spark.createDataFrame([("x", f"{long_}编号7。编号8。编号7。{long_}", 1)], "s string, text string, n int")
+    got = canon.claims(t, "s", [("number", "编号", r"编号(\d+)")])
+    plan = got._jdf.queryExecution().explainString(got.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [x.split("\n")[1] for x in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", x.strip())]
+    assert moved and not any(re.search(r"\b(text|whole)#", x) for x in moved)
+    assert {(r["value"], r["context"]) for r in got.collect()} == {("7", f"{long_[:30]}编号7。编号8。编号7。{long_[:21]}"), ("8", f"{long_[:26]}编号7。编号8。编号7。{long_[:25]}")}
+
+
 def test_persona(spark):
     p = persona.parse("## Layer 0：x\n- 不用感叹号\n- 不说「走开」\n\n## Layer 2：y\n口头禅：「嗯」\n高频词：海、船\n自称：极少\n\n## Layer 5：z\n- 不谈「内鬼」\n\n## Correction 记录\n暂无\n")
     assert p["layer0"] == ["不用感叹号", "不说「走开」"] and p["style"]["frequent_words"] == ["海", "船"] and p["layer5"] == ["不谈「内鬼」"] and p["corrections"] == []
