@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,38 +49,63 @@ def ordered_phases(found: DataFrame, timeline: DataFrame) -> DataFrame:
     return found.select("phase").distinct().join(F.broadcast(known), "phase", "left").withColumn("ord", F.row_number().over(Window.orderBy(F.col("__o").asc_nulls_last(), "phase"))).drop("__o")
 
 
-def _metric_rows(b: str, c: str) -> Column:
-    """Differences of two metric structs that are large enough."""
+def told(what: Column, way: Column, x: Column, y: Column, first: str, second: str) -> Column:
+    """The sentence that reads a difference, such as 'denials fewer (40%->20%)' in the language of the rules."""
+    return F.concat(what, way, F.lit("（"), x.cast("string"), F.lit(f"{first}→"), y.cast("string"), F.lit(f"{second}）"))
 
-    def one(metric: str, col: str, least: float, what: str, more: str, less: str, unit: str) -> Column:
-        x, y = F.col(f"{b}.{col}"), F.col(f"{c}.{col}")
-        rel = (y - x) / F.nullif(x, F.lit(0.0))
-        reading = told(F.lit(what), F.when(y > x, more).otherwise(less), x, y, "" if unit == "字" else unit, unit)
-        return F.when((x > 0) & (F.abs(rel) > least), F.struct(F.lit(metric).alias("metric"), x.alias("baseline"), y.alias("comparison"), F.bround(rel * 100, 1).alias("shift_pct"), reading.alias("reading")))
 
-    rows = (one("avg_sentence_length", "avg_length", 0.25, "句式", "偏长", "偏短", "字"), one("ellipsis_pct", "ellipsis_pct", 0.3, "沉默/停顿", "增多", "减少", "%"), one("negation_pct", "negation_pct", 0.3, "否定表达", "增多", "减少", "%"))
-    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+#: Rates that are compared: metric, column, least difference as a share of the baseline, what is told of it, more, less, units of both figures.
+RATES = [("avg_sentence_length", "avg_length", 0.25, "句式", "偏长", "偏短", "", "字"), ("ellipsis_pct", "ellipsis_pct", 0.3, "沉默/停顿", "增多", "减少", "%", "%"), ("negation_pct", "negation_pct", 0.3, "否定表达", "增多", "减少", "%", "%")]
+#: What the metric of an act begins with, and the least difference of two shares.
+ACT, LEAST_SHARE = "speech_act:", 0.1
 
 
-def told(what: Column, way: Column, x: Column, y: Column, first: str, second: str) -> Column:
-    """The sentence that reads a difference, such as 'denials fewer (40%->20%)' in the language of the rules."""
-    return F.concat(what, way, F.lit("（"), x.cast("string"), F.lit(f"{first}→"), y.cast("string"), F.lit(f"{second}）"))
+def profiles(metrics: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, figures (rates and shares of acts by metric), wide (metrics of the acts whose share is above LEAST_SHARE): one row a slice.
+
+    Shares lie between 0 and 1, so two of them differ by more than LEAST_SHARE only if one of them is above it.
+    """
+    entry = lambda metric, value: F.struct(metric.alias("key"), value.alias("value"))
+    acts = shares.groupBy(*keys).agg(F.collect_list(entry(F.concat(F.lit(ACT), "act"), F.col("share"))).alias("__a"))
+    rates = F.array(*[entry(F.lit(metric), F.col(c)) for metric, c, *_ in RATES])
+    p = metrics.select(*keys, rates.alias("__r")).join(acts, [*keys], "left").withColumn("__a", F.coalesce("__a", F.filter("__r", lambda x: F.lit(False))))
+    wide = F.transform(F.filter("__a", lambda x: x["value"] > LEAST_SHARE), lambda x: x["key"])
+    return p.select(*keys, F.map_from_entries(F.concat("__r", "__a")).alias("figures"), wide.alias("wide"))
+
+
+def _side(found: DataFrame, item: str, name: str) -> DataFrame:
+    """Profiles as the side `name` (a or b) of a comparison."""
+    return found.withColumnsRenamed({item: name, "figures": f"f{name}", "wide": f"w{name}"})
+
+
+def _differences(both: DataFrame, only: Sequence[str] = ()) -> DataFrame:
+    """(scope.., a, b, both profiles): metric, baseline, comparison, shift_pct, reading for every large difference of slice b against slice a. Nothing is shuffled."""
+    metric = F.concat(F.array(*[F.lit(r[0]) for r in RATES]), F.array_union("wa", "wb"))
+    figure = lambda side: F.coalesce(F.try_element_at(side, F.col("metric")), F.lit(0.0))
+    d = both.select(*only, "a", "b", "fa", "fb", F.explode_outer(metric).alias("metric")).select(*only, "a", "b", "metric", figure("fa").alias("__x"), figure("fb").alias("__y"))
+    x, y = F.col("__x"), F.col("__y")
 
+    def by_metric(rate, act: Column) -> Column:  # noqa: ANN001
+        out = F.when(F.col("metric") == RATES[0][0], rate(*RATES[0][2:]))
+        for r in RATES[1:]:
+            out = out.when(F.col("metric") == r[0], rate(*r[2:]))
+        return out.otherwise(act)
 
-def _compare(pairs: DataFrame, metrics: DataFrame, shares: DataFrame, keys: Sequence[str], only: Sequence[str] = ()) -> DataFrame:
-    """pairs(scope.., a, b): metric, baseline, comparison, shift_pct, reading for every large difference of slice b against slice a."""
-    item = keys[-1]
-    m = metrics.select(*only, F.col(item).alias("__k"), F.struct("avg_length", "ellipsis_pct", "negation_pct").alias("__m"))
-    x, y = m.withColumnsRenamed({"__k": "a", "__m": "ma"}), m.withColumnsRenamed({"__k": "b", "__m": "mb"})
-    both = pairs.join(x, [*only, "a"]).join(y, [*only, "b"])
-    rates = both.select(*only, "a", "b", F.explode(_metric_rows("ma", "mb")).alias("d")).select(*only, "a", "b", "d.*")
-    s = shares.select(*only, F.col(item).alias("__k"), "act", "share")
-    left = pairs.join(s.withColumnsRenamed({"__k": "a", "share": "sa"}), [*only, "a"])
-    right = pairs.join(s.withColumnsRenamed({"__k": "b", "share": "sb"}), [*only, "b"])
-    acts = left.join(right, [*only, "a", "b", "act"], "full").withColumns({"sa": F.coalesce("sa", F.lit(0.0)), "sb": F.coalesce("sb", F.lit(0.0))})
-    acts = acts.filter(F.abs(F.col("sb") - F.col("sa")) > 0.1).select(*only, "a", "b", F.concat(F.lit("speech_act:"), "act").alias("metric"), F.bround(F.col("sa") * 100, 1).alias("baseline"), F.bround(F.col("sb") * 100, 1).alias("comparison"), F.bround((F.col("sb") - F.col("sa")) * 100, 1).alias("shift_pct"), F.when(F.col("sb") > F.col("sa"), "行为显著增多").otherwise("行为显著减少").alias("__w"), act_label(F.col("act")).alias("__l"))
-    acts = acts.withColumn("reading", told(F.col("__l"), F.col("__w"), F.col("baseline"), F.col("comparison"), "%", "%")).drop("__w", "__l")
-    return rates.unionByName(acts)
+    rel = (y - x) / F.nullif(x, F.lit(0.0))
+    way = lambda more, less: F.when(y > x, more).otherwise(less)
+    d = d.filter(by_metric(lambda least, *_: (x > 0) & (F.abs(rel) > least), F.abs(y - x) > LEAST_SHARE))
+    is_act = F.startswith("metric", F.lit(ACT))
+    shown = lambda c: F.when(is_act, F.bround(c * 100, 1)).otherwise(c)
+    d = d.select(*only, "a", "b", "metric", shown(x).alias("baseline"), shown(y).alias("comparison"), F.bround(F.when(is_act, y - x).otherwise(rel) * 100, 1).alias("shift_pct"), "__x", "__y")
+    figures = F.col("baseline"), F.col("comparison")
+    reading = by_metric(lambda _, what, more, less, first, second: told(F.lit(what), way(more, less), *figures, first, second), told(act_label(F.substr("metric", F.lit(len(ACT) + 1))), way("行为显著增多", "行为显著减少"), *figures, "%", "%"))
+    return d.select(*only, "a", "b", "metric", "baseline", "comparison", "shift_pct", reading.alias("reading"))
+
+
+def _compare(pairs: DataFrame, metrics: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """pairs(a, b): the differences of slice b against slice a."""
+    found = profiles(metrics, shares, keys)
+    return _differences(pairs.join(_side(found, keys[-1], "a"), "a").join(_side(found, keys[-1], "b"), "b"))
 
 
 def period_shifts(lines: DataFrame, timeline: DataFrame) -> DataFrame:
@@ -92,14 +118,37 @@ def period_shifts(lines: DataFrame, timeline: DataFrame) -> DataFrame:
     return out.select(F.col("a").alias("from_phase"), F.col("b").alias("to_phase"), "metric", "baseline", "comparison", "shift_pct", "reading", F.least(F.bround(F.abs("shift_pct") / 50, 6), F.lit(0.95)).alias("confidence"))
 
 
+#: Profiles for which the pairs of a period are made in one cell.
+CELL = 256
+
+
+def interlocutor_profiles(lines: DataFrame, least: int = 2) -> DataFrame:
+    """Profiles of the interlocutors of a period with `least` lines or more each, written once."""
+    p, keys = periods(lines).filter("interlocutor <> 'unknown'"), ["phase", "interlocutor"]
+    return materialize(profiles(slice_metrics(p, keys).filter(F.col("lines") >= least), act_shares(p, keys), keys), "temporal")
+
+
+def _interlocutor_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """phase, a, b (a < b) and both profiles for every two interlocutors of a period, a from `first`.
+
+    A period's pairs are dealt out in cells by hashes of a and b. Profiles are sent to their cells, pairs are sent nowhere.
+    """
+    n = math.ceil(math.sqrt(second.count() / CELL)) or 1
+    of, every = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = _side(first, "interlocutor", "a").withColumn("__i", of("a")).withColumn("__j", every)
+    b = _side(second, "interlocutor", "b").withColumn("__j", of("b")).withColumn("__i", every)
+    cell, tasks = ["phase", "__i", "__j"], max(n * n, first.sparkSession.sparkContext.defaultParallelism)
+    return a.repartition(tasks, *cell).join(b.repartition(tasks, *cell), cell).filter("a < b").drop("__i", "__j")
+
+
+def _sure(d: DataFrame) -> DataFrame:
+    return d.withColumn("confidence", F.least(F.bround(F.abs("shift_pct") / 40, 6), F.lit(0.9)))
+
+
 def interlocutor_differences(lines: DataFrame, least: int = 2) -> DataFrame:
     """phase, a, b (a < b), metric.. for every two interlocutors of a period with `least` lines or more each."""
-    p = periods(lines).filter("interlocutor <> 'unknown'")
-    m = materialize(slice_metrics(p, ["phase", "interlocutor"]).filter(F.col("lines") >= least), "temporal")
-    k = m.select("phase", "interlocutor")
-    pairs = k.withColumnRenamed("interlocutor", "a").join(k.withColumnRenamed("interlocutor", "b"), "phase").filter("a < b")
-    out = _compare(pairs, m, materialize(act_shares(p, ["phase", "interlocutor"]), "temporal"), ["phase", "interlocutor"], ["phase"])
-    return out.withColumn("confidence", F.least(F.bround(F.abs("shift_pct") / 40, 6), F.lit(0.9)))
+    found = interlocutor_profiles(lines, least)
+    return _sure(_differences(_interlocutor_pairs(found, found), ["phase"]))
 
 
 def temporal_rules(lines: DataFrame, timeline: DataFrame, k: int = 20) -> DataFrame:

@@ -353,3 +353,49 @@ def test_period_rules_of_a_sample_character(spark):
         ("speech_act:affirm_presence", "存在确认行为显著增多（0.0%→27.8%）", 0.556),
         ("speech_act:farewell", "告别行为显著减少（13.3%→0.0%）", 0.266),
     }
+
+
+def _exchanged(df):
+    """The columns of every exchange of a plan."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [set(re.findall(r"(\w+)#", x.split("\n")[1])) for x in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", x.strip())]
+
+
+def _talk(spark):
+    """Lines of four periods in which 24 people speak, one of them once a period at most."""
+    rnd = random.Random(5)
+    names = [*(f"人{i}" for i in range(20)), "a/b", "a", "", None]
+    says = ["没有。", "走吧……", "我在这里等了很久，一直等到天亮为止。", "好！", None]
+    rows = [(i, rnd.choice(says), "story", rnd.choice(["p", "p/a", "q", "unknown"]), rnd.choice(names), None, rnd.choice([None, [], [(rnd.choice(["evade", "commit", "奇"]), "", 1.0), (rnd.choice(["evade", None]), "", 1.0)]]), i) for i in range(400)]
+    return spark.createDataFrame([*rows, (900, "好", "story", "p", "一次", None, None, 900)], LINE)
+
+
+def _by_hand(spark, lines):
+    """phase, a, b, metric, baseline, comparison of every large difference between two interlocutors of a period, pair by pair."""
+    p, keys = temporal.periods(lines).filter("interlocutor <> 'unknown'"), ["phase", "interlocutor"]
+    m = {(r["phase"], r["interlocutor"]): r for r in temporal.slice_metrics(p, keys).collect() if r["lines"] >= 2}
+    s = {(r["phase"], r["interlocutor"], r["act"]): r["share"] for r in temporal.act_shares(p, keys).collect()}
+    want = set()
+    for f, a in m:
+        for g, b in m:
+            if f != g or a.encode() >= b.encode():
+                continue
+            for metric, col, least in (("avg_sentence_length", "avg_length", 0.25), ("ellipsis_pct", "ellipsis_pct", 0.3), ("negation_pct", "negation_pct", 0.3)):
+                x, y = m[f, a][col], m[g, b][col]
+                if x > 0 and abs((y - x) / x) > least:
+                    want.add((f, a, b, metric, x, y))
+            for act in {k[2] for k in s}:
+                x, y = s.get((f, a, act), 0.0), s.get((f, b, act), 0.0)
+                if abs(y - x) > 0.1:
+                    want.add((f, a, b, f"speech_act:{act}", round(x * 100, 1), round(y * 100, 1)))
+    return want
+
+
+def test_pairs_of_interlocutors_are_shuffled_nowhere(spark, monkeypatch):
+    monkeypatch.setattr(temporal, "CELL", 3, raising=False)
+    lines = _talk(spark)
+    got = temporal.interlocutor_differences(lines)
+    assert not any({"a", "b"} <= c for c in _exchanged(got))
+    rows = [(r["phase"], r["a"], r["b"], r["metric"], r["baseline"], r["comparison"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) > 500 and set(rows) == _by_hand(spark, lines)
+    assert temporal.interlocutor_differences(lines.limit(0)).count() == 0
