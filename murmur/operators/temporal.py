@@ -141,8 +141,12 @@ def _interlocutor_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.repartition(tasks, *cell).join(b.repartition(tasks, *cell), cell).filter("a < b").drop("__i", "__j")
 
 
+#: The greatest confidence of a difference between interlocutors.
+SUREST = 0.9
+
+
 def _sure(d: DataFrame) -> DataFrame:
-    return d.withColumn("confidence", F.least(F.bround(F.abs("shift_pct") / 40, 6), F.lit(0.9)))
+    return d.withColumn("confidence", F.least(F.bround(F.abs("shift_pct") / 40, 6), F.lit(SUREST)))
 
 
 def interlocutor_differences(lines: DataFrame, least: int = 2) -> DataFrame:
@@ -151,8 +155,36 @@ def interlocutor_differences(lines: DataFrame, least: int = 2) -> DataFrame:
     return _sure(_differences(_interlocutor_pairs(found, found), ["phase"]))
 
 
+#: The number of profiles whose pairs surest_pairs() makes first.
+HEADS = 64
+
+
+def _first_rules(rules: DataFrame, k: int) -> DataFrame:
+    return rules.orderBy(F.desc("confidence"), "layer", "scope", "metric").limit(k)
+
+
+def surest_pairs(found: DataFrame, k: int) -> DataFrame:
+    """The first k rules, in the order of _first_rules(), of what interlocutor_differences() gives for these profiles.
+
+    Confidence ends at SUREST, and a scope begins with its period and a. So once k rules of that confidence are known whose scopes
+    don't come after the least period and a that is left, no pair that is left has a rule before them. Until then more pairs
+    are made, if need be all of them.
+    """
+    start = F.concat_ws("/", "phase", "interlocutor", F.lit(""))
+    partners = found.groupBy("phase").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("phase")
+    paired, heads = found.join(partners, "phase", "left_semi"), HEADS
+    while True:
+        size, left = paired.select(start.alias("__s")).orderBy("__s").limit(heads + 1).agg(F.count(F.lit(1)), F.max("__s")).first()
+        every = size <= heads
+        d = _sure(_differences(_interlocutor_pairs(found if every else found.filter(start < left), found), ["phase"]))
+        rules = d.select(F.lit(4).alias("layer"), F.concat_ws("/", "phase", "a", "b").alias("scope"), "metric", F.concat("phase", F.lit("时期，对"), "a", F.lit("与对"), "b", F.lit("的表达差异："), "reading").alias("rule"), "confidence")
+        top = materialize(_first_rules(rules, k), "temporal")
+        if every or top.filter((F.col("confidence") >= SUREST) & (F.col("scope") <= left)).count() >= k:
+            return top
+        heads *= 4
+
+
 def temporal_rules(lines: DataFrame, timeline: DataFrame, k: int = 20) -> DataFrame:
     """The k surest differences of both kinds (a top-k report): layer, scope, metric, rule (a sentence), confidence."""
     two = period_shifts(lines, timeline).select(F.lit(2).alias("layer"), F.concat_ws("->", "from_phase", "to_phase").alias("scope"), "metric", F.concat("to_phase", F.lit("时期相比"), "from_phase", F.lit("时期："), "reading").alias("rule"), "confidence")
-    four = interlocutor_differences(lines).select(F.lit(4).alias("layer"), F.concat_ws("/", "phase", "a", "b").alias("scope"), "metric", F.concat("phase", F.lit("时期，对"), "a", F.lit("与对"), "b", F.lit("的表达差异："), "reading").alias("rule"), "confidence")
-    return two.unionByName(four).orderBy(F.desc("confidence"), "layer", "scope", "metric").limit(k)
+    return _first_rules(two.unionByName(surest_pairs(interlocutor_profiles(lines), k)), k)

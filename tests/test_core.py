@@ -399,3 +399,22 @@ def test_pairs_of_interlocutors_are_shuffled_nowhere(spark, monkeypatch):
     rows = [(r["phase"], r["a"], r["b"], r["metric"], r["baseline"], r["comparison"]) for r in got.collect()]
     assert len(rows) == len(set(rows)) > 500 and set(rows) == _by_hand(spark, lines)
     assert temporal.interlocutor_differences(lines.limit(0)).count() == 0
+
+
+def test_surest_rules_need_no_more_pairs_than_can_win(spark, monkeypatch):
+    lines = _talk(spark)
+    timeline = spark.createDataFrame([(1, "q"), (2, "p")], "ord int, id string")
+    order = lambda r: (-r["confidence"], r["layer"], r["scope"].encode(), r["metric"].encode())
+    four = temporal.interlocutor_differences(lines).selectExpr("4 as layer", "concat_ws('/', phase, a, b) as scope", "metric", "confidence").collect()
+    two = temporal.period_shifts(lines, timeline).selectExpr("2 as layer", "concat_ws('->', from_phase, to_phase) as scope", "metric", "confidence").collect()
+    whole = sorted(four + two, key=order)
+    made, pairs = [], temporal._interlocutor_pairs
+    monkeypatch.setattr(temporal, "HEADS", 4)
+    monkeypatch.setattr(temporal, "_interlocutor_pairs", lambda first, second: made.append(first.count()) or pairs(first, second))
+    for k in (1, 20, 400, len(whole) + 1):
+        got = temporal.temporal_rules(lines, timeline, k)
+        assert not any({"a", "b"} <= c for c in _exchanged(got))
+        assert [order(r) for r in got.collect()] == [order(r) for r in whole[:k]]
+    everyone = temporal.interlocutor_profiles(lines).count()
+    assert made[0] <= 4 and made[1] < everyone and made[-1] == everyone  # one head at first, all of them where k rules are too few
+    assert temporal.temporal_rules(lines.limit(0), timeline).count() == 0
