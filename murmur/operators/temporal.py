@@ -63,13 +63,18 @@ ACT, LEAST_SHARE = "speech_act:", 0.1
 def profiles(metrics: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, figures (rates and shares of acts by metric), wide (metrics of the acts whose share is above LEAST_SHARE): one row a slice.
 
-    Shares lie between 0 and 1, so two of them differ by more than LEAST_SHARE only if one of them is above it.
+    Shares lie between 0 and 1, so two of them differ by more than LEAST_SHARE only if one of them is above it. A figure has its value and what
+    is shown and told of it, so that these are made once a slice and not once a pair.
     """
-    entry = lambda metric, value: F.struct(metric.alias("key"), value.alias("value"))
-    acts = shares.groupBy(*keys).agg(F.collect_list(entry(F.concat(F.lit(ACT), "act"), F.col("share"))).alias("__a"))
-    rates = F.array(*[entry(F.lit(metric), F.col(c)) for metric, c, *_ in RATES])
+
+    def entry(metric: Column, value: Column, shown: Column, what: Column) -> Column:
+        return F.struct(metric.alias("key"), F.struct(value.alias("value"), shown.alias("shown"), shown.cast("string").alias("text"), what.alias("what")).alias("figure"))
+
+    share = F.col("share")
+    acts = shares.groupBy(*keys).agg(F.collect_list(entry(F.concat(F.lit(ACT), "act"), share, F.bround(share * 100, 1), act_label(F.col("act")))).alias("__a"))
+    rates = F.array(*[entry(F.lit(metric), F.col(c), F.col(c), F.lit(what)) for metric, c, _, what, *_ in RATES])
     p = metrics.select(*keys, rates.alias("__r")).join(acts, [*keys], "left").withColumn("__a", F.coalesce("__a", F.filter("__r", lambda x: F.lit(False))))
-    wide = F.transform(F.filter("__a", lambda x: x["value"] > LEAST_SHARE), lambda x: x["key"])
+    wide = F.transform(F.filter("__a", lambda x: x["figure"]["value"] > LEAST_SHARE), lambda x: x["key"])
     return p.select(*keys, F.map_from_entries(F.concat("__r", "__a")).alias("figures"), wide.alias("wide"))
 
 
@@ -80,10 +85,12 @@ def _side(found: DataFrame, item: str, name: str) -> DataFrame:
 
 def _differences(both: DataFrame, only: Sequence[str] = ()) -> DataFrame:
     """(scope.., a, b, both profiles): metric, baseline, comparison, shift_pct, reading for every large difference of slice b against slice a. Nothing is shuffled."""
-    metric = F.concat(F.array(*[F.lit(r[0]) for r in RATES]), F.array_union("wa", "wb"))
-    figure = lambda side: F.coalesce(F.try_element_at(side, F.col("metric")), F.lit(0.0))
-    d = both.select(*only, "a", "b", "fa", "fb", F.explode_outer(metric).alias("metric")).select(*only, "a", "b", "metric", figure("fa").alias("__x"), figure("fb").alias("__y"))
-    x, y = F.col("__x"), F.col("__y")
+    metrics = F.concat(F.array(*[F.lit(r[0]) for r in RATES]), F.array_union("wa", "wb"))
+    # both figures are looked up here and once; as columns of their own they would be looked up again wherever they are named
+    looked_up = F.transform(metrics, lambda m: F.struct(m.alias("metric"), F.try_element_at("fa", m).alias("__x"), F.try_element_at("fb", m).alias("__y")))
+    d = both.select(*only, "a", "b", F.explode_outer(looked_up).alias("__d")).select(*only, "a", "b", "__d.*")
+    of = lambda name, none: (F.coalesce(F.col("__x")[name], F.lit(none)), F.coalesce(F.col("__y")[name], F.lit(none)))
+    (x, y), shown, text = of("value", 0.0), of("shown", 0.0), of("text", "0.0")
 
     def by_metric(rate, act: Column) -> Column:  # noqa: ANN001
         out = F.when(F.col("metric") == RATES[0][0], rate(*RATES[0][2:]))
@@ -93,13 +100,11 @@ def _differences(both: DataFrame, only: Sequence[str] = ()) -> DataFrame:
 
     rel = (y - x) / F.nullif(x, F.lit(0.0))
     way = lambda more, less: F.when(y > x, more).otherwise(less)
-    d = d.filter(by_metric(lambda least, *_: (x > 0) & (F.abs(rel) > least), F.abs(y - x) > LEAST_SHARE))
-    is_act = F.startswith("metric", F.lit(ACT))
-    shown = lambda c: F.when(is_act, F.bround(c * 100, 1)).otherwise(c)
-    d = d.select(*only, "a", "b", "metric", shown(x).alias("baseline"), shown(y).alias("comparison"), F.bround(F.when(is_act, y - x).otherwise(rel) * 100, 1).alias("shift_pct"), "__x", "__y")
-    figures = F.col("baseline"), F.col("comparison")
-    reading = by_metric(lambda _, what, more, less, first, second: told(F.lit(what), way(more, less), *figures, first, second), told(act_label(F.substr("metric", F.lit(len(ACT) + 1))), way("行为显著增多", "行为显著减少"), *figures, "%", "%"))
-    return d.select(*only, "a", "b", "metric", "baseline", "comparison", "shift_pct", reading.alias("reading"))
+    large = by_metric(lambda least, *_: (x > 0) & (F.abs(rel) > least), F.abs(y - x) > LEAST_SHARE)
+    change = F.when(F.startswith("metric", F.lit(ACT)), y - x).otherwise(rel)
+    what = F.coalesce(F.col("__x")["what"], F.col("__y")["what"])
+    reading = by_metric(lambda _, __, more, less, first, second: told(what, way(more, less), *text, first, second), told(what, way("行为显著增多", "行为显著减少"), *text, "%", "%"))
+    return d.filter(large).select(*only, "a", "b", "metric", shown[0].alias("baseline"), shown[1].alias("comparison"), F.bround(change * 100, 1).alias("shift_pct"), reading.alias("reading"))
 
 
 def _compare(pairs: DataFrame, metrics: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -146,7 +151,8 @@ SUREST = 0.9
 
 
 def _sure(d: DataFrame) -> DataFrame:
-    return d.withColumn("confidence", F.least(F.bround(F.abs("shift_pct") / 40, 6), F.lit(SUREST)))
+    sure = F.abs("shift_pct") / 40
+    return d.withColumn("confidence", F.when(sure >= SUREST, SUREST).otherwise(F.bround(sure, 6)))
 
 
 def interlocutor_differences(lines: DataFrame, least: int = 2) -> DataFrame:
